@@ -1,0 +1 @@
+"""Intentionally empty: every source of this library is a finished batch of logs."""
