@@ -142,7 +142,6 @@ def band_mean(
 
     Two prefix-sum lookups per probe replace the probe x knot range join.
     """
-    row = F.col("_row")
     keyed = probe.withColumn("_row", F.monotonically_increasing_id())
     knots = clean_curve(curve, group, cx, cy)
     edges = keyed.select("*", F.explode(F.array(
@@ -162,3 +161,33 @@ def band_mean(
     plain = interp_join(keyed, curve, group, x, cx, cy, "_plain")
     mean = F.when(F.col("_n") > 0, F.col("_y") / F.col("_n")).otherwise(F.col("_plain"))
     return plain.join(sums, "_row", "left").withColumn(out, mean).drop("_row", "_y", "_n", "_plain")
+
+
+def band_pairs(
+    probe: DataFrame, curve: DataFrame, group: Sequence[str], x: str, cx: str, cy: str, band: float
+) -> DataFrame:
+    """Probe rows with the knots ``(_kx, _ky)`` at most ``band`` away: an equi-join on cells as wide as the band."""
+    width = F.lit(float(band))
+    knots = clean_curve(curve, group, cx, cy).withColumn("_b", F.floor(F.col("_kx") / width))
+    at = F.floor(F.col(x).cast("double") / width)
+    near = probe.withColumn("_b", F.explode(F.array(at - 1, at, at + 1)))
+    return near.join(knots, [*group, "_b"]).where(F.abs(F.col("_kx") - F.col(x)) <= width).drop("_b")
+
+
+def lookalike_share(
+    probe: DataFrame,
+    curve: DataFrame,
+    group: Sequence[str],
+    row_key: Sequence[str],
+    x: str,
+    signal: str,
+    cx: str,
+    cy: str,
+    bands: Sequence[float],
+    gamma: float,
+) -> DataFrame:
+    """Share of the knots within each band around x whose value is within ``gamma`` of the observed signal."""
+    pairs = band_pairs(probe, curve, group, x, cx, cy, max(bands))
+    like = F.abs(F.col("_ky") - F.col(signal)) < gamma
+    return pairs.groupBy(*row_key).agg(*[
+        F.avg(F.when(F.abs(F.col("_kx") - F.col(x)) <= b, F.when(like, 1.0).otherwise(0.0))).alias(f"alias_{b:g}") for b in bands])
