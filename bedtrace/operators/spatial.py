@@ -19,7 +19,7 @@ from bedtrace.operators.quantiles import grouped_quantiles
 from bedtrace.operators.sequence import even_sample
 from bedtrace.session import cut_lineage
 
-LEAF = 64
+LEAF = 128
 MAX_DEPTH = 20
 
 
@@ -63,62 +63,41 @@ def knn_join(
     Returns ``query_key``, ``space``, ``query_x/query_y``, ``nb_id``, ``nb_x``, ``nb_y``, ``values``, ``dist`` and
     ``rank``; coordinates are unscaled.
     """
-    qx, qy = (F.col(c).cast("double") for c in query_xy)
-    bx, by = (F.col(c).cast("double") for c in bank_xy)
     sp = F.struct(*space) if space else F.lit(0)
+    bx, by = (F.col(c).cast("double") for c in bank_xy)
+    qx, qy = (F.col(c).cast("double") for c in query_xy)
     pts = bank.select(
         sp.alias("_sp"), bx.alias("_ux"), by.alias("_uy"), F.col(bank_id).alias("_bid"),
         (F.col(bank_owner) if bank_owner else F.lit(0)).alias("_bo"), *values,
     ).where(F.col("_ux").isNotNull() & F.col("_uy").isNotNull())
-    std = [F.stddev_pop(c) if scaled else F.lit(1.0) for c in ("_ux", "_uy")]
-    scale = pts.groupBy("_sp").agg(*[F.when(F.coalesce(s, F.lit(0.0)) < 1e-3, 1.0).otherwise(s).alias(n) for s, n in zip(std, ("_sx", "_sy"))])
-    pts = pts.join(scale, "_sp").withColumns({"_bx": F.col("_ux") / F.col("_sx"), "_by": F.col("_uy") / F.col("_sy")}).drop("_sx", "_sy")
-    asks = query.select(*query_key, *space, qx.alias("query_x"), qy.alias("query_y"), sp.alias("_sp"), *([query_owner] if query_owner else []))
-    asks = asks.where(F.col("query_x").isNotNull() & F.col("query_y").isNotNull()).join(scale, "_sp").withColumns(
-        {"_qx": F.col("query_x") / F.col("_sx"), "_qy": F.col("query_y") / F.col("_sy")}).drop("_sx", "_sy")
-
-    pts = cut_lineage(_trim_copies(pts, k))
-    # One square per space that holds all points and queries.
-    corners = pts.select("_sp", F.col("_bx").alias("x"), F.col("_by").alias("y")).unionByName(
-        asks.select("_sp", F.col("_qx").alias("x"), F.col("_qy").alias("y")))
-    box = corners.groupBy("_sp").agg(
-        F.min("x").alias("_x0"), F.min("y").alias("_y0"),
-        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("_size"))
-    box = cut_lineage(box.withColumn("_size", F.col("_size") * 1.000001))
-    pts = pts.join(box, "_sp")
-    levels = pts.withColumn("lv", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))))
-    levels = levels.withColumns({"cx": _cell(F.col("_bx"), F.col("_x0"), F.col("_size"), F.col("lv")),
-                                 "cy": _cell(F.col("_by"), F.col("_y0"), F.col("_size"), F.col("lv"))})
-    tree = levels.groupBy("_sp", "lv", "cx", "cy", "_bo").agg(F.count(F.lit(1)).alias("c")).groupBy("_sp", "lv", "cx", "cy").agg(
-        F.sum("c").alias("n"), F.max("c").alias("m"))
-    up = tree.where(F.col("n") > leaf).select("_sp", (F.col("lv") + 1).alias("lv"), F.col("cx").alias("px"), F.col("cy").alias("py"))
-    tree = tree.withColumns({"px": F.shiftright("cx", 1), "py": F.shiftright("cy", 1)})
-    tree = tree.where("lv = 0").unionByName(tree.join(up, ["_sp", "lv", "px", "py"], "left_semi"))
-    tree = cut_lineage(tree.withColumn("is_leaf", (F.col("n") <= leaf) | (F.col("lv") == MAX_DEPTH)))
-    depth = tree.agg(F.max("lv")).first()[0]  # one number
-    if depth is None:
-        return _neighbour_rows(asks.limit(0).join(pts.limit(0).drop("_x0", "_y0", "_size"), "_sp"), query_key, space, values, k)
-    most = pts.groupBy("_sp", "_bo").agg(F.count(F.lit(1)).alias("c")).groupBy("_sp").agg(F.max("c").alias("_most"))
-
-    # Walk all query cells down the tree together.
-    asks = asks.join(box, "_sp").withColumns({
+    asks = query.select(
+        *query_key, *space, qx.alias("query_x"), qy.alias("query_y"), sp.alias("_sp"), *([query_owner] if query_owner else [])
+    ).where(F.col("query_x").isNotNull() & F.col("query_y").isNotNull())
+    frame = cut_lineage(_frame(pts, asks, scaled))
+    place = {"_bx": F.col("_ux") / F.col("_sx"), "_by": F.col("_uy") / F.col("_sy")}
+    pts = cut_lineage(_trim_copies(pts.join(frame, "_sp").withColumns(place).drop("_sx", "_sy"), k))
+    tree = cut_lineage(_cell_tree(pts, leaf))
+    depth = tree.agg(F.max("lv")).first()[0] or 0  # one number
+
+    # All query cells walk down the tree together.
+    asks = asks.join(frame, "_sp").withColumns({"_qx": F.col("query_x") / F.col("_sx"), "_qy": F.col("query_y") / F.col("_sy")})
+    asks = asks.withColumns({
         "gx": _cell(F.col("_qx"), F.col("_x0"), F.col("_size"), depth),
-        "gy": _cell(F.col("_qy"), F.col("_y0"), F.col("_size"), depth)}).drop("_x0", "_y0", "_size")
+        "gy": _cell(F.col("_qy"), F.col("_y0"), F.col("_size"), depth)})
     unit = F.col("_size") / F.lit(2.0**depth)
-    cells = asks.select("_sp", "gx", "gy").distinct().join(box, "_sp").join(most, "_sp").withColumns({
+    cells = asks.select("_sp", "gx", "gy", "_x0", "_y0", "_size").distinct().withColumns({
         "_ax": F.col("_x0") + F.col("gx") * unit, "_ay": F.col("_y0") + F.col("gy") * unit, "_u": unit})
-    reach = cells.join(tree.where("lv = 0").drop("px", "py"), "_sp")
-    per_cell = Window.partitionBy("_sp", "gx", "gy")
+    reach = cells.join(tree.where("lv = 0").drop("px", "py").withColumn("_most", F.col("m")), "_sp")
     for level in range(depth):
         stay = reach.where(F.col("is_leaf"))
         kids = tree.where(F.col("lv") == level + 1).select("_sp", F.col("px").alias("cx"), F.col("py").alias("cy"),
                                                            F.struct("lv", "cx", "cy", "n", "m", "is_leaf").alias("_kid"))
         down = reach.where(~F.col("is_leaf")).drop("lv", "n", "m", "is_leaf").join(kids, ["_sp", "cx", "cy"])
         down = down.drop("cx", "cy").select("*", "_kid.*").drop("_kid")
-        reach = _still_possible(stay.unionByName(down), per_cell, k)
-        if level % 6 == 5:
+        reach = _still_possible(stay.unionByName(down), k)
+        if level % 2 == 1 and level < depth - 1:
             reach = cut_lineage(reach)
-    reach = reach.select("_sp", "gx", "gy", "lv", "cx", "cy")
+    reach = cut_lineage(reach.select("_sp", "gx", "gy", "lv", "cx", "cy"))
 
     homes = pts.withColumn("lv", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumns({
         "cx": _cell(F.col("_bx"), F.col("_x0"), F.col("_size"), F.col("lv")),
@@ -130,7 +109,36 @@ def knn_join(
     return _neighbour_rows(pairs, query_key, space, values, k)
 
 
-def _still_possible(reach: DataFrame, per_cell: Window, k: int) -> DataFrame:
+def _frame(pts: DataFrame, asks: DataFrame, scaled: bool) -> DataFrame:
+    """Per space: the scale of both axes and the square around all points and queries, in scaled units."""
+    both = pts.select("_sp", F.col("_ux").alias("x"), F.col("_uy").alias("y"), F.lit(True).alias("b")).unionByName(
+        asks.select("_sp", F.col("query_x").alias("x"), F.col("query_y").alias("y"), F.lit(False).alias("b")))
+
+    def axis(c: str) -> Column:
+        s = F.stddev_pop(F.when(F.col("b"), F.col(c))) if scaled else F.lit(1.0)
+        return F.when(F.coalesce(s, F.lit(0.0)) < 1e-3, 1.0).otherwise(s)
+
+    d = both.groupBy("_sp").agg(axis("x").alias("_sx"), axis("y").alias("_sy"), F.min("x").alias("x0"), F.min("y").alias("y0"),
+                                F.max("x").alias("x1"), F.max("y").alias("y1"))
+    side = F.greatest((F.col("x1") - F.col("x0")) / F.col("_sx"), (F.col("y1") - F.col("y0")) / F.col("_sy"), F.lit(1e-9))
+    return d.select("_sp", "_sx", "_sy", (F.col("x0") / F.col("_sx")).alias("_x0"), (F.col("y0") / F.col("_sy")).alias("_y0"),
+                    (side * 1.000001).alias("_size"))
+
+
+def _cell_tree(pts: DataFrame, leaf: int) -> DataFrame:
+    """Cells of all levels with point count ``n`` and the largest count of one owner ``m``; children only of full cells."""
+    levels = pts.select("_sp", "_bo", "_bx", "_by", "_x0", "_y0", "_size", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))).alias("lv"))
+    levels = levels.withColumns({"cx": _cell(F.col("_bx"), F.col("_x0"), F.col("_size"), F.col("lv")),
+                                 "cy": _cell(F.col("_by"), F.col("_y0"), F.col("_size"), F.col("lv"))})
+    tree = levels.groupBy("_sp", "lv", "cx", "cy", "_bo").agg(F.count(F.lit(1)).alias("c")).groupBy("_sp", "lv", "cx", "cy").agg(
+        F.sum("c").alias("n"), F.max("c").alias("m"))
+    full = tree.where(F.col("n") > leaf).select("_sp", (F.col("lv") + 1).alias("lv"), F.col("cx").alias("px"), F.col("cy").alias("py"))
+    tree = tree.withColumns({"px": F.shiftright("cx", 1), "py": F.shiftright("cy", 1)})
+    kept = tree.join(full.withColumn("_p", F.lit(True)), ["_sp", "lv", "px", "py"], "left").where((F.col("lv") == 0) | F.col("_p")).drop("_p")
+    return kept.withColumn("is_leaf", (F.col("n") <= leaf) | (F.col("lv") == MAX_DEPTH))
+
+
+def _still_possible(reach: DataFrame, k: int) -> DataFrame:
     """Drop bank cells that lie farther from the query cell than k certain neighbours do."""
     side = F.col("_size") / F.pow(F.lit(2.0), F.col("lv"))
     left, low = F.col("_x0") + F.col("cx") * side, F.col("_y0") + F.col("cy") * side
@@ -139,6 +147,7 @@ def _still_possible(reach: DataFrame, per_cell: Window, k: int) -> DataFrame:
     far_x = F.greatest(F.abs(left + side - F.col("_ax")), F.abs(F.col("_ax") + F.col("_u") - left))
     far_y = F.greatest(F.abs(low + side - F.col("_ay")), F.abs(F.col("_ay") + F.col("_u") - low))
     r = reach.withColumns({"_near": F.hypot(gap_x, gap_y), "_far": F.hypot(far_x, far_y)})
+    per_cell = Window.partitionBy("_sp", "gx", "gy")
     upto = per_cell.orderBy("_far", "lv", "cx", "cy").rowsBetween(Window.unboundedPreceding, 0)
     # Whoever owns the query: a cell holds at least n - m foreign points, and all cells so far at least sum(n) - most.
     enough = (F.sum(F.col("n") - F.col("m")).over(upto) >= k) | (F.sum("n").over(upto) >= F.col("_most") + k)
@@ -164,7 +173,10 @@ def idw(nb: DataFrame, key: Sequence[str], value: str, weight: Column) -> DataFr
     total = array_sum(F.transform("_n", lambda e: e.w))
     d = d.withColumns({"_t": total, "_m": F.try_divide(array_sum(F.transform("_n", lambda e: e.w * e.v)), total)})
     spread = array_sum(F.transform("_n", lambda e: e.w * (e.v - F.col("_m")) * (e.v - F.col("_m"))))
-    return d.select(*key, F.col("_m").alias("idw"), F.sqrt(F.greatest(F.try_divide(spread, F.col("_t")), F.lit(0.0))).alias("idw_std"), "nearest")
+    # The neighbours are costly to find and callers read this more than once: keep the one row per key.
+    return cut_lineage(d.select(
+        *key, F.col("_m").alias("idw"),
+        F.sqrt(F.greatest(F.try_divide(spread, F.col("_t")), F.lit(0.0))).alias("idw_std"), "nearest"))
 
 
 def plane_fit(nb: DataFrame, key: Sequence[str], surfaces: Sequence[str], weight: Column, ridge: float = 1e-9) -> DataFrame:

@@ -1,6 +1,6 @@
 """Named queries that bind the operators to the given tables."""
 
-from bedtrace.plans import q_interp, q_sequence, q_spatial  # noqa: F401
+from bedtrace.plans import q_interp, q_metrics, q_sequence, q_spatial  # noqa: F401
 from bedtrace.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
