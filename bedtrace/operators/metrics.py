@@ -154,10 +154,10 @@ def quartile_edges(df: DataFrame, col: str, out: str) -> DataFrame:
 
 def quartile_ranks(df: DataFrame, col: str, tie: str, out: str) -> DataFrame:
     """Quartile 0..3 by rank, so that all four are equally large; equal values are told apart by ``tie``."""
-    d = index_rows(df, [], [col, tie], col, "_r", "_n")
+    d = index_rows(df, [], [col, tie], col, "_r", "_count")
     # Edges are the linear quantiles of the ranks 1..n.
-    q = sum((F.when(F.col("_r") > (F.col("_n") - 1) * (i / 4), 1).otherwise(0) for i in (1, 2, 3)), F.lit(0))
-    return d.withColumn(out, q).drop("_r", "_n")
+    q = sum((F.when(F.col("_r") > (F.col("_count") - 1) * (i / 4), 1).otherwise(0) for i in (1, 2, 3)), F.lit(0))
+    return d.withColumn(out, q).drop("_r", "_count")
 
 
 def share_below(df: DataFrame, reference: DataFrame, group: Sequence[str], value: str, ref: str, out: str) -> DataFrame:

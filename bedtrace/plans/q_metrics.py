@@ -11,6 +11,7 @@ from bedtrace.operators.cells import framed, with_group_stats
 from bedtrace.plans.bindings import EVENTS_SQL, PARTS_SQL, event_log, events, part_log, table
 from bedtrace.plans.q_sequence import FILL_SQL, filled_log, wc
 from bedtrace.plans.registry import query, rounded, shown, sql_rounded, sql_shown
+from bedtrace.session import cut_lineage
 
 U = ["user_id"]
 K = ["user_id", "row_idx"]
@@ -38,7 +39,8 @@ def errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lag1_rmse(spark: SparkSession, sf: str) -> DataFrame:
-    return M.group_rmse(errors(spark, sf).where("method = 'lag1'"), ["user_id"])
+    """One row per group, read several times by the reports: kept once instead of recomputed."""
+    return cut_lineage(M.group_rmse(errors(spark, sf).where("method = 'lag1'"), ["user_id"]))
 
 
 @query("a1_pooled_rmse", f"WITH {FC_SQL} SELECT {sql_rounded('sqrt(avg(pow(lag1 - value, 2)))')} AS rmse, CAST(count(lag1) AS BIGINT) AS n FROM fc")
@@ -103,7 +105,7 @@ def trait_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rated_traits(spark: SparkSession, sf: str) -> DataFrame:
-    return trait_table(spark, sf).join(lag1_rmse(spark, sf), "user_id")
+    return cut_lineage(trait_table(spark, sf).join(lag1_rmse(spark, sf), "user_id"))
 
 
 @query("a6_trait_table", f"WITH {FC_SQL}{TRAIT_SQL} SELECT {sql_shown(['user_id'], TRAITS)} FROM tr")

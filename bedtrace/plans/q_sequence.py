@@ -187,11 +187,11 @@ def tracker_differences(spark: SparkSession, sf: str) -> DataFrame:
     return shown(out, ["well", "row_idx"], ["pxq", "span", "pxd"])
 
 
-@query("p16_group_sample", None)
+@query("p16_group_sample", """SELECT user_id FROM (SELECT DISTINCT user_id FROM events) ORDER BY md5(concat(user_id, '_7')), user_id LIMIT 40""")
 def group_sample(spark: SparkSession, sf: str) -> DataFrame:
     """A seeded sample of 40 groups; the draw is a hash order, so it is the same on every run."""
     groups = events(spark, sf).select("user_id").distinct()
-    return groups.withColumn("h", F.xxhash64("user_id", F.lit(7))).orderBy("h", "user_id").limit(40).select("user_id")
+    return groups.withColumn("h", F.md5(F.concat_ws("_", "user_id", F.lit(7)))).orderBy("h", "user_id").limit(40).select("user_id")
 
 
 # --- window features ---------------------------------------------------------------------------------------------
