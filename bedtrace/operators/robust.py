@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from bedtrace.operators.cells import with_group_stats
 from bedtrace.operators.quantiles import grouped_quantiles
-from bedtrace.session import cut_lineage
+from bedtrace.session import cell_rows, cut_lineage
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -53,6 +53,15 @@ def robust_polynomial(
     rows = df.where(F.col(s).isNotNull() & F.col(y).isNotNull()).select(
         *group, F.col(s).cast("double").alias("_s"), F.col(y).cast("double").alias("_y"), deg.alias("_deg"))
     rows = cut_lineage(rows)
+    largest = rows.groupBy(*group).count().agg(F.max("count")).first()[0] or 0  # one number
+    fits_task = largest <= cell_rows(df.sparkSession)
+
+    def medians(d: DataFrame, value: Column, name: str) -> DataFrame:
+        # Groups that are known to fit one cell can use the built-in exact percentile: one shuffle instead of four.
+        if fits_task:
+            return d.groupBy(*group).agg(F.percentile(value, F.lit(0.5)).alias(name))
+        return grouped_quantiles(d, group, {name: (value, 0.5)})
+
     fit = None
     for i in range(solves):
         d, w2 = rows, F.lit(1.0)
@@ -71,9 +80,9 @@ def robust_polynomial(
         if i < solves - 1:
             res = rows.join(fit, list(group)).withColumn("_r", F.col("_y") - polynomial(F.col("coef"), F.col("_s"), intercept))
             if centre_residual:
-                mid = cut_lineage(grouped_quantiles(res, group, {"_mid": (F.col("_r"), 0.5)}))
+                mid = medians(res, F.col("_r"), "_mid")
                 res = res.join(mid, list(group)).withColumn("_r", F.col("_r") - F.col("_mid"))
-            med = grouped_quantiles(res, group, {"_med": (F.abs(F.col("_r")), 0.5)})
+            med = medians(res, F.abs(F.col("_r")), "_med")
             fit = cut_lineage(fit.join(med, list(group)).withColumn("_sigma", 1.4826 * F.col("_med") + 1e-6).drop("_med"))
     return fit
 
@@ -127,37 +136,33 @@ def polynomial_candidates(
 def segment_curve(df: DataFrame, group: str, x: str, y: str, eps: float = 1.5, min_len: float = 40.0, pos: str = "row_idx") -> DataFrame:
     """Piecewise-linear segmentation by recursive splitting at the largest deviation from the chord.
 
-    All open segments of all groups are handled in one pass per recursion level. Returns ``(group, a, b, length, rate)``.
+    All open segments of all groups are handled in one pass per recursion level, and only rows of segments that were
+    split go on. x and y must be set on every row. Returns ``(group, a, b, length, rate)``.
     """
-    rows = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        group, F.col(pos).alias("p"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
-    ends = rows.groupBy(group).agg(F.min_by(F.struct("p", "x", "y"), "p").alias("s"), F.max_by(F.struct("p", "x", "y"), "p").alias("e"))
-    open_ = ends.where(F.col("e.p") > F.col("s.p"))
-    rows = rows.join(ends.select(group, F.col("s.p").alias("seg")), group)
+    point = F.struct(F.col(pos).alias("p"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = df.select(group, point.alias("pt"))
+    ends = rows.groupBy(group).agg(F.min_by("pt", "pt.p").alias("s"), F.max_by("pt", "pt.p").alias("e"))
+    rows = cut_lineage(rows.join(ends.where(F.col("e.p") > F.col("s.p")), group))
+    s, e, pt = F.col("s"), F.col("e"), F.col("pt")
     done = None
     while True:
+        t = F.try_divide(pt.x - s.x, F.greatest(e.x - s.x, F.lit(1e-9)))
+        dev = F.abs(pt.y - (s.y + t * (e.y - s.y)))
+        # The split point is the farthest row, at least two rows away from both ends.
+        judged = rows.groupBy(group, F.col("s.p").alias("seg")).agg(
+            F.first("s").alias("s"), F.first("e").alias("e"), F.max(F.struct(dev.alias("dev"), (-pt.p).alias("n"), pt.alias("pt"))).alias("w"),
+            F.max(F.when(pt.p == s.p + 2, pt)).alias("near"), F.max(F.when(pt.p == e.p - 2, pt)).alias("far"))
         span = F.col("e.x") - F.col("s.x")
-        t = F.try_divide(F.col("x") - F.col("s.x"), F.greatest(span, F.lit(1e-9)))
-        dev = F.abs(F.col("y") - (F.col("s.y") + t * (F.col("e.y") - F.col("s.y"))))
-        open_ = open_.withColumn("seg", F.col("s.p"))
-        worst = rows.join(open_, [group, "seg"]).groupBy(group, "seg").agg(
-            F.max(F.struct(dev.alias("dev"), (-F.col("p")).alias("at"))).alias("w"))
-        a, b = F.col("s.p"), F.col("e.p")
-        can = (b - a >= 4) & (span >= 2 * min_len)
-        judged = open_.join(worst, [group, "seg"], "left").withColumn(
-            "m", F.when(can & (F.col("w.dev") > eps), a + F.greatest(F.lit(2), F.least(-F.col("w.at") - a, b - a - 2)))).drop("w")
-        judged = cut_lineage(judged)
-        final = judged.where(F.col("m").isNull()).select(
-            group, a.alias("a"), b.alias("b"), F.greatest(span, F.lit(1.0)).alias("length"),
-            ((F.col("e.y") - F.col("s.y")) / F.greatest(span, F.lit(1.0))).alias("rate"))
+        mid = F.when(F.col("w.pt.p") < F.col("s.p") + 2, F.col("near")).when(F.col("w.pt.p") > F.col("e.p") - 2, F.col("far")).otherwise(F.col("w.pt"))
+        can = (F.col("e.p") - F.col("s.p") >= 4) & (span >= 2 * min_len) & (F.col("w.dev") > eps)
+        judged = cut_lineage(judged.select(group, "seg", "s", "e", F.when(can, mid).alias("mid")))
+        safe = F.greatest(span, F.lit(1.0))
+        final = judged.where(F.col("mid").isNull()).select(
+            group, F.col("s.p").alias("a"), F.col("e.p").alias("b"), safe.alias("length"), ((F.col("e.y") - F.col("s.y")) / safe).alias("rate"))
         done = final if done is None else done.unionByName(final)
-        split = judged.where(F.col("m").isNotNull())
+        split = judged.where(F.col("mid").isNotNull()).select(group, "seg", "mid")
         if split.isEmpty():
             return done
-        mids = rows.select(group, F.col("p").alias("m"), F.struct("p", "x", "y").alias("mid"))
-        split = split.join(mids, [group, "m"])
-        cuts = split.select(group, "seg", "m")
-        open_ = cut_lineage(split.select(group, "s", F.col("mid").alias("e")).unionByName(split.select(group, F.col("mid").alias("s"), "e")))
-        # Only rows of segments that were split go on.
-        rows = cut_lineage(rows.join(cuts, [group, "seg"]).withColumn(
-            "seg", F.when(F.col("p") >= F.col("m"), F.col("m")).otherwise(F.col("seg"))).drop("m"))
+        right = F.col("pt.p") >= F.col("mid.p")
+        rows = cut_lineage(rows.withColumn("seg", F.col("s.p")).join(split, [group, "seg"]).select(
+            group, "pt", F.when(right, F.col("mid")).otherwise(F.col("s")).alias("s"), F.when(right, F.col("e")).otherwise(F.col("mid")).alias("e")))
