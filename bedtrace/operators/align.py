@@ -62,8 +62,8 @@ def window_match(
         return pd.DataFrame({group: a[group].to_numpy(), pos: a[pos].to_numpy(), "kpos": b["kpos"].to_numpy()[at],
                              "match_value": b["kval"].to_numpy()[at], "match_score": score.max(1)})
 
-    keys = [group, "eb", "kb"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+    right = right.select(F.col(group).alias("_g"), F.col("eb").alias("_eb"), F.col("kb").alias("_kb"), "kpos", "kval", "kwin")
+    best = left.groupBy(group, "eb", "kb").cogroup(right.groupBy("_g", "_eb", "_kb")).applyInPandas(
         lambda a, b: tile(a, b) if len(a) and len(b) else pd.DataFrame({group: [], pos: [], "kpos": [], "match_value": [], "match_score": []}), schema)
     top = best.groupBy(group, pos).agg(F.max(F.struct("match_score", (-F.col("kpos")).alias("k"), "match_value")).alias("b"))
     return top.select(group, pos, "b.match_value", "b.match_score")

@@ -9,6 +9,9 @@ window inside ``(group, cell)`` and carry the little that crosses a cell border:
 * previous / next value lookups get the last / first value of the other cells (``neighbours``).
 
 The result equals that of the plain window. Group and axis columns must not be null.
+
+Every operator reads its input more than once (statistics or cell totals first, then the rows). Between chained operators
+keep the intermediate table (``cut_lineage`` or a written table), otherwise the work before them is repeated.
 """
 
 from __future__ import annotations

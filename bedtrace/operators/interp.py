@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +76,24 @@ def interp_join(
     return both.withColumn(out, interpolated(F.col(x), edge, left, right)).drop(PREV, NEXT)
 
 
+def interp_columns(probe: DataFrame, curve: DataFrame, group: Sequence[str], x: str, cx: str, columns: Mapping[str, str]) -> DataFrame:
+    """Several curve columns (``{out: column}``) read off at the same ``x`` in one pass, end knots held.
+
+    Knots where any of the columns is missing are left out.
+    """
+    outs = list(columns)
+    full = curve.select(*group, F.col(cx).cast("double").alias("_kx"), *[F.col(columns[o]).cast("double").alias(f"_k_{o}") for o in outs]).na.drop()
+    knots = full.groupBy(*group, "_kx").agg(*[F.avg(f"_k_{o}").alias(o) for o in outs])
+    knots = knots.select(*group, F.col("_kx").alias("_x"), F.lit(0).alias("_kind"), F.struct(F.col("_kx").alias("x"), *outs).alias("_knot"))
+    stream = probe.withColumns({"_x": F.col(x).cast("double"), "_kind": F.lit(1)}).unionByName(knots, allowMissingColumns=True)
+    knot = F.when(F.col("_kind") == 0, F.col("_knot"))
+    d = neighbours(add_cells(stream, group, "_x"), group, ["_x", "_kind"], {PREV: knot}, {NEXT: knot}).where(F.col("_kind") == 1)
+    p, q, at = F.col(PREV), F.col(NEXT), F.col("_x")
+    share = F.when(p.isNotNull() & q.isNotNull(), (at - p.x) / (q.x - p.x))
+    values = [F.coalesce(p[o] + share * (q[o] - p[o]), p[o], q[o]).alias(o) for o in outs]
+    return d.select(*[c for c in probe.columns if c not in outs], *values)
+
+
 def nearest_knot(probe: DataFrame, curve: DataFrame, group: Sequence[str], x: str, cx: str, cy: str) -> DataFrame:
     """Add ``knot_x`` / ``knot_y`` of the nearest knot; equally near knots resolve to the lower one."""
     both = bracket_join(probe, curve, group, x, cx, cy)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from bedtrace.functions.columns import clip, panel_stats
 from bedtrace.operators.cells import with_group_stats
-from bedtrace.operators.interp import interp_join
+from bedtrace.operators.interp import interp_columns, interp_join
 from bedtrace.operators.sequence import gradient, rolling
+from bedtrace.session import cut_lineage
 
 
 def sample_cuts(log: DataFrame, group: str, known: str, fracs: Sequence[float], min_known: int = 120, min_rest: int = 60, pos: str = "row_idx") -> DataFrame:
@@ -47,17 +48,17 @@ def sequence_samples(
     grid = stats.withColumns({"_g0": first, "_steps": steps}).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_steps"))))
     grid = grid.withColumn("md", F.col("_g0") + F.col("step") * float(step)).withColumn("is_tail", F.col("md") > F.col("cut_md")).drop("_g0", "_steps")
     grid = with_group_stats(grid, key, {"_tail": F.count_if("is_tail")}).where(F.col("_tail") >= min_tail).drop("_tail")
-    for col, out in ((signal, "_sig"), (gap, "gap"), (z, "_z"), (target, "_t")):
-        grid = interp_join(grid, log, [group], "md", md, col, out)
-    prefix = c.where(head).select(*key, F.col(md).alias("_kx"), F.col(target).alias("_ky"))
-    grid = interp_join(grid, prefix, key, "md", "_kx", "_ky", "_pre")
+    # Each step below reads its input more than once, so the grid is kept between them.
+    grid = cut_lineage(interp_columns(cut_lineage(grid), log, [group], "md", md, {"_sig": signal, "gap": gap, "_z": z, "_t": target}))
+    prefix = c.where(head).select(*key, F.col(md).alias("px"), F.col(target).alias("py"))
+    grid = cut_lineage(interp_join(grid, prefix, key, "md", "px", "py", "_pre"))
     grid = grid.withColumn("sigz", (F.col("_sig") - F.col("mu")) / F.col("sd"))
     grid = rolling(grid, key, "sigz", [21, 101], ["mean"], "sigz", pos="step")
     grid = rolling(grid, key, "sigz", [21], ["std"], "sigz", pos="step").fillna(0.0, ["sigz_std21"])
     grid = gradient(grid, key, "_z", "_dz", "md", pos="step")
     grid = with_group_stats(grid, key, {"_z0": F.min_by("_z", F.when(F.col("is_tail"), F.col("step")))})
     hyp = F.when(F.col("is_tail"), F.col("last_t")).otherwise(F.col("_pre"))
-    grid = grid.withColumn("_hyp", hyp)
+    grid = cut_lineage(grid.withColumn("_hyp", hyp))
     long = grid.select(*key, "step", "_hyp", "sigz", "mu", "sd", F.posexplode(F.array(*[F.lit(float(o)) for o in offsets])).alias("j", "_o"))
     long = interp_join(long.withColumn("_at", F.col("_hyp") + F.col("_o")), curve, [group], "_at", cx, cy, "_ref")
     mm = clip(F.abs(F.col("sigz") - (F.col("_ref") - F.col("mu")) / F.col("sd")), 0, 6)
