@@ -18,6 +18,8 @@ from bedtrace.operators.cells import with_group_stats
 from bedtrace.operators.quantiles import grouped_quantiles
 from bedtrace.session import cell_rows, cut_lineage
 
+BROADCAST_GROUPS = 50_000
+
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def solve_normal(powers: pd.Series, rhs: pd.Series) -> pd.Series:
@@ -31,12 +33,27 @@ def solve_normal(powers: pd.Series, rhs: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def polynomial(coef: Column, s: Column, intercept: bool = True) -> Column:
-    """Value at ``s`` of the polynomial with ascending coefficients."""
-    v = F.aggregate(F.reverse(coef), F.lit(0.0), lambda acc, c: acc * s + c)
+def polynomial(coef: Column, s: Column, degree: int, intercept: bool = True) -> Column:
+    """Value at ``s`` of the polynomial with ascending coefficients (at most ``degree``); absent ones count as 0."""
+    top = degree if intercept else degree - 1
+    v = F.get(coef, F.lit(0)) if top == 0 else F.coalesce(F.get(coef, F.lit(top)), F.lit(0.0))
+    for i in range(top - 1, -1, -1):
+        c = F.get(coef, F.lit(i))
+        v = v * s + (c if i == 0 else F.coalesce(c, F.lit(0.0)))
     return v if intercept else v * s
 
 
+def _powers(s: Column, top: int) -> list[Column]:
+    out = [F.lit(1.0)]
+    for _ in range(top):
+        out.append(out[-1] * s)
+    return out
+
+
+def _square(c: Column) -> Column:
+    return c * c
+
+
 def robust_polynomial(
     df: DataFrame, group: Sequence[str], s: str, y: str, degree: int | Column, solves: int = 5, width: float = 2.0,
     intercept: bool = True, max_degree: int | None = None, centre_residual: bool = False,
@@ -53,8 +70,12 @@ def robust_polynomial(
     rows = df.where(F.col(s).isNotNull() & F.col(y).isNotNull()).select(
         *group, F.col(s).cast("double").alias("_s"), F.col(y).cast("double").alias("_y"), deg.alias("_deg"))
     rows = cut_lineage(rows)
-    largest = rows.groupBy(*group).count().agg(F.max("count")).first()[0] or 0  # one number
-    fits_task = largest <= cell_rows(df.sparkSession)
+    size = rows.groupBy(*group).count().agg(F.max("count").alias("largest"), F.count(F.lit(1)).alias("groups")).first()  # two numbers
+    fits_task = (size["largest"] or 0) <= cell_rows(df.sparkSession)
+
+    def small(d: DataFrame) -> DataFrame:
+        # One row per group; joined by broadcast only while the number of groups is known to be small.
+        return F.broadcast(d) if size["groups"] <= BROADCAST_GROUPS else d
 
     def medians(d: DataFrame, value: Column, name: str) -> DataFrame:
         # Groups that are known to fit one cell can use the built-in exact percentile: one shuffle instead of four.
@@ -66,19 +87,20 @@ def robust_polynomial(
     for i in range(solves):
         d, w2 = rows, F.lit(1.0)
         if fit is not None:
-            d = rows.join(fit.drop("n"), list(group))
-            w = 1.0 / (1.0 + F.pow(F.try_divide(F.col("_y") - polynomial(F.col("coef"), F.col("_s"), intercept), width * F.col("_sigma")), 2))
+            d = rows.join(small(fit.drop("n")), list(group))
+            w = 1.0 / (1.0 + _square((F.col("_y") - polynomial(F.col("coef"), F.col("_s"), top, intercept)) / (width * F.col("_sigma"))))
             w2 = w * w
+        pw = _powers(F.col("_s"), 2 * top)
         sums = d.withColumn("_w", w2).groupBy(*group).agg(
             F.count(F.lit(1)).alias("n"), F.max("_deg").alias("_d"),
-            *[F.sum(F.col("_w") * F.pow("_s", F.lit(float(k)))).alias(f"_p{k}") for k in range(2 * shift, 2 * top + 1)],
-            *[F.sum(F.col("_w") * F.col("_y") * F.pow("_s", F.lit(float(k)))).alias(f"_t{k}") for k in range(shift, top + 1)])
-        size = F.col("_d") + 1 - shift
-        powers = F.slice(F.array(*[F.col(f"_p{k}") for k in range(2 * shift, 2 * top + 1)]), F.lit(1), 2 * size - 1)
-        rhs = F.slice(F.array(*[F.col(f"_t{k}") for k in range(shift, top + 1)]), F.lit(1), size)
+            *[F.sum(F.col("_w") * pw[k]).alias(f"_p{k}") for k in range(2 * shift, 2 * top + 1)],
+            *[F.sum(F.col("_w") * F.col("_y") * pw[k]).alias(f"_t{k}") for k in range(shift, top + 1)])
+        width_ = F.col("_d") + 1 - shift
+        powers = F.slice(F.array(*[F.col(f"_p{k}") for k in range(2 * shift, 2 * top + 1)]), F.lit(1), 2 * width_ - 1)
+        rhs = F.slice(F.array(*[F.col(f"_t{k}") for k in range(shift, top + 1)]), F.lit(1), width_)
         fit = cut_lineage(sums.select(*group, "n", solve_normal(powers, rhs).alias("coef")))
         if i < solves - 1:
-            res = rows.join(fit, list(group)).withColumn("_r", F.col("_y") - polynomial(F.col("coef"), F.col("_s"), intercept))
+            res = rows.join(small(fit), list(group)).withColumn("_r", F.col("_y") - polynomial(F.col("coef"), F.col("_s"), top, intercept))
             if centre_residual:
                 mid = medians(res, F.col("_r"), "_mid")
                 res = res.join(mid, list(group)).withColumn("_r", F.col("_r") - F.col("_mid"))
@@ -97,7 +119,7 @@ def robust_project(
     15 and 0.60 elsewhere.
     """
     fit = robust_polynomial(df, group, s, y, degree, solves, 2.0, intercept)
-    d = df.join(fit, list(group), "left").withColumn("_fit", polynomial(F.col("coef"), F.col(s), intercept))
+    d = df.join(fit, list(group), "left").withColumn("_fit", polynomial(F.col("coef"), F.col(s), degree, intercept))
     if blend is None:
         d = with_group_stats(d, group, {"_exc": F.max(F.abs("_fit"))})
         b = F.when(F.col("_exc") > 15, 0.85).otherwise(0.60)
@@ -130,7 +152,7 @@ def polynomial_candidates(
     both = coef.join(scale.drop("_n"), key)
     name = F.concat(F.lit("poly_deg"), F.col("deg").cast("string"), F.lit("_tail"), F.col("tail").cast("string"))
     return d.select(group, pos, x).join(both, group).select(
-        group, pos, name.alias("name"), polynomial(F.col("coef"), (F.col(x) - F.col("_x0")) / F.col("_span")).alias("pred"))
+        group, pos, name.alias("name"), polynomial(F.col("coef"), (F.col(x) - F.col("_x0")) / F.col("_span"), max(degrees)).alias("pred"))
 
 
 def segment_curve(df: DataFrame, group: str, x: str, y: str, eps: float = 1.5, min_len: float = 40.0, pos: str = "row_idx") -> DataFrame:

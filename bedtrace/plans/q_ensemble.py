@@ -224,7 +224,7 @@ def augmented_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 def scaled_prices(spark: SparkSession, sf: str) -> DataFrame:
     log = part_log(spark, sf)
-    return log.select("well", "row_idx", ((F.col("row_idx") + 1) / F.col("n_rows")).alias("s"), (F.col("price") / 1000).alias("y"))
+    return cut_lineage(log.select("well", "row_idx", ((F.col("row_idx") + 1) / F.col("n_rows")).alias("s"), (F.col("price") / 1000).alias("y")))
 
 
 @query("d14_projection_straight_line", f"""WITH {PARTS_SQL}, p AS (SELECT well, row_idx, (row_idx + 1.0::DOUBLE) / n_rows AS s, price / 1000 AS y FROM plog),

@@ -8,14 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bedtrace.functions.columns import clip
 from bedtrace.operators import calibrate as A
 from bedtrace.operators import interp as I
 from bedtrace.operators.cells import framed, index_rows
-from bedtrace.operators.quantiles import grouped_quantiles
 from bedtrace.operators.sequence import gradient, rolling
 from bedtrace.plans.bindings import EVENTS_SQL, PARTS_SQL, event_log, events, part_log
 from bedtrace.plans.registry import query, shown, sql_rounded, sql_shown
+from bedtrace.session import cut_lineage
 
 U = ["user_id"]
 E = ["user_id", "event_id"]
@@ -251,7 +250,7 @@ SELECT {sql_shown(['well'], SEG_OUT, 4)} FROM (SELECT well, quantile_cont(price,
  quantile_cont(price, 0.5) FILTER (row_idx >= n - 50) AS b_late,
  sum(exp(0.02 * (row_idx - n + 1)) * price) / sum(exp(0.02 * (row_idx - n + 1))) AS b_wls FROM k GROUP BY well)""")
 def segment_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(A.segment_offsets(part_log(spark, sf).where("known"), ["well"], "price"), ["well"], SEG_OUT, 4)
+    return shown(A.segment_offsets(cut_lineage(part_log(spark, sf).where("known").select("well", "row_idx", "price")), ["well"], "price"), ["well"], SEG_OUT, 4)
 
 
 @query("a14_residual_stats", curve_sql(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,18 +16,25 @@ def cell_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(CELL_ROWS_CONF, str(DEFAULT_CELL_ROWS)))
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        # A local folder is only chosen when the session names none, which is the single-machine case.
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
+def _shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names. Only a session that names none, as in tests, gets a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so later steps survive lost executors."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and go on from there.
+
+    Later steps then neither repeat the work before nor depend on the executors that did it. A written table is used
+    rather than ``checkpoint()``: it is computed once, read back by column, and its size is known to the planner.
+    """
+    spark = df.sparkSession
+    path = f"{_shared_dir(spark).rstrip('/')}/bedtrace/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
