@@ -107,17 +107,16 @@ def segment_decode(
     Returns ``(group, pos, decoded, decoded_best)``.
     """
     d = with_group_stats(rows, [group], {"_m0": F.min("md")})
-    d = d.withColumn("seg", F.floor((F.col("md") - F.col("_m0")) / seg_len).cast("int")).drop("_m0")
+    d = d.withColumn("seg", F.floor((F.col("md") - F.col("_m0")) / seg_len).cast("int"))
     # Pieces are numbered without gaps, so an empty stretch does not end a group early.
-    segs = d.groupBy(group, "seg").agg(F.max("md").alias("md_last"), F.min("md").alias("md_first"), F.count(F.lit(1)).alias("_c"),
-                                       F.min(F.struct("md", pos)).alias("_f"))
+    segs = d.groupBy(group, "seg").agg(F.max("md").alias("md_last"))
     w = Window.partitionBy(group).orderBy("seg")  # one row per segment
-    second = d.groupBy(group).agg(F.sort_array(F.collect_set(F.when(F.col("seg") == 0, F.col("md")))).alias("_h")).select(
-        group, F.get("_h", F.lit(0)).alias("_h0"), F.get("_h", F.lit(1)).alias("_h1"))
+    second = d.groupBy(group).agg(F.min("_m0").alias("_h0"), F.min(F.when(F.col("md") > F.col("_m0"), F.col("md"))).alias("_h1"))
     segs = segs.withColumn("ord", F.row_number().over(w) - 1).withColumn("md_prev", F.lag("md_last").over(w)).join(second, group)
-    segs = segs.withColumn("md_prev", F.coalesce("md_prev", F.col("_h0") - (F.col("_h1") - F.col("_h0")), F.col("_h0")))
+    # The first piece starts one step before its first row.
+    segs = segs.withColumn("md_prev", F.coalesce("md_prev", 2 * F.col("_h0") - F.col("_h1"), F.col("_h0")))
     segs = cut_lineage(segs.select(group, "seg", "ord", "md_prev", "md_last"))
-    d = cut_lineage(d.join(segs, [group, "seg"]))
+    d = cut_lineage(d.drop("_m0").join(segs, [group, "seg"]))
     grid = regrid(curve, [group], cx, cy, grid_step).withColumnRenamed("grid_y", "ref")
     frame = grid.groupBy(group).agg(F.min("grid_x").alias("grid_min"), F.max("step").alias("grid_last"))
     grid = cut_lineage(grid.select(group, "step", "ref"))
