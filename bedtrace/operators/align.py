@@ -206,3 +206,63 @@ def draw_scores(per_group: DataFrame, group: str, draws: int, size: int, seed: i
     d = d.withColumn("_h", h).withColumn("_r", F.row_number().over(Window.partitionBy("draw").orderBy("_h", group))).where(F.col("_r") <= size)
     r, n = F.col("rmse"), F.col("n")
     return d.groupBy("draw").agg(F.count(F.lit(1)).alias("groups"), F.sqrt(F.sum(r * r * n) / F.sum(n)).alias("rmse"))
+
+
+def lattice_decode(
+    rows: DataFrame, curve: DataFrame, starts: DataFrame, group: str, cx: str, cy: str, lengths: Sequence[int],
+    slopes: Sequence[float], step_len: float, mu: float, sigma_len: float, keep: int = 96, sigma: float = 0.012,
+    jump: float = 25.0, length_weight: float = 1.0, temperature: float = 0.02, top: int = 32, grid_step: float = 0.5,
+) -> DataFrame:
+    """Decode with pieces of free length: like ``segment_decode``, but a piece may span any of ``lengths`` lattice steps
+    and its length is scored by a log-normal prior (``mu``, ``sigma_len`` of the log length).
+
+    ``rows`` is the log on an even lattice: group, step (0 at the anchor), z, signal. Chains wait at the lattice point
+    where their last piece ended; one round per lattice point extends those of all groups that wait there. ``keep`` is the
+    beam width per group, start point and length. Returns ``(group, step, surface)``.
+    """
+    base = int(np.gcd.reduce(np.asarray(lengths)))
+    longest = max(lengths)
+    ends = rows.groupBy(group).agg(F.max("step").cast("int").alias("n1"))
+    grid = regrid(curve, [group], cx, cy, grid_step).withColumnRenamed("grid_y", "ref")
+    frame = grid.groupBy(group).agg(F.min("grid_x").alias("grid_min"), F.max("step").alias("grid_last"))
+    grid = cut_lineage(grid.select(group, F.col("step").alias("cell"), "ref"))
+    lattice = cut_lineage(rows.select(group, F.col("step").cast("int").alias("step"), "z", "signal"))
+    known = cut_lineage(starts.select(group, "u0", "s0", "gamma").join(frame, group).join(ends, group).where(F.col("n1") > 0))
+    fixed = known.select(group, "gamma", "grid_min", "grid_last", "n1")
+    no_path = F.array().cast("array<struct<p0:int,p1:int,u:double,slope:double>>")
+    states = known.select(group, F.lit(0).alias("p"), F.col("u0").alias("u"), F.col("s0").alias("s"), F.lit(0.0).alias("score"), no_path.alias("path"))
+    last = known.agg(F.max("n1")).first()[0] or 0
+    log_len = {n: -0.5 * ((float(np.log(n * step_len)) - mu) / sigma_len) ** 2 - float(np.log(n * step_len * sigma_len)) for n in lengths}
+    for p in range(0, last, base):
+        order = Window.partitionBy(group).orderBy(F.col("score").desc(), "u", "s")
+        here = states.where(F.col("p") == p).join(fixed, group).where(F.col("n1") > p)
+        here = here.withColumn("sid", F.row_number().over(order)).where(F.col("sid") <= keep)
+        cand = here.select(group, "sid", "u", "gamma", "grid_min", "grid_last", F.explode(F.array(*[F.lit(float(r)) for r in slopes])).alias("slope"))
+        d = cand.join(lattice.where((F.col("step") > p) & (F.col("step") <= p + longest)), group)
+        tvt = F.col("u") + F.col("slope") * step_len * (F.col("step") - p) - F.col("z")
+        cell = clip(F.floor((tvt - F.col("grid_min")) / grid_step).cast("double"), F.lit(0.0), F.col("grid_last").cast("double")).cast("long")
+        d = d.withColumn("cell", cell).join(grid, [group, "cell"])
+        ll = -F.log1p(F.pow((F.col("signal") - F.col("ref")) / F.col("gamma"), 2))
+        sums = d.groupBy(group, "sid", "slope").agg(*[F.sum(F.when(F.col("step") <= p + n, ll)).alias(f"l{n}") for n in lengths])
+        options = F.explode(F.array(*[F.struct(F.lit(n).alias("len"), F.col(f"l{n}").alias("ll"), F.lit(log_len[n]).alias("lp")) for n in lengths]))
+        new = sums.select(group, "sid", "slope", options.alias("o")).join(here.drop("p", "gamma", "grid_min", "grid_last"), [group, "sid"])
+        p1 = F.least(F.lit(p) + F.col("o.len"), F.col("n1")).cast("int")
+        move = F.greatest(-0.5 * F.pow((F.col("slope") - F.col("s")) / sigma, 2), F.lit(-jump))
+        new = new.select(
+            group, p1.alias("p"), (F.col("u") + F.col("slope") * step_len * (p1 - p)).alias("u1"), F.col("slope").alias("s1"),
+            (F.col("score") + F.col("o.ll") + length_weight * F.col("o.lp") + move).alias("score1"), F.col("o.len").alias("len"),
+            F.concat("path", F.array(F.struct(F.lit(p).alias("p0"), p1.alias("p1"), F.col("u"), F.col("slope")))).alias("path1"))
+        rank = F.row_number().over(Window.partitionBy(group, "len").orderBy(F.col("score1").desc(), "u1", "s1"))
+        new = new.withColumn("_r", rank).where(F.col("_r") <= keep).select(
+            group, "p", F.col("u1").alias("u"), F.col("s1").alias("s"), F.col("score1").alias("score"), F.col("path1").alias("path"))
+        # Chains at this point have moved on; those of finished groups stay at their end.
+        rest = states.join(fixed.select(group, "n1"), group).where((F.col("p") != p) | (F.col("n1") <= p)).drop("n1")
+        states = cut_lineage(rest.unionByName(new))
+    done = states.join(fixed.select(group, "n1"), group).where(F.col("p") == F.col("n1"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col("score").desc(), "u", "s"))
+    best = with_group_stats(done.withColumn("_r", rank).where(F.col("_r") <= top), [group], {"_top": F.max("score")})
+    best = best.withColumn("_w", F.exp((F.col("score") - F.col("_top")) / (F.col("n1") + 1) / temperature))
+    pieces = best.select(group, "_w", F.explode("path").alias("c")).select(group, "_w", "c.*")
+    on = pieces.withColumn("step", F.explode(F.sequence(F.col("p0") + 1, F.col("p1"))))
+    u = F.col("u") + F.col("slope") * step_len * (F.col("step") - F.col("p0"))
+    return on.groupBy(group, "step").agg((F.sum(F.col("_w") * u) / F.sum("_w")).alias("surface"))

@@ -398,6 +398,20 @@ def segment_decode(spark: SparkSession, sf: str) -> DataFrame:
     return shown(d, K, ["decoded", "decoded_best"], 4)
 
 
+@query("d9_lattice_decode", None)
+def lattice_decode(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of 4, 8 or 12 lattice steps of 12 hours with a log-normal length prior."""
+    from bedtrace.operators.interp import regrid
+
+    rows, curve, starts = decode_inputs(spark, sf)
+    starts = cut_lineage(starts.join(S.anchor(event_log(spark, sf), U, "known", ["x"]), U))
+    rel = rows.join(starts.select("user_id", "last_x"), U).withColumn("rel", F.col("md") - F.col("last_x"))
+    lattice = regrid(rel, U, "rel", "signal", 12.0, start=0.0).join(starts.select("user_id", "last_x"), U)
+    lattice = lattice.select("user_id", "step", (-0.5 * (F.col("last_x") + F.col("grid_x"))).alias("z"), F.col("grid_y").alias("signal"))
+    d = L.lattice_decode(lattice, curve, starts, "user_id", "cx", "cy", [4, 8, 12], SLOPES, 12.0, 4.5, 0.5, keep=8, top=8, grid_step=6.0)
+    return shown(d, ["user_id", "step"], ["surface"], 4)
+
+
 @query("d10_decode_variants", None)
 def decode_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Two temperatures and two evidence weights of the decoder; differences to the plain form."""

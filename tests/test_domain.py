@@ -142,6 +142,20 @@ def test_decode_follows_the_planted_surface(spark, wells):
     assert len(d) == 400 and np.sqrt(((d.decoded_best - d.TVT) ** 2).mean()) < 0.5
 
 
+def test_lattice_decode_follows_a_line(spark):
+    t = np.arange(0, 200, 0.5)
+    gr = 60 + 25 * np.sin(t / 5) + 10 * np.sin(t / 2.1)
+    step = np.arange(0, 41)
+    z, u = 0.3 * step, 80 + np.where(step <= 20, 0.2 * step, 4.0 - 0.1 * (step - 20))
+    rows = pd.concat([pd.DataFrame({"g": g, "step": step, "z": z, "signal": np.interp(u - z, t, gr)})[: 41 - cut] for g, cut in (("a", 0), ("b", 7))])
+    curve = spark.createDataFrame(pd.DataFrame({"g": np.repeat(["a", "b"], len(t)), "x": np.tile(t, 2), "y": np.tile(gr, 2)}))
+    starts = spark.createDataFrame([("a", 80.0, 0.0, 5.0), ("b", 80.0, 0.0, 5.0)], "g string, u0 double, s0 double, gamma double")
+    slopes = [-0.2, -0.1, 0.0, 0.1, 0.2]
+    got = L.lattice_decode(spark.createDataFrame(rows), curve, starts, "g", "x", "y", [10, 20], slopes, 1.0, np.log(15), 1.0, keep=6, sigma=0.2, grid_step=0.1).toPandas()
+    assert len(got) == 40 + 33
+    assert np.abs(got.surface - u[got.step]).max() < 0.3
+
+
 def test_curve_families(spark):
     runs = {"a": [1, 2, 3, 9], "b": [7, 2, 3, 8], "c": [5, 3, 8, 6], "d": [1, 3, 2, 4]}
     d = spark.createDataFrame([(g, i, v) for g, vs in runs.items() for i, v in enumerate(vs)], "g string, row_idx long, v int")
