@@ -16,7 +16,7 @@ def main() -> None:
     args = sys.argv[2:]
     if args and args[0].startswith("cell="):
         cell, args = args[0][5:], args[1:]
-    spark = local_session(8)
+    spark = local_session(8, shuffle_partitions=4)
     spark.sparkContext.setLogLevel("ERROR")
     if cell:
         spark.conf.set(CELL_ROWS_CONF, cell)
