@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bedtrace.llm import exact, packing, tokens
+from bedtrace.llm import exact, packing, quality, secrets, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op2_token_counts": tokens.op2_token_counts,
     "op5_packing": packing.op5_packing,
+    "op8_secret_scans": secrets.op8_secret_scans,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": exact.OP1_SQL,
+    "op10_quality_rules": quality.OP10_SQL,
 }
