@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bedtrace.llm import exact, packing, quality, secrets, tokens
+from bedtrace.llm import exact, langid, packing, quality, secrets, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op2_token_counts": tokens.op2_token_counts,
     "op5_packing": packing.op5_packing,
+    "op6_language_id": langid.op6_language_id,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_secret_scans": secrets.op8_secret_scans,
     "op10_quality_rules": quality.op10_quality_rules,
 }
