@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bedtrace.llm import exact, langid, packing, quality, secrets, tokens, toxicity
+from bedtrace.llm import exact, jaccard, langid, packing, quality, secrets, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op2_token_counts": tokens.op2_token_counts,
+    "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op5_packing": packing.op5_packing,
     "op6_language_id": langid.op6_language_id,
     "op7_toxicity": toxicity.op7_toxicity,
