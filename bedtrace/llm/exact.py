@@ -20,6 +20,7 @@ from bedtrace.session import cut_lineage
 
 BUCKETS = 2048
 BUCKET_DIGESTS = 1 << 20  # more digests than this in a bucket on average mean more buckets
+MARK_BITS = 1 << 24  # 2 MB as bitmaps, whatever the size of the data
 
 
 def normalised(text: Column) -> Column:
@@ -128,13 +129,14 @@ def dedup_batches(df: DataFrame, batch: Column, batches: int, key: str = "doc_id
     with one digest but other bytes stay apart. Null text counts as empty; an empty table gives an empty result.
     Extra columns are left behind.
 
-    A digest that occurs once is settled by counts alone. Only texts whose digest occurs again are read a second time
-    and grouped by their bytes, with the copies of each task combined before the shuffle, so a group of any size is
-    spread over all tasks.
+    A digest that occurs once is settled by counts alone. Texts whose digest occurs again are read a second time (found
+    by bitmaps of MARK_BITS bits, a fixed size that may be broadcast; where they are crowded, more texts go through and
+    come out alone) and grouped by their bytes, with the copies of each task combined before the shuffle, so a group of
+    any size is spread over all tasks.
     """
     norm = normalised(F.col("__text"))
     src = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"), batch.alias("__batch"))
-    route = F.sha2("__norm", 256) if digest is None else digest
+    route = F.xxhash64("__norm") if digest is None else digest
     rows = src.withColumn("__norm", norm).select(
         "__key", F.coalesce(F.length("__text"), F.lit(0)).alias("points"), F.sha2("__norm", 256).alias("text_sha256"), route.alias("digest"), F.coalesce("__batch", F.lit(0)).alias("batch"))
     rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -156,7 +158,12 @@ def dedup_batches(df: DataFrame, batch: Column, batches: int, key: str = "doc_id
 
     # byte check: rows of these digests grouped by the bytes themselves
     texts = src.withColumn("__norm", norm).select("__key", F.coalesce(F.length("__text"), F.lit(0)).alias("points"), "__norm", route.alias("digest"))
-    suspect = texts.join(again, "digest", "left_semi")
+    mark = lambda: F.pmod(F.xxhash64("digest", F.lit(11)), F.lit(MARK_BITS))
+    marks = again.groupBy(F.bitmap_bucket_number(mark()).alias("mark_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(mark())).alias("bits"))
+    place = F.bitmap_bit_position(mark())
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    texts = texts.withColumn("mark_bucket", F.bitmap_bucket_number(mark())).join(F.broadcast(marks), "mark_bucket")
+    suspect = texts.filter(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1)  # all rows that matter, and a few that are alone
     best = F.max(F.struct("points", F.col("__key").isNotNull().alias("known"), F.bitwise_not("__key").alias("turned"))).alias("best")
     classes = suspect.groupBy("digest", "__norm").agg(F.count("*").alias("group_size"), best)
     classes = cut_lineage(classes.select("digest", "__norm", "group_size", F.bitwise_not("best.turned").alias("keep_id"), F.col("best.points").alias("best_points")))
