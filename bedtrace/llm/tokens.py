@@ -85,7 +85,7 @@ class Encoder:
         word = np.array([-1 if w is None else w for w in e.word_ids])
         new = np.append(True, (word[1:] != word[:-1]) | (word[1:] < 0) | (word[:-1] < 0))
         k = np.flatnonzero(new)
-        return e.ids, np.array([e.offsets[i][0] for i in k], np.int64), k
+        return e.ids, np.array([s for s, _ in e.offsets], np.int64)[k], k
 
     def id_parts(self, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP) -> Iterator[list[int]]:
         """Ids of a text of any length, part by part, with the memory of one chunk."""
