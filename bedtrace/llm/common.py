@@ -31,13 +31,18 @@ def kept_object(key: object, make: Callable[[], object]) -> object:
     return store[key]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches end after some bytes as well as after some rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_text(df: DataFrame, cols: list[str], text: str, out: T.StructType, fn: Callable[[pa.Array], list]) -> DataFrame:
     """``cols`` of every row and what ``fn`` makes of its text (null counts as empty), batch by batch.
 
     ``fn`` gets the string array of a batch and returns one array or list for each field of ``out``. Other columns of
     ``df`` are left behind, and a column of ``cols`` that is named like one of ``out`` gives way to it.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(df.sparkSession)
     cols = [c for c in cols if c not in out.fieldNames()]
     src = df.select(*[F.col(f"`{c}`") for c in cols], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
     schema = T.StructType([src.schema[c] for c in cols] + out.fields)

@@ -31,25 +31,25 @@ from pyspark.sql import types as T
 
 from bedtrace.llm.common import doc_counts, documents, map_text, mixed, text_bytes, words_of
 from bedtrace.llm.components import components
+from bedtrace.llm.marks import is_marked, marked, split_by_marks
 from bedtrace.session import cut_lineage
 
-SIM = 85  # per cent
+WORDS, SIM = 4, 85  # words of a shingle, similarity in per cent
 SKETCH = 8  # words of 64 bits
-MARK_BITS = 1 << 27  # 16 MB of bitmap, whatever the size of the data
 PART_BYTES = 4 << 20
 
 
-def bands(largest: int) -> np.ndarray:
+def bands(largest: int, sim: int) -> np.ndarray:
     """First size of each band; a partner of a set lies in the same or a neighbouring band."""
     out = [1]
     while out[-1] <= largest:
-        out.append(max(out[-1] + 1, -(-out[-1] * 10_000 // (SIM * SIM))))
-    return np.array(out + [max(out[-1] + 1, -(-out[-1] * 10_000 // (SIM * SIM)))], np.int64)
+        out.append(max(out[-1] + 1, -(-out[-1] * 10_000 // (sim * sim))))
+    return np.array(out + [max(out[-1] + 1, -(-out[-1] * 10_000 // (sim * sim)))], np.int64)
 
 
-def most_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def most_apart(a: np.ndarray, b: np.ndarray, sim: int) -> np.ndarray:
     """Largest difference of two sets of these sizes that still link."""
-    return (100 - SIM) * (a + b) // (100 + SIM)
+    return (100 - sim) * (a + b) // (100 + sim)
 
 
 def shingle_sets(arr: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,21 +92,21 @@ def sketches(v: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out.view(np.int64).reshape(-1, SKETCH)
 
 
-def signatures(v: np.ndarray, n: np.ndarray, up: bool, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def signatures(v: np.ndarray, n: np.ndarray, up: bool, use: np.ndarray, sim: int = SIM) -> tuple[np.ndarray, ...]:
     """Keys of the texts marked in ``use``, for their own band or the band above (``up``).
 
     Returns the keys in order of text, their number per text, the slack left per text, the keys of empty subsets
-    (of texts with more of them than slack), and their number per text.
+    (of texts with more of them than slack), their number per text, and which texts have too few other subsets.
     """
-    edge = bands(int(n.max()) if len(n) else 1)
+    edge = bands(int(n.max()) if len(n) else 1, sim)
     own = np.searchsorted(edge, np.maximum(n, 1), "right") - 1
     band = own + up
     last = edge[band + 1] - 1  # largest size of the band
-    partner = np.minimum(n * 100 // SIM, last)
-    h = most_apart(n, partner)
-    use = use & (h > 0) & ((n * 100 // SIM >= edge[band]) if up else True)
-    h_band = most_apart(last, last)
-    low = np.maximum(edge[own] if not up else -(-edge[band] * SIM // 100), 1)
+    partner = np.minimum(n * 100 // sim, last)
+    h = most_apart(n, partner, sim)
+    use = use & (h > 0) & ((n * 100 // sim >= edge[band]) if up else True)
+    h_band = most_apart(last, last, sim)
+    low = np.maximum(edge[own] if not up else -(-edge[band] * sim // 100), 1)
     empty_share = np.exp(-low / (h_band + 2.0))
     expected = empty_share * (h_band + 2)
     slack = np.floor(expected + 3 * np.sqrt(expected)).astype(np.int64)
@@ -171,7 +171,7 @@ def _parts(arr: pa.Array) -> Iterator[pa.Array]:
         at = to
 
 
-def profiles(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
+def profiles(df: DataFrame, key: str, text: str, words: int, sim: int = SIM) -> DataFrame:
     """Per row: size, set number and, once for each set of a batch, sketch and keys."""
 
     def run(arr: pa.Array) -> list:
@@ -185,8 +185,8 @@ def profiles(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
             fresh &= n > 0
             fresh &= np.array([s not in seen for s in sid.tolist()], bool)
             seen.update(sid.tolist())
-            k0, c0, s0, r0, rc0, stuck0 = signatures(v, n, False, fresh)
-            k1, c1, s1, r1, rc1, stuck1 = signatures(v, n, True, fresh)
+            k0, c0, s0, r0, rc0, stuck0 = signatures(v, n, False, fresh, sim)
+            k1, c1, s1, r1, rc1, stuck1 = signatures(v, n, True, fresh, sim)
             rare = np.concatenate([r0, r1])
             doc = np.concatenate([np.repeat(np.arange(len(n)), rc0), np.repeat(np.arange(len(n)), rc1)])
             made.append([pa.array(n.astype(np.int64)), pa.array(sid), _lists(sketches(v, n).ravel(), np.full(len(n), SKETCH)), _lists(k0, c0), _lists(k1, c1),
@@ -198,21 +198,6 @@ def profiles(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return map_text(df, [key], text, PROFILE, run)
 
 
-def marked(values: DataFrame, col: str) -> np.ndarray:
-    """Bitmap of MARK_BITS bits of a column of longs; its size is fixed, so it may visit the driver."""
-    at = F.pmod(F.col(col), F.lit(MARK_BITS)) + 1  # Spark counts bits of positive numbers from 1
-    rows = values.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = np.zeros(MARK_BITS // 8, np.uint8)
-    for r in rows:
-        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
-def is_marked(bits: np.ndarray, v: np.ndarray) -> np.ndarray:
-    at = v & (MARK_BITS - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def candidate_lists(prof: DataFrame) -> DataFrame:
     """``key``, ``sid``, ``size``: the members of all lists with two sets or more, after each set has left out its longest lists."""
     if prof.filter("stuck").isEmpty():
@@ -244,13 +229,13 @@ def candidate_lists(prof: DataFrame) -> DataFrame:
     return got.join(counts, "key").withColumn("rank", rank).filter("rank > slack").select("key", "sid", "size", "cost")
 
 
-def _near(n1: Column, n2: Column, s1: Column, s2: Column) -> Column:
+def _near(n1: Column, n2: Column, s1: Column, s2: Column, sim: int) -> Column:
     """Sizes that can link, and sketches that do not rule it out."""
     apart = sum((F.bit_count(F.get(s1, F.lit(k)).bitwiseXOR(F.get(s2, F.lit(k)))) for k in range(SKETCH)), F.lit(0))
-    return (100 * F.least(n1, n2) >= SIM * F.greatest(n1, n2)) & (apart <= F.floor((100 - SIM) * (n1 + n2) / (100 + SIM)))
+    return (100 * F.least(n1, n2) >= sim * F.greatest(n1, n2)) & (apart <= F.floor((100 - sim) * (n1 + n2) / (100 + sim)))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, sim: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     left = pairs.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b")
     both = left.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
@@ -263,14 +248,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = 100 * both >= SIM * (len(x) + len(y) - both)
+                ok[i] = 100 * both >= sim * (len(x) + len(y) - both)
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def link_components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
+def link_components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, sim: int = SIM) -> DataFrame:
     """One row per row of ``df``: ``key``, n_shingles, component_id (smallest ``key`` reachable by links).
 
     Null, empty and wordless texts have no shingles and stay alone (component_id is their own key, null for a null
@@ -278,9 +263,9 @@ def link_components(df: DataFrame, key: str = "doc_id", text: str = "text", word
     result; other columns are left behind. Shingles are compared by 64-bit hashes.
     """
     src = df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
-    prof = cut_lineage(profiles(src, "__key", "__text", words))
+    prof = cut_lineage(profiles(src, "__key", "__text", words, sim))
     lists = cut_lineage(candidate_lists(prof))
-    links = _links(src, prof, lists, words)
+    links = _links(src, prof, lists, words, sim)
     roots = components(links)
     rows = prof.select("__key", "n_shingles", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     rows = cut_lineage(rows.select("__key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "sid")).alias("root")))
@@ -289,7 +274,7 @@ def link_components(df: DataFrame, key: str = "doc_id", text: str = "text", word
     return out.select(F.col("__key").alias(key), "n_shingles", F.coalesce("least", "__key").alias("component_id"))
 
 
-def _links(src: DataFrame, prof: DataFrame, lists: DataFrame, words: int) -> DataFrame:
+def _links(src: DataFrame, prof: DataFrame, lists: DataFrame, words: int, sim: int) -> DataFrame:
     degree = lists.groupBy("sid").agg(F.sum("cost").alias("degree"))
     sketch = prof.filter(F.size("keys") > 0).select("sid", "sketch").join(degree, "sid").groupBy("sid").agg(F.max("degree").alias("degree"), F.first("sketch").alias("sketch"))
     sketch = cut_lineage(sketch)
@@ -318,7 +303,7 @@ def _links(src: DataFrame, prof: DataFrame, lists: DataFrame, words: int) -> Dat
         left = cut_lineage(left.join(cut_lineage(mixed_keys), "key").select("key", "sid", "size", "degree", "sketch", "root"))
         if left.isEmpty():
             break
-        ok = _near(F.col("x.size"), F.col("y.size"), F.col("x.sketch"), F.col("y.sketch")) & (F.col("x.root") != F.col("y.root"))
+        ok = _near(F.col("x.size"), F.col("y.size"), F.col("x.sketch"), F.col("y.sketch"), sim) & (F.col("x.root") != F.col("y.root"))
         if turn < 2:  # compare with the one that leads each list
             best = left.groupBy("key").agg(F.max(F.struct("degree", "sid", "size", "root", "sketch")).alias("x"))
             best = cut_lineage(best.select("key", "x.sid", "x.size", "x.root", "x.sketch"))
@@ -326,7 +311,7 @@ def _links(src: DataFrame, prof: DataFrame, lists: DataFrame, words: int) -> Dat
         else:  # the rest: members of different components
             pairs = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & ok)
         pairs = pairs.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-        new = verified(cut_lineage(pairs), sets)
+        new = verified(cut_lineage(pairs), sets, sim)
         links = cut_lineage(new if links is None else links.unionByName(new))
         lists = left.drop("root")
         if turn < 2:
@@ -334,5 +319,22 @@ def _links(src: DataFrame, prof: DataFrame, lists: DataFrame, words: int) -> Dat
     return links if links is not None else comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, sim: int = 80) -> DataFrame:
+    """Rows of ``df``, all columns, without the documents that are linked with one of a smaller ``key``.
+
+    Rows of one key are one document: of several same rows (key and text) one stays. Rows with a null key cannot be
+    told apart and stay.
+    """
+    comp = cut_lineage(link_components(df, key, text, words, sim))
+    gone = cut_lineage(comp.filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("__gone")).distinct())
+    hit, rest = split_by_marks(df, key, gone, "__gone")
+    kept = rest.unionByName(hit.join(gone, F.col(f"`{key}`") == F.col("__gone"), "left_anti"))
+    twins = cut_lineage(comp.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__twin")).agg(F.count("*").alias("n")).filter("n > 1").select("__twin"))
+    if twins.isEmpty():
+        return kept
+    several, single = split_by_marks(kept, key, twins, "__twin")
+    return single.unionByName(several.dropDuplicates([key, text]))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(documents(spark, sf_dir))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from bedtrace.llm.common import documents, map_text
+from bedtrace.llm.common import bound_batches, documents, map_text
 
 REACH = 400
 BASE = ("assign", "access", "hex")
@@ -138,5 +139,22 @@ def redacted(text: str, reach: int = REACH, mark: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
+def redact_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df``, all its columns, with the findings in ``text`` replaced; null texts and texts without findings as they are."""
+    bound_batches(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            arr = b.column(at)
+            hit = suspects(pc.fill_null(arr, ""))
+            if hit.any():
+                new = [redacted(arr[i].as_py()) for i in np.flatnonzero(hit).tolist()]
+                arr = pc.replace_with_mask(arr, pa.array(hit), pa.array(new, arr.type))
+            yield pa.RecordBatch.from_arrays([arr if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir), ["doc_id"])
