@@ -20,27 +20,63 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bedtrace.session import cell_rows
+from bedtrace.session import cell_rows, cut_lineage
 
 CELL = "_cell"
 
 
-def add_cells(df: DataFrame, group: Sequence[str], axis: str, rows: int | None = None) -> DataFrame:
-    """Add ``_cell``, a monotone bucket of ``axis`` inside each group, about ``rows`` rows wide.
+def add_cells(df: DataFrame, group: Sequence[str], axis: str, rows: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Add ``_cell``, a slice number that never falls along (``axis``, ``order``) inside each group.
 
-    Groups that fit one cell get cell 0. The bucket count follows the group's own row count, so a group that holds a
-    third of the table is spread over as many tasks as its size calls for.
+    No cell holds more than twice ``rows`` rows, whatever the distribution: cells start as equal slices of the range, and
+    any that is too full is cut again inside its own range, until none is. Rows tied on ``axis`` are cut by the next
+    column of ``order`` that is a number, date or time. Only rows equal in all of these stay together. Each pass
+    aggregates per cell and writes one row per cell that is too full, so its cost falls with the rows still to be cut.
+
+    When every group fits one cell (one count decides), all rows get the same cell and nothing is joined. Otherwise the
+    input is written once, because it is read by each pass.
     """
     rows = rows or cell_rows(df.sparkSession)
-    a = F.col(axis).cast("double")
-    stats = df.groupBy(*group).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias("_k"), F.min(a).alias("_lo"), F.max(a).alias("_hi")
-    )
-    spread = F.floor((a - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_k"))
-    cell = F.when((F.col("_k") > 1) & (F.col("_hi") > F.col("_lo")), F.least(spread, F.col("_k") - 1)).otherwise(F.lit(0))
-    joined = df.join(stats, list(group)) if group else df.join(stats)
-    return joined.withColumn(CELL, cell.cast("long")).drop("_k", "_lo", "_hi")
+    keys = list(group)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= rows:
+        return df.withColumn(CELL, F.array(F.lit(0).cast("long")))
+    out = cut_lineage(df).withColumn(CELL, F.array(F.lit(0).cast("long")))
+    for column in dict.fromkeys([axis, *order]):
+        if not isinstance(df.schema[column].dataType, SORTED_AS_NUMBER):
+            break
+        a = _as_number(df, column)
+        while True:
+            full = out.groupBy(*keys, CELL).agg(F.count(F.lit(1)).alias("_c"), F.min(a).alias("_lo"), F.max(a).alias("_hi"))
+            full = full.where((F.col("_c") > 2 * rows) & (F.col("_hi") > F.col("_lo")))
+            full = cut_lineage(full.select(*keys, F.col(CELL).alias("_from"), F.ceil(F.col("_c") / F.lit(rows)).alias("_k"), "_lo", "_hi"))
+            if full.isEmpty():
+                break
+            same = F.col(CELL) == F.col("_from")
+            for k in keys:
+                same = same & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+            inner = F.floor((a - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_k"))
+            # the ends get different slices even where the range is not finite, so each pass makes progress
+            slice_no = F.when(a >= F.col("_hi"), F.col("_k") - 1).when(a <= F.col("_lo"), F.lit(0)).otherwise(F.least(inner, F.col("_k") - 1))
+            path = F.concat(F.col(CELL), F.array(F.coalesce(slice_no, F.lit(0)).cast("long")))
+            cols = [F.col(f"x.{c}") for c in out.columns if c != CELL]
+            out = out.alias("x").join(full.alias("y"), same, "left").select(*cols, path.alias(CELL))
+    return out
+
+
+SORTED_AS_NUMBER = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _as_number(df: DataFrame, column: str) -> Column:
+    """A double that never falls as the column rises."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double")
 
 
 def position_cells(df: DataFrame, pos: str = "row_idx", rows: int | None = None) -> DataFrame:
@@ -56,7 +92,7 @@ def index_rows(
 
     ``count`` optionally names a column that receives the group size.
     """
-    celled = add_cells(df, group, axis)
+    celled = add_cells(df, group, axis, order=order)
     whole = Window.partitionBy(*group)
     sizes = celled.groupBy(*group, CELL).agg(F.count(F.lit(1)).alias("_c"))
     starts = sizes.select(

@@ -139,7 +139,7 @@ def two_branch(df: DataFrame, group: Sequence[str], level: str, weight: str, tie
     d = with_group_stats(df, group, {"_tw": F.sum(weight)}).withColumn("_w", F.col(weight) / F.col("_tw"))
     x, w = F.col(level), F.col("_w")
     d = with_group_stats(d, group, {"_tx": F.sum(w * x), "_tx2": F.sum(w * x * x)})
-    d = running(add_cells(d, group, level), group, [level, tie], {"_cw": w, "_cx": w * x, "_cx2": w * x * x}).drop(CELL)
+    d = running(add_cells(d, group, level, order=[tie]), group, [level, tie], {"_cw": w, "_cx": w * x, "_cx2": w * x * x}).drop(CELL)
     wr = 1 - F.col("_cw")
     left = F.col("_cx2") - F.try_divide(F.col("_cx") * F.col("_cx"), F.col("_cw"))
     rx = F.col("_tx") - F.col("_cx")

@@ -33,7 +33,7 @@ def bracket_join(probe: DataFrame, curve: DataFrame, group: Sequence[str], x: st
     )
     probes = probe.where(px.isNotNull()).withColumns({"_x": px, "_kind": F.lit(1)})
     stream = probes.unionByName(knots, allowMissingColumns=True)
-    celled = add_cells(stream, group, "_x")
+    celled = add_cells(stream, group, "_x", order=["_kind"])
     knot = F.when(F.col("_kind") == 0, F.col("_knot"))
     found = neighbours(celled, group, ["_x", "_kind"], {PREV: knot}, {NEXT: knot})
     found = found.where(F.col("_kind") == 1).select(*probe.columns, PREV, NEXT)
@@ -87,7 +87,7 @@ def interp_columns(probe: DataFrame, curve: DataFrame, group: Sequence[str], x:
     knots = knots.select(*group, F.col("_kx").alias("_x"), F.lit(0).alias("_kind"), F.struct(F.col("_kx").alias("x"), *outs).alias("_knot"))
     stream = probe.withColumns({"_x": F.col(x).cast("double"), "_kind": F.lit(1)}).unionByName(knots, allowMissingColumns=True)
     knot = F.when(F.col("_kind") == 0, F.col("_knot"))
-    d = neighbours(add_cells(stream, group, "_x"), group, ["_x", "_kind"], {PREV: knot}, {NEXT: knot}).where(F.col("_kind") == 1)
+    d = neighbours(add_cells(stream, group, "_x", order=["_kind"]), group, ["_x", "_kind"], {PREV: knot}, {NEXT: knot}).where(F.col("_kind") == 1)
     p, q, at = F.col(PREV), F.col(NEXT), F.col("_x")
     share = F.when(p.isNotNull() & q.isNotNull(), (at - p.x) / (q.x - p.x))
     values = [F.coalesce(p[o] + share * (q[o] - p[o]), p[o], q[o]).alias(o) for o in outs]
@@ -172,7 +172,7 @@ def band_mean(
     )
     knot = F.col("_s") == 0
     run = running(
-        add_cells(stream.where(F.col("_x").isNotNull()), group, "_x"), group, ["_x", "_s"],
+        add_cells(stream.where(F.col("_x").isNotNull()), group, "_x", order=["_s"]), group, ["_x", "_s"],
         {"_sy": F.when(knot, F.col("_ky")), "_sn": F.when(knot, F.lit(1.0))},
     ).where(~knot)
     sums = run.groupBy("_row").agg(F.sum(F.col("_s") * F.col("_sy")).alias("_y"), F.sum(F.col("_s") * F.col("_sn")).alias("_n"))

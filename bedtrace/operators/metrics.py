@@ -164,7 +164,7 @@ def share_below(df: DataFrame, reference: DataFrame, group: Sequence[str], value
     """Share of the group's reference values that are smaller than the row's value."""
     ask = df.withColumns({"_v": F.col(value).cast("double"), "_kind": F.lit(0)})
     known = reference.where(F.col(ref).isNotNull()).select(*group, F.col(ref).cast("double").alias("_v"), F.lit(1).alias("_kind"))
-    stream = add_cells(ask.where(F.col("_v").isNotNull()).unionByName(known, allowMissingColumns=True), group, "_v")
+    stream = add_cells(ask.where(F.col("_v").isNotNull()).unionByName(known, allowMissingColumns=True), group, "_v", order=["_kind"])
     below = running(stream, group, ["_v", "_kind"], {"_below": F.col("_kind").cast("double")}).where(F.col("_kind") == 0)
     totals = known.groupBy(*group).agg(F.count(F.lit(1)).alias("_t"))
     return below.join(totals, list(group), "left").withColumn(out, F.try_divide("_below", "_t")).select(*df.columns, out)
