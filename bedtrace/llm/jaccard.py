@@ -106,7 +106,7 @@ def signatures(v: np.ndarray, n: np.ndarray, up: bool, use: np.ndarray, sim: int
     h = most_apart(n, partner, sim)
     use = use & (h > 0) & ((n * 100 // sim >= edge[band]) if up else True)
     h_band = most_apart(last, last, sim)
-    low = np.maximum(edge[own] if not up else -(-edge[band] * sim // 100), 1)
+    low = np.maximum(-(-edge[band] * sim // 100), 1)  # smallest set that meets others in this band
     empty_share = np.exp(-low / (h_band + 2.0))
     expected = empty_share * (h_band + 2)
     slack = np.floor(expected + 3 * np.sqrt(expected)).astype(np.int64)

@@ -116,8 +116,9 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 200, seed: int = 7) ->
         coef = coef * share
         c = np.bincount(own, coef, GRAMS.rows + 1)
         hit = np.flatnonzero(coef)  # only words of the bags pass a gradient on
-        place = np.concatenate([np.arange(begin[i], begin[i] + width[i]) for i in hit]) if len(hit) < len(uniq) // 4 else np.arange(rows.shape[1])
-        spread = np.repeat(coef[hit], width[hit]) if len(hit) < len(uniq) // 4 else np.repeat(coef, width)
+        size = width[hit]
+        place = np.repeat(begin[hit] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        spread = np.repeat(coef[hit], size)
         for r in rows:
             c += np.bincount(r[place], spread, GRAMS.rows + 1)
         c[GRAMS.rows] = 0
