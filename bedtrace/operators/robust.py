@@ -130,18 +130,18 @@ def robust_project(
 
 
 def polynomial_candidates(
-    df: DataFrame, group: str, x: str, y: str, known: str, tails: Sequence[int], degrees: Sequence[int],
+    df: DataFrame, group: str, x: str, y: str, known: str, tails: Sequence[int | None], degrees: Sequence[int],
     min_rows: int = 30, spare: int = 12, solves: int = 6, pos: str = "row_idx",
 ) -> DataFrame:
     """Polynomials fitted to the last known rows and read off on every row: one candidate per (tail, degree).
 
-    Returns long rows ``(group, pos, name, pred)``. x is scaled by the span of the tail.
+    A tail of None takes all known rows. Returns long rows ``(group, pos, name, pred)``. x is scaled by the span of the tail.
     """
     k = F.col(known)
     d = with_group_stats(df, [group], {"_end": F.max(F.when(k, F.col(pos)))})
-    configs = F.explode(F.array(*[F.struct(F.lit(int(t)).alias("tail"), F.lit(int(g)).alias("deg")) for t in tails for g in degrees]))
+    configs = F.explode(F.array(*[F.struct(F.lit(-1 if t is None else int(t)).alias("tail"), F.lit(int(g)).alias("deg")) for t in tails for g in degrees]))
     fitted = d.where(k).select(group, pos, x, y, "_end", configs.alias("_c")).select("*", "_c.tail", "_c.deg").where(
-        F.col(pos) > F.col("_end") - F.col("tail"))
+        (F.col("tail") < 0) | (F.col(pos) > F.col("_end") - F.col("tail")))  # -1: all known rows
     key = [group, "tail", "deg"]
     scale = fitted.groupBy(*key).agg(F.min_by(x, pos).alias("_x0"), (F.max(x) - F.min(x)).alias("_span"), F.count(y).alias("_n"))
     scale = scale.where((F.col("_n") >= min_rows) & (F.col("_n") >= F.col("deg") + spare)).withColumn(
@@ -150,7 +150,7 @@ def polynomial_candidates(
     fitted = fitted.join(scale, key).withColumn("_xs", (F.col(x) - F.col("_x0")) / F.col("_span"))
     coef = robust_polynomial(fitted, key, "_xs", y, F.col("deg"), solves, 2.5, True, max(degrees), True)
     both = coef.join(scale.drop("_n"), key)
-    name = F.concat(F.lit("poly_deg"), F.col("deg").cast("string"), F.lit("_tail"), F.col("tail").cast("string"))
+    name = F.concat(F.lit("poly_deg"), F.col("deg").cast("string"), F.lit("_tail"), F.when(F.col("tail") < 0, "all").otherwise(F.col("tail").cast("string")))
     return d.select(group, pos, x).join(both, group).select(
         group, pos, name.alias("name"), polynomial(F.col("coef"), (F.col(x) - F.col("_x0")) / F.col("_span"), max(degrees)).alias("pred"))
 

@@ -202,7 +202,7 @@ def contact_reconstruction(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d4_self_augmented_curve", f"""WITH {EVENTS_SQL}, {KNOTS}{KNOWN_HIT}, cal AS (SELECT user_id, CASE WHEN ok THEN ra ELSE 1 END AS a, CASE WHEN ok THEN rb ELSE d END AS b FROM (
  SELECT user_id, count(*) >= 5 AND stddev_pop(t) >= 1e-6 AND regr_slope(value, t) BETWEEN 0.2 AND 5 AS ok, regr_slope(value, t) AS ra, regr_intercept(value, t) AS rb, avg(value) - avg(t) AS d FROM hit GROUP BY user_id)),
-own AS (SELECT user_id, x AS kx, value AS ky FROM kn), gr AS (SELECT user_id, CAST(s AS BIGINT) AS step, 24.0::DOUBLE * s AS x FROM (SELECT DISTINCT user_id FROM knots) CROSS JOIN (SELECT unnest(generate_series(0, 29)) AS s)),
+own AS (SELECT user_id, x AS kx, value AS ky FROM kn), gr AS (SELECT user_id, CAST(s AS BIGINT) AS step, 24.0::DOUBLE * s AS x FROM (SELECT user_id, unnest(generate_series(0, CAST(floor(max(kx) / 24 + 1e-9) AS BIGINT))) AS s FROM knots GROUP BY user_id)),
 g1 AS (SELECT user_id, step, x, {at_sql()} AS y FROM ({bracket_sql('gr')})),
 g2 AS (SELECT user_id, step, x, y, CASE WHEN ax = x THEN ay WHEN ax IS NOT NULL AND bx IS NOT NULL THEN {at_sql()} END AS self FROM ({bracket_sql('g1', knots='own')}))
 SELECT user_id, step, {sql_rounded('CASE WHEN self IS NOT NULL THEN 0.4 * (a * y + b) + 0.6 * self ELSE a * y + b END')} AS aug FROM g2 JOIN cal USING (user_id)""")
@@ -213,7 +213,7 @@ def augmented_curve(spark: SparkSession, sf: str) -> DataFrame:
     curve, known = curve_of(spark, sf), known_clicks(spark, sf)
     hit = interp_join(known, curve, U, "x", "cx", "cy", "t").where(F.col("t").isNotNull())
     cal = A.affine(hit, U, F.col("t"), F.col("value"), 5)
-    grid = regrid(curve, U, "cx", "cy", 24.0, 0.0, 29 * 24.0)
+    grid = regrid(curve, U, "cx", "cy", 24.0, 0.0)
     d = interp_join(grid, known.select("user_id", "x", "value"), U, "grid_x", "x", "value", "own", edge="null").join(cal, U)
     mapped = F.col("a") * F.col("grid_y") + F.col("b")
     return shown(d.withColumn("aug", F.coalesce(E.mix(mapped, F.col("own"), 0.6), mapped)), ["user_id", "step"], ["aug"])
@@ -267,7 +267,7 @@ def ramped_blend(spark: SparkSession, sf: str) -> DataFrame:
 def poly_extrapolation(spark: SparkSession, sf: str) -> DataFrame:
     """Degrees 1..3 on the last 80 / 160 / 320 / 640 / all known rows, robustly reweighted."""
     log = part_log(spark, sf).withColumn("y", F.col("price") / 1000)
-    d = R.polynomial_candidates(log, "well", "x", "y", "known", [80, 160, 320, 640, 1_000_000], [1, 2, 3])
+    d = R.polynomial_candidates(log, "well", "x", "y", "known", [80, 160, 320, 640, None], [1, 2, 3])
     return shown(d, ["well", "row_idx", "name"], ["pred"], 4)
 
 
@@ -283,17 +283,16 @@ def segment_curve(spark: SparkSession, sf: str) -> DataFrame:
 # --- guarded corrections ----------------------------------------------------------------------------------------------
 
 
-@query("d22_guarded_override", f"""WITH {EVENTS_SQL}, ord AS (SELECT o_custkey AS user_id, epoch_us(o_orderdate) / CAST(3600000000 AS DOUBLE) - 473352.0 AS kx, avg(o_totalprice) / 2000 AS ky FROM orders GROUP BY 1, 2),
+# The reference of a user: the high-valued signups, another measurement on the same axis. The limits are such that every status occurs.
+@query("d22_guarded_override", f"""WITH {EVENTS_SQL}, ord AS (SELECT user_id, x AS kx, avg(value) AS ky FROM seq WHERE event_type = 'signup' AND value > 60 GROUP BY 1, 2),
 hit AS (SELECT *, CASE WHEN ax = x THEN ay WHEN ax IS NOT NULL AND bx IS NOT NULL THEN {at_sql()} END AS ref FROM ({bracket_sql('seq', knots='ord')})),
-v AS (SELECT user_id, n_ref, count(ref) FILTER (known) AS ov, sqrt(avg(pow(ref - value, 2)) FILTER (known)) AS rm FROM hit LEFT JOIN (SELECT o_custkey AS user_id, count(*) AS n_ref FROM orders GROUP BY 1) USING (user_id) GROUP BY user_id, n_ref),
-s AS (SELECT user_id, CASE WHEN n_ref IS NULL THEN 'no_reference' WHEN n_ref < 8 THEN 'few_reference_rows' WHEN ov < 5 THEN 'few_overlap_rows' WHEN rm <= 60 THEN 'ok' ELSE 'prefix_mismatch' END AS status FROM v)
+v AS (SELECT user_id, n_ref, count(ref) FILTER (known) AS ov, sqrt(avg(pow(ref - value, 2)) FILTER (known)) AS rm FROM hit LEFT JOIN (SELECT user_id, count(*) AS n_ref FROM ord GROUP BY 1) USING (user_id) GROUP BY user_id, n_ref),
+s AS (SELECT user_id, CASE WHEN n_ref IS NULL THEN 'no_reference' WHEN n_ref < 3 THEN 'few_reference_rows' WHEN ov < 8 THEN 'few_overlap_rows' WHEN rm <= 80 THEN 'ok' ELSE 'prefix_mismatch' END AS status FROM v)
 SELECT user_id, row_idx, status, {sql_rounded("CASE WHEN status = 'ok' AND ref IS NOT NULL THEN ref ELSE value END")} AS value_out FROM hit JOIN s USING (user_id)""")
 def override(spark: SparkSession, sf: str) -> DataFrame:
-    ref = table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("user_id"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(3.6e9) - 473352.0).alias("rx"),
-        (F.col("o_totalprice") / 2000).alias("rv"))
     base = event_log(spark, sf).withColumn("kv", F.when(F.col("known"), F.col("value")))
-    d = G.guarded_override(base, ref, "user_id", "x", "value", "kv", "rx", "rv", 8, 5, 60.0)
+    ref = base.where((F.col("event_type") == "signup") & (F.col("value") > 60)).select("user_id", F.col("x").alias("rx"), F.col("value").alias("rv"))
+    d = G.guarded_override(base, ref, "user_id", "x", "value", "kv", "rx", "rv", 3, 8, 80.0)
     return shown(d, ["user_id", "row_idx", "status"], ["value_out"])
 
 

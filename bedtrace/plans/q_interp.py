@@ -111,16 +111,13 @@ def smoothed_profile(spark: SparkSession, sf: str) -> DataFrame:
 @query("j6_interp_by_depth_between_copies", curve_sql(
     f"SELECT user_id, event_id, CASE WHEN ax = x THEN ay WHEN ax IS NOT NULL AND bx IS NOT NULL THEN {at_sql()} END AS ref_value "
     f"FROM ({bracket_sql('pr', knots='ord')}) WHERE CASE WHEN ax = x THEN TRUE ELSE ax IS NOT NULL AND bx IS NOT NULL END", E, ["ref_value"],
-    extra=f""", pr AS (SELECT user_id, event_id, x FROM seq),
- ord AS (SELECT o_custkey AS user_id, epoch_us(o_orderdate) / CAST(3600000000 AS DOUBLE) - 473352.0 AS kx, avg(o_totalprice) / 1000 AS ky
-  FROM orders GROUP BY 1, 2)"""))
+    extra=""", pr AS (SELECT user_id, event_id, x FROM seq),
+ ord AS (SELECT user_id, x AS kx, avg(value) AS ky FROM seq WHERE event_type = 'purchase' GROUP BY 1, 2)"""))
 def depth_copies(spark: SparkSession, sf: str) -> DataFrame:
     """A second measurement of the same group on its own depth axis; only rows inside its range are kept."""
-    other = spark.read.parquet(f"{sf}/orders.parquet").select(
-        F.col("o_custkey").alias("user_id"),
-        (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(3.6e9) - 473352.0).alias("cx"),
-        (F.col("o_totalprice") / 1000).alias("cy"))
-    d = I.interp_join(events(spark, sf), other, U, "x", "cx", "cy", "ref_value", "null").where(F.col("ref_value").isNotNull())
+    every = events(spark, sf)
+    other = every.where(F.col("event_type") == "purchase").select("user_id", F.col("x").alias("cx"), F.col("value").alias("cy"))
+    d = I.interp_join(every, other, U, "x", "cx", "cy", "ref_value", "null").where(F.col("ref_value").isNotNull())
     return shown(d, E, ["ref_value"])
 
 
@@ -134,11 +131,11 @@ def nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j8_regrid", curve_sql(
     f"SELECT user_id, step, {at_sql()} AS grid_y FROM ({bracket_sql('g')})", ["user_id", "step"], ["grid_y"],
-    extra=""", g AS (SELECT user_id, CAST(s AS BIGINT) AS step, 24.0::DOUBLE * s AS x FROM (SELECT DISTINCT user_id FROM knots)
- CROSS JOIN (SELECT unnest(generate_series(0, 29)) AS s))"""))
+    extra=""", g AS (SELECT user_id, CAST(s AS BIGINT) AS step, 24.0::DOUBLE * s AS x FROM
+ (SELECT user_id, unnest(generate_series(0, CAST(floor(max(kx) / 24 + 1e-9) AS BIGINT))) AS s FROM knots GROUP BY user_id))"""))
 def regrid(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily grid over the first 30 days, end knots held."""
-    return shown(I.regrid(curve_of(spark, sf), U, "cx", "cy", 24.0, 0.0, 29 * 24.0), ["user_id", "step"], ["grid_y"])
+    """Daily grid from day 0 to the last knot of each curve, the first knot held before it."""
+    return shown(I.regrid(curve_of(spark, sf), U, "cx", "cy", 24.0, 0.0), ["user_id", "step"], ["grid_y"])
 
 
 @query("j8_regrid_own_range", None)
@@ -199,9 +196,9 @@ def lookalike(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("a10_simple_slope", f"""WITH {EVENTS_SQL} SELECT user_id, {sql_rounded('CASE WHEN n >= 2 AND s >= 1e-6 THEN b ELSE 0 END')} AS slope FROM (
- SELECT user_id, count(sig) AS n, stddev_pop(x) FILTER (sig IS NOT NULL) AS s, regr_slope(sig, x) AS b FROM seq WHERE known AND row_idx >= 5 GROUP BY user_id)""")
+ SELECT user_id, count(sig) AS n, stddev_pop(x) FILTER (sig IS NOT NULL) AS s, regr_slope(sig, x) AS b FROM seq WHERE known GROUP BY user_id)""")
 def simple_slope(spark: SparkSession, sf: str) -> DataFrame:
-    d = A.slope(event_log(spark, sf).where(F.col("known") & (F.col("row_idx") >= 5)), U, F.col("x"), F.col("sig"))
+    d = A.slope(event_log(spark, sf).where("known"), U, F.col("x"), F.col("sig"))
     return shown(d, U, ["slope"])
 
 

@@ -331,12 +331,13 @@ def surface_channels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("d29_grid_to_rows", f"""WITH {EVENTS_SQL}, r AS (SELECT s.user_id, s.event_id, x - m AS rel FROM seq s JOIN (SELECT user_id, arg_max(x, row_idx) AS m FROM seq WHERE known GROUP BY user_id) a ON s.user_id = a.user_id WHERE NOT known)
-SELECT user_id, event_id, {sql_rounded('CASE WHEN rel >= 240 THEN 100 ELSE pow(floor(rel / 24), 2) + (rel / 24 - floor(rel / 24)) * (2 * floor(rel / 24) + 1) END')} AS pred FROM r""")
+SELECT user_id, event_id, {sql_rounded('pow(floor(rel / 24), 2) + (rel / 24 - floor(rel / 24)) * (2 * floor(rel / 24) + 1)')} AS pred FROM r""")
 def grid_to_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Predictions on a daily grid (here day squared, ten days) read off at each row's distance past the cut."""
+    """Predictions on a daily grid (here day squared, up to each user's last row) read off at each row's distance past the cut."""
     rows = S.anchor(event_log(spark, sf), U, "known", ["x"]).join(event_log(spark, sf).where(~F.col("known")), U)
     rows = rows.select("user_id", "event_id", (F.col("x") - F.col("last_x")).alias("md_rel"))
-    grid = rows.select("user_id").distinct().withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(10)))).select(
+    days = rows.groupBy("user_id").agg((F.floor(F.max("md_rel") / 24) + 1).cast("int").alias("last"))
+    grid = days.withColumn("day", F.explode(F.sequence(F.lit(0), F.col("last")))).select(
         "user_id", (F.col("day") * 24.0).alias("gx"), (F.col("day") * F.col("day")).cast("double").alias("gy"))
     return shown(P.to_rows(grid, rows, "user_id", "gx", "gy"), ["user_id", "event_id"], ["pred"])
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CELL_ROWS_CONF = "spark.bedtrace.cellRows"
 DEFAULT_CELL_ROWS = 1 << 20
+_WRITTEN: list[str] = []
 
 
 def cell_rows(spark: SparkSession) -> int:
@@ -17,9 +18,11 @@ def cell_rows(spark: SparkSession) -> int:
 
 
 def _shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names. Only a session that names none, as in tests, gets a local one."""
+    """The shared folder the cluster names. Only a local session that names none, as in tests, gets a local one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
@@ -34,9 +37,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_shared_dir(spark).rstrip('/')}/bedtrace/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``cut_lineage`` has written so far, and give their number.
+
+    To be called once the results that were built on them have been written or collected.
+    """
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session used by the tests and the benchmark."""
     return (

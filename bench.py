@@ -7,7 +7,7 @@ import os
 import time
 
 from bedtrace.plans import REGISTRY
-from bedtrace.session import local_session
+from bedtrace.session import local_session, release
 
 HEADLINE = [
     "flow_calibrated_error",
@@ -41,6 +41,7 @@ def main() -> None:
         # The noop sink computes every row without bringing any to the driver.
         REGISTRY[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
+        release(spark)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", "")}))
     spark.stop()

@@ -6,7 +6,7 @@ import sys
 import time
 
 from __spark_entry__ import oracle_sql, queries
-from bedtrace.session import CELL_ROWS_CONF, local_session
+from bedtrace.session import CELL_ROWS_CONF, local_session, release
 from tests.oracle import compare, connect
 
 
@@ -39,6 +39,7 @@ def main() -> None:
         except Exception as e:  # report and go on with the next query
             problems, label = [str(e)[:1500]], "ERROR"
         failed += bool(problems)
+        release(spark)
         print(f"{label:6s} {name} {time.time() - t:.1f}s", flush=True)
         for p in problems[:4]:
             print("      ", p)
