@@ -119,21 +119,21 @@ def gram(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFr
     return wide.select(*keys, "n", F.explode(F.array(*rows)).alias("_r")).select(*keys, "n", "_r.*")
 
 
-def error_correlation(g: DataFrame) -> DataFrame:
-    """Correlations of all pairs from a Gram table."""
-    n = F.col("n")
+def error_correlation(g: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Correlations of all pairs from a Gram table, for each value of the ``keys`` the table was made with."""
+    n, keys = F.col("n"), list(keys)
     diag = g.where(F.col("a") == F.col("b")).select(
-        F.col("a").alias("_c"), (F.col("sum_ab") / n - F.pow(F.col("sum_a") / n, 2)).alias("_v"))
-    d = g.join(F.broadcast(diag.select(F.col("_c").alias("a"), F.col("_v").alias("_va"))), "a")
-    d = d.join(F.broadcast(diag.select(F.col("_c").alias("b"), F.col("_v").alias("_vb"))), "b")
+        *keys, F.col("a").alias("_c"), (F.col("sum_ab") / n - F.pow(F.col("sum_a") / n, 2)).alias("_v"))
+    d = g.join(diag.select(*keys, F.col("_c").alias("a"), F.col("_v").alias("_va")), [*keys, "a"])
+    d = d.join(diag.select(*keys, F.col("_c").alias("b"), F.col("_v").alias("_vb")), [*keys, "b"])
     cov = F.col("sum_ab") / n - F.col("sum_a") / n * F.col("sum_b") / n
-    return d.select("a", "b", "n", (F.col("sum_ab") / n).alias("mean_product"),
+    return d.select(*keys, "a", "b", "n", (F.col("sum_ab") / n).alias("mean_product"),
                     F.try_divide(cov, F.sqrt(F.col("_va") * F.col("_vb"))).alias("corr"))
 
 
-def blend_scan(g: DataFrame, a: str, b: str, weights: Sequence[float]) -> DataFrame:
-    """Error of (1 - w) a + w b for every weight, from the Gram table of the two error columns."""
-    s = g.where(F.col("a").isin(a, b) & F.col("b").isin(a, b)).agg(
+def blend_scan(g: DataFrame, a: str, b: str, weights: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """Error of (1 - w) a + w b for every weight, from the Gram table of the two error columns, for each of its ``keys``."""
+    s = g.where(F.col("a").isin(a, b) & F.col("b").isin(a, b)).groupBy(*keys).agg(
         F.max("n").alias("n"),
         F.max(F.when((F.col("a") == a) & (F.col("b") == a), F.col("sum_ab"))).alias("aa"),
         F.max(F.when((F.col("a") == b) & (F.col("b") == b), F.col("sum_ab"))).alias("bb"),
@@ -141,7 +141,7 @@ def blend_scan(g: DataFrame, a: str, b: str, weights: Sequence[float]) -> DataFr
     w = F.col("weight")
     d = s.withColumn("weight", F.explode(F.array(*[F.lit(float(v)) for v in weights])))
     mse = ((1 - w) * (1 - w) * F.col("aa") + 2 * w * (1 - w) * F.col("ab") + w * w * F.col("bb")) / F.col("n")
-    return d.select("weight", F.sqrt(F.greatest(mse, F.lit(0.0))).alias("rmse"))
+    return d.select(*keys, "weight", F.sqrt(F.greatest(mse, F.lit(0.0))).alias("rmse"))
 
 
 def quartile_edges(df: DataFrame, col: str, out: str) -> DataFrame:

@@ -48,8 +48,10 @@ def pinned_folds(df: DataFrame, group: str, k: int, path: str) -> DataFrame:
 def oof_trees(
     df: DataFrame, features: Sequence[str], target: str, group: str, fold: str, folds: int, params: dict | None = None,
     winsor: float | None = 90.0, anchor: str | None = None, out: str = "oof",
-) -> DataFrame:
-    """Out-of-fold predictions of a gradient-boosted tree model, one fit per fold.
+) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold predictions of a gradient-boosted tree model, one fit per fold, and the gain of each feature in each fit.
+
+    Rows without a fold are new to all models and get the mean of their predictions.
 
     The target is limited to +-``winsor`` while fitting; with ``anchor`` the model learns the residual to that column. A
     tenth of the training groups (by hash) stops the boosting early.
@@ -65,15 +67,23 @@ def oof_trees(
     ready = df.withColumns({"_y": y, "_stop": F.pmod(F.xxhash64(group, F.lit("stop")), F.lit(10)) == 0})
     ready = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(ready).drop("rawPrediction")
     ready = cut_lineage(ready)
-    parts = []
+    parts, gains, models = [], [], []
     for f in range(folds):
         model = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", validationIndicatorCol="_stop", **params).fit(
             ready.where(F.col(fold) != f).select("_x", "_y", "_stop"))
         parts.append(model.transform(ready.where(F.col(fold) == f)))
+        models.append(model)
+        gains += [(f, name, float(g)) for name, g in zip(features, model.featureImportances.toArray())]
+    new = ready.where(F.col(fold).isNull())
+    for i, model in enumerate(models):
+        new = model.transform(new).withColumnRenamed("_p", f"_p{i}")
+    new = new.withColumn("_p", sum((F.col(f"_p{i}") for i in range(folds)), F.lit(0.0)) / folds).drop(*[f"_p{i}" for i in range(folds)])
+    parts.append(new)
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p)
-    return res.withColumn(out, F.col("_p") + base).drop("_x", "_y", "_stop", "_p")
+    table = df.sparkSession.createDataFrame(gains, "fold int, feature string, gain double")  # features x folds rows
+    return res.withColumn(out, F.col("_p") + base).drop("_x", "_y", "_stop", "_p"), table
 
 
 def moments(df: DataFrame, cols: Sequence[str], target: str, keys: Sequence[str]) -> DataFrame:

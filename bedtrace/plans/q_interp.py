@@ -138,7 +138,10 @@ def regrid(spark: SparkSession, sf: str) -> DataFrame:
     return shown(I.regrid(curve_of(spark, sf), U, "cx", "cy", 24.0, 0.0), ["user_id", "step"], ["grid_y"])
 
 
-@query("j8_regrid_own_range", None)
+@query("j8_regrid_own_range", curve_sql(
+    f"SELECT user_id, step, x AS grid_x, {at_sql()} AS grid_y FROM ({bracket_sql('g')})", ["user_id", "step"], ["grid_x", "grid_y"],
+    extra=""", g AS (SELECT user_id, CAST(s AS BIGINT) AS step, lo + 0.5::DOUBLE * s AS x FROM
+ (SELECT user_id, min(kx) AS lo, unnest(generate_series(0, CAST(floor((max(kx) - min(kx)) / 0.5 + 1e-9) AS BIGINT))) AS s FROM knots GROUP BY user_id))"""))
 def regrid_own(spark: SparkSession, sf: str) -> DataFrame:
     """Grid of 0.5 steps from the first to the last knot of each curve."""
     return shown(I.regrid(curve_of(spark, sf), U, "cx", "cy", 0.5), ["user_id", "step"], ["grid_x", "grid_y"])

@@ -317,25 +317,19 @@ def tail(spark: SparkSession, sf: str) -> DataFrame:
     return S.tail_rows(event_log(spark, sf), U, F.greatest(F.lit(12.0), 0.4 * F.col("group_rows"))).select(*K)
 
 
-def _interior_smoothing_sql() -> str:
-    """Rows whose full window fits: constant weights of the cubic over 17 rows, spelled out as sums over lags."""
-    weights = S.smoothing_weights(17, 3)[17][8]
-    terms = " + ".join(
-        f"({w!r}) * {'value' if i == 8 else (f'lag(value,{8 - i})' if i < 8 else f'lead(value,{i - 8})') + f' OVER ({W})'}"
-        for i, w in enumerate(weights))
-    return f"SELECT user_id, row_idx, n_rows, {terms} AS sm FROM seq"
-
-
-@query("w14_local_poly_smooth", stats_sql(
-    f"SELECT user_id, row_idx, sm FROM ({_interior_smoothing_sql()}) WHERE row_idx >= 8 AND row_idx < n_rows - 8", K, ["sm"]))
+def _smoothing_sql() -> str:
+    """Every row against the 17 rows of its window (the first or last full window near the ends), with the weights of its place."""
+    weights = S.smoothing_weights(17, 3)[17]
+    rows = ", ".join(f"({p}, {i}, {w!r}::DOUBLE)" for p, row in enumerate(weights) for i, w in enumerate(row))
+    return f"""SELECT s.user_id, s.row_idx, sum(h.w * o.value) AS sm
+ FROM (SELECT *, least(greatest(row_idx - 8, 0), n_rows - 17) AS first FROM seq) s
+ JOIN seq o ON o.user_id = s.user_id AND o.row_idx BETWEEN s.first AND s.first + 16
+ JOIN (VALUES {rows}) h(place, i, w) ON h.place = s.row_idx - s.first AND h.i = o.row_idx - s.first
+ GROUP BY s.user_id, s.row_idx"""
+
+
+@query("w14_local_poly_smooth", stats_sql(_smoothing_sql(), K, ["sm"]))
 def local_smooth(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows with a full window, which is what SQL can state; the ends are covered by the unit tests."""
-    d = S.smooth_poly(event_log(spark, sf), U, "value", 17, 3, "sm")
-    return shown(d.where((F.col("row_idx") >= 8) & (F.col("row_idx") < F.col("n_rows") - 8)), K, ["sm"])
-
-
-@query("w14_local_poly_smooth_all", None)
-def local_smooth_all(spark: SparkSession, sf: str) -> DataFrame:
     return shown(S.smooth_poly(event_log(spark, sf), U, "value", 17, 3, "sm"), K, ["sm"])
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bedtrace.operators.cells import index_rows, neighbours, position_cells
+from bedtrace.operators.cells import framed, index_rows, neighbours, position_cells
+from bedtrace.session import cut_lineage
 
 # Fixed column names of the input files.
 LOG_COLUMNS = ["MD", "X", "Y", "Z", "GR", "TVT_input"]
@@ -17,26 +18,30 @@ LOG_SUFFIX = "__horizontal_well.csv"
 CURVE_SUFFIX = "__typewell.csv"
 
 
-def _named_csv(spark: SparkSession, path: str, suffix: str, fields: Sequence[T.StructField]) -> DataFrame:
+def _named_csv(spark: SparkSession, path: str, suffix: str, fields: Sequence[T.StructField], extra: Sequence[Column] = ()) -> DataFrame:
     """All files ``{path}/*{suffix}``; columns are matched by name, since files of different splits differ in columns."""
     raw = spark.read.option("header", True).option("enforceSchema", False)
     text = raw.option("pathGlobFilter", f"*{suffix}").csv(path)
     have = set(text.columns)
     well = F.regexp_extract(F.col("_metadata.file_name"), f"^(.*){suffix.replace('.', '[.]')}$", 1)
     cols = [(F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})") if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields]
-    return text.select(well.alias("well"), *cols)
+    return text.select(well.alias("well"), *extra, *cols)
 
 
 def read_wells(spark: SparkSession, path: str, split: str | None = None, train: bool | None = None) -> DataFrame:
-    """Log rows of all groups under ``path[/split]`` with ``well``, ``row_idx`` (order of MD) and ``is_known``.
+    """Log rows of all groups under ``path[/split]`` with ``well``, ``row_idx`` (place in the file), ``is_known``, ``md_falls``.
 
-    NaN is read as null. Rows of equal MD keep a stable order by their other columns.
+    NaN is read as null. Rows keep the order of the file, since row numbers are part of the ids of predictions; rows
+    without MD stay. ``md_falls`` marks rows whose MD is below that of the row before.
     """
     folder = f"{path}/{split}" if split else path
     names = LOG_COLUMNS + (TRAIN_COLUMNS if train is not False else [])
-    d = _named_csv(spark, folder, LOG_SUFFIX, [T.StructField(n, T.DoubleType()) for n in names])
-    d = d.select("well", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names]).where(F.col("MD").isNotNull())
-    d = index_rows(d, ["well"], ["MD", "X", "Y", "Z"], "MD")
+    place = [F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
+    d = _named_csv(spark, folder, LOG_SUFFIX, [T.StructField(n, T.DoubleType()) for n in names], place)
+    d = d.select("well", "_block", "_line", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
+    d = index_rows(cut_lineage(d), ["well"], ["_block", "_line"], "_block").drop("_block", "_line")  # written: line numbers must stay
+    d = framed(d, ["well"], 1, 0, lambda w: {"_before": F.lag("MD").over(w)})
+    d = d.withColumn("md_falls", F.coalesce(F.col("MD") < F.col("_before"), F.lit(False))).drop("_before")
     return d.withColumn("is_known", F.col("TVT_input").isNotNull())
 
 
