@@ -41,10 +41,11 @@ PART_BYTES = 4 << 20
 
 def bands(largest: int, sim: int) -> np.ndarray:
     """First size of each band; a partner of a set lies in the same or a neighbouring band."""
-    out = [1]
-    while out[-1] <= largest:
+    out, beyond = [1], 0
+    while beyond < 3:  # up to the end of the band above that of the largest
+        beyond += out[-1] > largest
         out.append(max(out[-1] + 1, -(-out[-1] * 10_000 // (sim * sim))))
-    return np.array(out + [max(out[-1] + 1, -(-out[-1] * 10_000 // (sim * sim)))], np.int64)
+    return np.array(out, np.int64)
 
 
 def most_apart(a: np.ndarray, b: np.ndarray, sim: int) -> np.ndarray:
@@ -200,18 +201,17 @@ def profiles(df: DataFrame, key: str, text: str, words: int, sim: int = SIM) ->
 
 def candidate_lists(prof: DataFrame) -> DataFrame:
     """``key``, ``sid``, ``size``: the members of all lists with two sets or more, after each set has left out its longest lists."""
+    rare = F.col("rare")  # a set with more empty subsets than its others can make up for: meet in the empty ones as well
     if prof.filter("stuck").isEmpty():
-        with_rare = F.col("keys_up")
-    else:  # a set with more empty subsets than the others can make up for: meet in the empty ones as well
-        with_rare = F.concat("keys_up", "rare")
-    rows = prof.select("sid", F.explode(F.concat("keys", with_rare)).alias("key"))
+        rare = F.array().cast("array<long>")
+    rows = prof.select("sid", F.explode(F.concat("keys", "keys_up", rare)).alias("key"))
     multi = cut_lineage(rows.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("key"))
     bits = marked(multi, "key")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for no in (0, 1):
-                lists, slack = b.column(2 + no), b.column(4 + no).to_numpy()
+            for no in (0, 1, 2):
+                lists, slack = b.column(2 + no), b.column(5 + no).to_numpy()
                 offs = lists.offsets.to_numpy()
                 keys = lists.values.to_numpy()[offs[0] : offs[-1]]
                 ok = is_marked(bits, keys)
@@ -220,7 +220,7 @@ def candidate_lists(prof: DataFrame) -> DataFrame:
                     [pa.array(keys[ok]), pa.array(b.column(0).to_numpy()[doc]), pa.array(b.column(1).to_numpy()[doc]), pa.array(np.full(len(doc), no, np.int32)), pa.array(slack[doc])],
                     names=["key", "sid", "size", "up", "slack"])
 
-    got = prof.select("sid", "n_shingles", "keys", with_rare.alias("keys_up"), "slack", "slack_up").mapInArrow(pick, "key long, sid long, size long, up int, slack long")
+    got = prof.select("sid", "n_shingles", "keys", "keys_up", rare.alias("rare"), "slack", "slack_up", F.lit(0).cast("long").alias("slack_rare")).mapInArrow(pick, "key long, sid long, size long, up int, slack long")
     got = cut_lineage(got.join(multi, "key").distinct())
     counts = cut_lineage(got.groupBy("key").agg(F.count("*").alias("cost")))
     from pyspark.sql import Window
@@ -276,7 +276,7 @@ def link_components(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 def _links(src: DataFrame, prof: DataFrame, lists: DataFrame, words: int, sim: int) -> DataFrame:
     degree = lists.groupBy("sid").agg(F.sum("cost").alias("degree"))
-    sketch = prof.filter(F.size("keys") > 0).select("sid", "sketch").join(degree, "sid").groupBy("sid").agg(F.max("degree").alias("degree"), F.first("sketch").alias("sketch"))
+    sketch = prof.filter(F.size("keys") + F.size("keys_up") > 0).select("sid", "sketch").join(degree, "sid").groupBy("sid").agg(F.max("degree").alias("degree"), F.first("sketch").alias("sketch"))
     sketch = cut_lineage(sketch)
     bits = marked(sketch, "sid")
 

@@ -2,9 +2,10 @@
 
 A rolling hash over the hashes of the last WINDOW lines ends a chunk where it meets a fixed remainder, so borders follow
 the lines around them and not their place in the text: a passage that moves to another text has the same borders inside
-from its WINDOW-th line on. A line of LONG_WORDS words or more is a chunk of its own. Chunks that say enough (two lines
-or more with MIN_WORDS words, or one long line) and occur again anywhere are removed but for their first occurrence
-(smallest document id, then place), after their bytes have been compared.
+from its WINDOW-th line on. A line of LONG_WORDS words or more is a chunk of its own. Chunks that occur again anywhere
+are marked but for their first occurrence (smallest document id, then place), after their bytes have been compared.
+Neighbouring marked chunks are removed together where they say enough: two lines or more with MIN_WORDS words, or one
+long line. A short line that many texts share, alone between lines of its own text, stays.
 """
 
 from __future__ import annotations
@@ -23,42 +24,58 @@ from bedtrace.llm.marks import is_marked, marked, split_by_marks
 from bedtrace.session import cut_lineage
 
 WINDOW = 2
-DIVISOR = 3
+DIVISOR = 2
 LONG_WORDS = 50
 MIN_WORDS = 20
 MASK = (1 << 64) - 1
 
 
-def chunks(text: str) -> Iterator[tuple[int, int, int, bool]]:
-    """First line, line after the last, words, and whether the chunk may be removed, for the chunks of a text's lines."""
+def chunks(text: str) -> list[tuple[int, int, int, int]]:
+    """First line, line after the last, words, and lines with words of the chunks of a text's lines."""
     lines = text.encode().split(b"\n")
     words = [len(x.split()) for x in lines]
     hashes = [xxhash.xxh64_intdigest(x) for x in lines]
-    first = 0
+    first, out = 0, []
     for i in range(len(lines)):
         roll = 0
         for k in range(max(0, i - WINDOW + 1), i + 1):
             roll = (roll * 0x9E3779B97F4A7C15 + hashes[k]) & MASK
-        ends = (roll >> 17) % DIVISOR == 0 or words[i] >= LONG_WORDS or i + 1 == len(lines) or words[i + 1] >= LONG_WORDS
-        if ends:
-            n = sum(words[first : i + 1])
-            filled = sum(1 for w in words[first : i + 1] if w)
-            yield first, i + 1, n, n >= LONG_WORDS if filled == 1 else filled > 1 and n >= MIN_WORDS
+        if (roll >> 17) % DIVISOR == 0 or words[i] >= LONG_WORDS or i + 1 == len(lines) or words[i + 1] >= LONG_WORDS:
+            out.append((first, i + 1, sum(words[first : i + 1]), sum(1 for w in words[first : i + 1] if w)))
             first = i + 1
+    return out
 
 
-def removable(text: str) -> list[tuple[int, int, int, int, bytes]]:
-    """First line, line after the last, two 64-bit hashes and the bytes of the chunks that may be removed."""
+def worded(text: str) -> list[tuple[int, int, int, bytes]]:
+    """First line, two 64-bit hashes and the bytes of the chunks with a word."""
     raw = text.encode().split(b"\n")
     out = []
-    for a, b, _, ok in chunks(text):
-        if ok:
+    for a, b, n, _ in chunks(text):
+        if n:
             part = b"\n".join(raw[a:b])
             h = xxhash.xxh3_128_intdigest(part)
-            out.append((a, b, _signed(h >> 64), _signed(h & MASK), part))
+            out.append((a, _signed(h >> 64), _signed(h & MASK), part))
     return out
 
 
+def without(text: str, marked_chunks: set[int]) -> tuple[str, int]:
+    """``text`` without the runs of marked chunks (by first line) that say enough, and the number of lines removed."""
+    raw, out, run, gone = text.split("\n"), [], [], 0
+    for chunk in [*chunks(text), None]:
+        if chunk is not None and (chunk[0] in marked_chunks or (run and not chunk[2])):
+            run.append(chunk)
+            continue
+        n, filled = sum(c[2] for c in run), sum(c[3] for c in run)
+        enough = n >= LONG_WORDS if filled == 1 else filled > 1 and n >= MIN_WORDS
+        for first, end, _, _ in run:
+            gone += (end - first) * enough
+            out += [] if enough else raw[first:end]
+        run = []
+        if chunk is not None:
+            out += raw[chunk[0] : chunk[1]]
+    return "\n".join(out), gone
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -82,13 +99,13 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     kind = src.schema["__key"].dataType.simpleString()
 
     def occurrences(bits: np.ndarray | None):
-        """One row per removable chunk; with ``bits`` those that they mark, with their bytes."""
+        """One row per chunk with a word; with ``bits`` those that they mark, with their bytes."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 row, at, h1, h2, part = [], [], [], [], []
                 for i, x in enumerate(b.column(2)):
-                    for first, _, a, c, raw in removable(x.as_py()):
+                    for first, a, c, raw in worded(x.as_py()):
                         if bits is None or is_marked(bits, np.array([a]))[0]:
                             row.append(i)
                             at.append(first)
@@ -119,16 +136,9 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         for b in batches:
             texts, total, gone = [], [], []
             for x, d in zip(b.column(len(kept)), b.column(len(kept) + 1)):
-                t, drop = x.as_py(), set(d.as_py() or ())
-                lines = t.split("\n")
-                out, n = [], 0
-                for first, end, _, _ in chunks(t):
-                    if first in drop:
-                        n += end - first
-                    else:
-                        out += lines[first:end]
-                texts.append("\n".join(out))
-                total.append(len(lines))
+                t, n = without(x.as_py(), set(d.as_py() or ()))
+                texts.append(t)
+                total.append(x.as_py().count("\n") + 1)
                 gone.append(n)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(kept))], pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, "__t", *made])
 
