@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from bedtrace.functions.columns import clip
 from bedtrace.operators.cells import framed, with_group_stats
 from bedtrace.operators.interp import regrid
+from bedtrace.operators.sequence import rolling
 from bedtrace.session import cut_lineage
 
 BLOCK = 4096
@@ -33,14 +34,26 @@ def _normalised(m: np.ndarray) -> np.ndarray:
 
 def window_match(
     known: DataFrame, evals: DataFrame, group: str, signal: str, value: str, half: int, stride: int = 3,
-    pos: str = "row_idx", block: int = BLOCK,
+    pos: str = "row_idx", block: int = BLOCK, smooth: int = 5,
 ) -> DataFrame:
     """Best known window (normalised correlation) for the window around every withheld row, every ``stride``-th start.
 
     Both frames count their own rows from 0 in ``pos``. The comparison is cut into (withheld block x known block) tiles of
     bounded size; a tile returns one candidate per withheld row, so no pair is ever written and no task sees a whole
-    group. Returns ``(group, pos, match_value, match_score)``; equal scores resolve to the earliest known window.
+    group. Returns ``(group, pos, match_value, match_score)``; equal scores resolve to the earliest known window. Both
+    signals are first averaged over ``smooth`` rows. A group whose known part is too short for a window and one more row
+    gets its last known value with score 0.
     """
+    sizes = known.groupBy(group).agg((F.max(pos) + 1).alias("_rows"), F.max_by(value, pos).cast("double").alias("_held"))
+    sizes = cut_lineage(sizes)
+    fits = F.col("_rows") >= 2 * half + 2
+    short = evals.select(group, pos).join(sizes.where(~fits), group).select(group, pos, F.col("_held").alias("match_value"), F.lit(0.0).alias("match_score"))
+    known = known.select(group, pos, signal, value).join(sizes.where(fits).select(group), group, "left_semi")
+    evals = evals.select(group, pos, signal).join(sizes.where(fits).select(group), group, "left_semi")
+    if smooth > 1:
+        name = f"_s_mean{smooth}"
+        known = rolling(known, [group], signal, [smooth], ["mean"], "_s", pos=pos).withColumn(signal, F.col(name)).drop(name)
+        evals = rolling(evals, [group], signal, [smooth], ["mean"], "_s", pos=pos).withColumn(signal, F.col(name)).drop(name)
     k = _row_windows(known.select(group, pos, signal, value), group, signal, half, pos)
     k = with_group_stats(k, [group], {"_last": F.max(pos)})
     start = F.col(pos) - half
@@ -66,7 +79,7 @@ def window_match(
     best = left.groupBy(group, "eb", "kb").cogroup(right.groupBy("_g", "_eb", "_kb")).applyInPandas(
         lambda a, b: tile(a, b) if len(a) and len(b) else pd.DataFrame({group: [], pos: [], "kpos": [], "match_value": [], "match_score": []}), schema)
     top = best.groupBy(group, pos).agg(F.max(F.struct("match_score", (-F.col("kpos")).alias("k"), "match_value")).alias("b"))
-    return top.select(group, pos, "b.match_value", "b.match_score")
+    return top.select(group, pos, "b.match_value", "b.match_score").unionByName(short)
 
 
 def match_ensemble(matches: Sequence[DataFrame], group: str, pos: str = "row_idx", sharpness: float = 3.0) -> DataFrame:
@@ -83,7 +96,8 @@ def cost_volume(rows: DataFrame, states: DataFrame, grid: DataFrame, group: str,
 
     ``rows``: group, md, z, signal, gamma, md_prev; ``states``: group, state key, u; ``grid``: group, step, ref, with
     grid_min / grid_step / grid_last repeated. The curve value is that of the grid cell below (ends held), which makes the
-    lookup an equi-join. Adds ``slope`` and ``ll`` = sum of -log(1 + ((signal - ref) / gamma)^2).
+    lookup an equi-join. Adds ``slope`` and ``ll`` = sum of -log(1 + ((signal - ref) / gamma)^2). Rows without a signal have
+    no vote; a segment without any scores 0.
     """
     cand = states.withColumn("slope", F.explode(F.array(*[F.lit(float(r)) for r in slopes])))
     d = cand.join(rows, group)
@@ -91,7 +105,7 @@ def cost_volume(rows: DataFrame, states: DataFrame, grid: DataFrame, group: str,
     cell = clip(F.floor((tvt - F.col("grid_min")) / F.col("grid_step")).cast("double"), F.lit(0.0), F.col("grid_last").cast("double")).cast("long")
     d = d.withColumn("step", cell).join(grid.select(group, "step", "ref"), [group, "step"])
     r = (F.col("signal") - F.col("ref")) / F.col("gamma")
-    return d.groupBy(group, *state_key, "slope").agg(F.sum(-F.log1p(r * r)).alias("ll"))
+    return d.groupBy(group, *state_key, "slope").agg(F.coalesce(F.sum(-F.log1p(r * r)), F.lit(0.0)).alias("ll"))
 
 
 def segment_decode(
@@ -101,7 +115,7 @@ def segment_decode(
 ) -> DataFrame:
     """Decode the position of every withheld row as a chain of straight pieces of ``seg_len``.
 
-    ``rows``: group, pos, md, z, signal (filled). ``starts``: group, u0 (anchor surface), s0 (anchor slope), gamma. One
+    ``rows``: group, pos, md, z, signal (null where nothing was measured). ``starts``: group, u0 (anchor surface), s0 (anchor slope), gamma. One
     round per segment ordinal handles all groups at once: extend every kept state by every slope, score it, keep the best
     state per (half-unit position, slope) and the best ``keep`` of each group. ``keep`` is the beam width of the method.
     Returns ``(group, pos, decoded, decoded_best)``.
@@ -211,10 +225,11 @@ def draw_scores(per_group: DataFrame, group: str, draws: int, size: int, seed: i
 def lattice_decode(
     rows: DataFrame, curve: DataFrame, starts: DataFrame, group: str, cx: str, cy: str, lengths: Sequence[int],
     slopes: Sequence[float], step_len: float, mu: float, sigma_len: float, keep: int = 96, sigma: float = 0.012,
-    jump: float = 25.0, length_weight: float = 1.0, temperature: float = 0.02, top: int = 32, grid_step: float = 0.5,
+    jump: float = 25.0, length_weight: float = 1.0, evidence: float = 0.1, temperature: float = 0.02, top: int = 32, grid_step: float = 0.5,
 ) -> DataFrame:
     """Decode with pieces of free length: like ``segment_decode``, but a piece may span any of ``lengths`` lattice steps
-    and its length is scored by a log-normal prior (``mu``, ``sigma_len`` of the log length).
+    and its length is scored by a log-normal prior (``mu``, ``sigma_len`` of the log length). ``evidence`` weighs the
+    likelihood against the priors.
 
     ``rows`` is the log on an even lattice: group, step (0 at the anchor), z, signal. Chains wait at the lattice point
     where their last piece ended; one round per lattice point extends those of all groups that wait there. ``keep`` is the
@@ -225,14 +240,16 @@ def lattice_decode(
     ends = rows.groupBy(group).agg(F.max("step").cast("int").alias("n1"))
     grid = regrid(curve, [group], cx, cy, grid_step).withColumnRenamed("grid_y", "ref")
     frame = grid.groupBy(group).agg(F.min("grid_x").alias("grid_min"), F.max("step").alias("grid_last"))
-    grid = cut_lineage(grid.select(group, F.col("step").alias("cell"), "ref"))
+    # each cell holds the curve at both of its ends, so the value between them needs one join
+    grid = framed(grid, [group], 0, 1, lambda w: {"_next": F.lead("ref").over(w)}, "step")
+    grid = cut_lineage(grid.select(group, F.col("step").alias("cell"), "ref", F.coalesce("_next", "ref").alias("ref1")))
     lattice = cut_lineage(rows.select(group, F.col("step").cast("int").alias("step"), "z", "signal"))
     known = cut_lineage(starts.select(group, "u0", "s0", "gamma").join(frame, group).join(ends, group).where(F.col("n1") > 0))
     fixed = known.select(group, "gamma", "grid_min", "grid_last", "n1")
     no_path = F.array().cast("array<struct<p0:int,p1:int,u:double,slope:double>>")
     states = known.select(group, F.lit(0).alias("p"), F.col("u0").alias("u"), F.col("s0").alias("s"), F.lit(0.0).alias("score"), no_path.alias("path"))
     last = known.agg(F.max("n1")).first()[0] or 0
-    log_len = {n: -0.5 * ((float(np.log(n * step_len)) - mu) / sigma_len) ** 2 - float(np.log(n * step_len * sigma_len)) for n in lengths}
+    log_len = {n: -0.5 * ((float(np.log(n * step_len)) - mu) / sigma_len) ** 2 - float(np.log(n * step_len)) for n in lengths}
     for p in range(0, last, base):
         order = Window.partitionBy(group).orderBy(F.col("score").desc(), "u", "s")
         here = states.where(F.col("p") == p).join(fixed, group).where(F.col("n1") > p)
@@ -240,17 +257,18 @@ def lattice_decode(
         cand = here.select(group, "sid", "u", "gamma", "grid_min", "grid_last", F.explode(F.array(*[F.lit(float(r)) for r in slopes])).alias("slope"))
         d = cand.join(lattice.where((F.col("step") > p) & (F.col("step") <= p + longest)), group)
         tvt = F.col("u") + F.col("slope") * step_len * (F.col("step") - p) - F.col("z")
-        cell = clip(F.floor((tvt - F.col("grid_min")) / grid_step).cast("double"), F.lit(0.0), F.col("grid_last").cast("double")).cast("long")
-        d = d.withColumn("cell", cell).join(grid, [group, "cell"])
-        ll = -F.log1p(F.pow((F.col("signal") - F.col("ref")) / F.col("gamma"), 2))
-        sums = d.groupBy(group, "sid", "slope").agg(*[F.sum(F.when(F.col("step") <= p + n, ll)).alias(f"l{n}") for n in lengths])
+        at = clip((tvt - F.col("grid_min")) / grid_step, F.lit(0.0), F.col("grid_last").cast("double"))  # ends held
+        d = d.withColumn("_at", at).withColumn("cell", F.floor("_at").cast("long")).join(grid, [group, "cell"])
+        ref = F.col("ref") + (F.col("_at") - F.col("cell")) * (F.col("ref1") - F.col("ref"))
+        ll = -F.log1p(F.pow((F.col("signal") - ref) / F.col("gamma"), 2))
+        sums = d.groupBy(group, "sid", "slope").agg(*[F.coalesce(F.sum(F.when(F.col("step") <= p + n, ll)), F.lit(0.0)).alias(f"l{n}") for n in lengths])
         options = F.explode(F.array(*[F.struct(F.lit(n).alias("len"), F.col(f"l{n}").alias("ll"), F.lit(log_len[n]).alias("lp")) for n in lengths]))
         new = sums.select(group, "sid", "slope", options.alias("o")).join(here.drop("p", "gamma", "grid_min", "grid_last"), [group, "sid"])
         p1 = F.least(F.lit(p) + F.col("o.len"), F.col("n1")).cast("int")
         move = F.greatest(-0.5 * F.pow((F.col("slope") - F.col("s")) / sigma, 2), F.lit(-jump))
         new = new.select(
             group, p1.alias("p"), (F.col("u") + F.col("slope") * step_len * (p1 - p)).alias("u1"), F.col("slope").alias("s1"),
-            (F.col("score") + F.col("o.ll") + length_weight * F.col("o.lp") + move).alias("score1"), F.col("o.len").alias("len"),
+            (F.col("score") + evidence * F.col("o.ll") + length_weight * F.col("o.lp") + move).alias("score1"), F.col("o.len").alias("len"),
             F.concat("path", F.array(F.struct(F.lit(p).alias("p0"), p1.alias("p1"), F.col("u"), F.col("slope")))).alias("path1"))
         rank = F.row_number().over(Window.partitionBy(group, "len").orderBy(F.col("score1").desc(), "u1", "s1"))
         new = new.withColumn("_r", rank).where(F.col("_r") <= keep).select(

@@ -376,17 +376,19 @@ SLOPES = [-0.06, -0.03, 0.0, 0.03, 0.06]
 def decode_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     log = filled_log(spark, sf).withColumn("z", -0.5 * F.col("x"))
     starts = S.anchor(log, U, "known", ["x", "z"]).select("user_id", (F.col("last_x") + F.col("last_z")).alias("u0"), F.lit(0.0).alias("s0"), F.lit(20.0).alias("gamma"))
-    rows = log.where(~F.col("known") & (F.col("event_type") != "view")).select("user_id", "row_idx", F.col("x").alias("md"), "z", F.col("fill").alias("signal"))
+    # every withheld row is decoded; errors have no signal, and views, which are the curve itself, give no evidence
+    seen = F.when(F.col("event_type") != "view", F.col("sig"))
+    rows = log.where(~F.col("known")).select("user_id", "row_idx", F.col("x").alias("md"), "z", seen.alias("signal"))
     return cut_lineage(rows), curve_of(spark, sf), starts
 
 
 @query("d7_cost_volume", f"""WITH {EVENTS_SQL}{FILL_SQL}, {KNOTS}, gm AS (SELECT user_id, min(kx) AS g0, max(kx) AS g1 FROM knots GROUP BY user_id),
 st AS (SELECT user_id, arg_max(0.5 * x, row_idx) AS u, arg_max(x, row_idx) AS m FROM seq WHERE known GROUP BY user_id),
-rw AS (SELECT f.user_id, f.row_idx, f.x, f.fill, r.r AS slope, g0, least(greatest(floor((u + r.r * (f.x - m) + 0.5 * f.x - g0) / 24.0), 0), floor((g1 - g0) / 24.0 + 1e-9)) AS c FROM filled f JOIN st USING (user_id) JOIN gm USING (user_id)
- CROSS JOIN (SELECT unnest({SLOPES}::DOUBLE[]) AS r) r WHERE NOT known AND event_type <> 'view'),
+rw AS (SELECT f.user_id, f.row_idx, f.x, CASE WHEN event_type <> 'view' THEN sig END AS seen, r.r AS slope, g0, least(greatest(floor((u + r.r * (f.x - m) + 0.5 * f.x - g0) / 24.0), 0), floor((g1 - g0) / 24.0 + 1e-9)) AS c FROM filled f JOIN st USING (user_id) JOIN gm USING (user_id)
+ CROSS JOIN (SELECT unnest({SLOPES}::DOUBLE[]) AS r) r WHERE NOT known),
 pp AS (SELECT *, g0 + 24.0 * c AS gx FROM rw), rf AS (SELECT *, CASE WHEN ax IS NOT NULL AND bx IS NOT NULL THEN ay + (byy - ay) * (gx - ax) / (bx - ax) ELSE coalesce(ay, byy) END AS ref FROM (
  SELECT p.*, a.kx AS ax, a.ky AS ay, b.kx AS bx, b.ky AS byy FROM pp p ASOF LEFT JOIN knots a ON p.user_id = a.user_id AND p.gx >= a.kx ASOF LEFT JOIN knots b ON p.user_id = b.user_id AND p.gx < b.kx))
-SELECT user_id, {sql_rounded('slope')} AS slope, {sql_rounded('sum(-ln(1 + pow((fill - ref) / 20, 2)))')} AS ll FROM rf GROUP BY user_id, slope""")
+SELECT user_id, {sql_rounded('slope')} AS slope, {sql_rounded('coalesce(sum(-ln(1 + pow((seen - ref) / 20, 2))), 0)')} AS ll FROM rf GROUP BY user_id, slope""")
 def cost_volume(spark: SparkSession, sf: str) -> DataFrame:
     """One segment per group: the whole withheld part, five slopes, curve on a 24 hour grid."""
     from bedtrace.operators.interp import regrid
@@ -403,7 +405,7 @@ def cost_volume(spark: SparkSession, sf: str) -> DataFrame:
 @query("d8_segment_decode", None)
 def segment_decode(spark: SparkSession, sf: str) -> DataFrame:
     rows, curve, starts = decode_inputs(spark, sf)
-    d = L.segment_decode(rows, curve, starts, "user_id", "cx", "cy", 100.0, SLOPES, keep=12, grid_step=6.0, top=8)
+    d = L.segment_decode(rows, curve, starts, "user_id", "cx", "cy", 100.0, SLOPES, keep=96, grid_step=6.0, top=32)
     return shown(d, K, ["decoded", "decoded_best"], 4)
 
 
@@ -417,7 +419,7 @@ def lattice_decode(spark: SparkSession, sf: str) -> DataFrame:
     rel = rows.join(starts.select("user_id", "last_x"), U).withColumn("rel", F.col("md") - F.col("last_x"))
     lattice = regrid(rel, U, "rel", "signal", 12.0, start=0.0).join(starts.select("user_id", "last_x"), U)
     lattice = lattice.select("user_id", "step", (-0.5 * (F.col("last_x") + F.col("grid_x"))).alias("z"), F.col("grid_y").alias("signal"))
-    d = L.lattice_decode(lattice, curve, starts, "user_id", "cx", "cy", [4, 8, 12], SLOPES, 12.0, 4.5, 0.5, keep=8, top=8, grid_step=6.0)
+    d = L.lattice_decode(lattice, curve, starts, "user_id", "cx", "cy", [4, 8, 12], SLOPES, 12.0, 4.5, 0.5, keep=96, top=32, grid_step=6.0)
     return shown(d, ["user_id", "step"], ["surface"], 4)
 
 
@@ -425,10 +427,10 @@ def lattice_decode(spark: SparkSession, sf: str) -> DataFrame:
 def decode_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Two temperatures and two evidence weights of the decoder; differences to the plain form."""
     rows, curve, starts = decode_inputs(spark, sf)
-    forms = {"stiff": {"evidence": 0.05}, "loose": {"evidence": 0.20, "temperature": 32.0}}
+    forms = {"sharp": {"temperature": 2.0}, "soft": {"temperature": 32.0}, "stiff": {"evidence": 0.05}, "loose": {"evidence": 0.20}}
     out = None
     for name, extra in forms.items():
-        d = L.segment_decode(rows, curve, starts, "user_id", "cx", "cy", 100.0, SLOPES, keep=12, grid_step=6.0, top=8, **extra)
+        d = L.segment_decode(rows, curve, starts, "user_id", "cx", "cy", 100.0, SLOPES, keep=96, grid_step=6.0, top=32, **extra)
         d = d.select(*K, F.lit(name).alias("form"), "decoded")
         out = d if out is None else out.unionByName(d)
     return shown(out, [*K, "form"], ["decoded"], 4)
