@@ -105,8 +105,8 @@ def test_polynomial_candidates_extend_a_line(spark):
     n = 90
     pdf = pd.DataFrame({"g": "a", "row_idx": np.arange(n), "x": np.arange(n) * 2.0, "y": 4 + 0.3 * np.arange(n) * 2.0})
     d = spark.createDataFrame(pdf).withColumn("known", F.col("row_idx") < 60)
-    got = R.polynomial_candidates(d, "g", "x", "y", "known", [40, 1000], [1, 2]).toPandas()
-    assert set(got.name) == {"poly_deg1_tail40", "poly_deg2_tail40", "poly_deg1_tail1000", "poly_deg2_tail1000"}
+    got = R.polynomial_candidates(d, "g", "x", "y", "known", [40, None], [1, 2]).toPandas()
+    assert set(got.name) == {"poly_deg1_tail40", "poly_deg2_tail40", "poly_deg1_tailall", "poly_deg2_tailall"}
     assert np.allclose(got.pred, 4 + 0.3 * got.row_idx * 2, atol=1e-5)
 
 
@@ -115,7 +115,13 @@ def test_window_match(spark):
     k, e, half, stride = rng.normal(size=120), rng.normal(size=50), 4, 3
     known = spark.createDataFrame(pd.DataFrame({"g": "a", "row_idx": range(120), "s": k, "v": np.arange(120) * 1.5}))
     evals = spark.createDataFrame(pd.DataFrame({"g": "a", "row_idx": range(50), "s": e}))
-    got = L.window_match(known, evals, "g", "s", "v", half, stride, block=16).toPandas().sort_values("row_idx")
+    # a second group, too short for one window and one more row, holds its last known value
+    short = known.where("row_idx < 9").withColumn("g", F.lit("b"))
+    both = evals.unionByName(evals.withColumn("g", F.lit("b")))
+    got = L.window_match(known.unionByName(short), both, "g", "s", "v", half, stride, block=16).toPandas().sort_values(["g", "row_idx"])
+    assert (got[got.g == "b"].match_value == 12.0).all() and (got[got.g == "b"].match_score == 0).all() and (got.g == "b").sum() == 50
+    got = got[got.g == "a"]
+    k, e = (pd.Series(x).rolling(5, center=True, min_periods=1).mean().to_numpy() for x in (k, e))
     win = 2 * half + 1
     st = np.arange(0, 120 - win + 1, stride)
     nrm = lambda m: (m - m.mean(1, keepdims=True)) / (m.std(1, keepdims=True) + 1e-6)
@@ -151,7 +157,7 @@ def test_lattice_decode_follows_a_line(spark):
     curve = spark.createDataFrame(pd.DataFrame({"g": np.repeat(["a", "b"], len(t)), "x": np.tile(t, 2), "y": np.tile(gr, 2)}))
     starts = spark.createDataFrame([("a", 80.0, 0.0, 5.0), ("b", 80.0, 0.0, 5.0)], "g string, u0 double, s0 double, gamma double")
     slopes = [-0.2, -0.1, 0.0, 0.1, 0.2]
-    got = L.lattice_decode(spark.createDataFrame(rows), curve, starts, "g", "x", "y", [10, 20], slopes, 1.0, np.log(15), 1.0, keep=6, sigma=0.2, grid_step=0.1).toPandas()
+    got = L.lattice_decode(spark.createDataFrame(rows), curve, starts, "g", "x", "y", [10, 20], slopes, 1.0, np.log(15), 1.0, keep=6, sigma=0.2, evidence=1.0, grid_step=0.1).toPandas()
     assert len(got) == 40 + 33
     assert np.abs(got.surface - u[got.step]).max() < 0.3
 
