@@ -68,8 +68,11 @@ def oof_trees(
     ready = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(ready).drop("rawPrediction")
     ready = cut_lineage(ready)
     parts, gains, models = [], [], []
+    # few groups can leave the training folds of a fit without a stopping group: all its trees are then grown
+    stops = {r[0] for r in ready.where(F.col("_stop") & F.col(fold).isNotNull()).select(fold).distinct().collect()}  # at most one row per fold
     for f in range(folds):
-        model = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", validationIndicatorCol="_stop", **params).fit(
+        early = {"validationIndicatorCol": "_stop"} if stops - {f} else {}
+        model = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", **early, **params).fit(
             ready.where(F.col(fold) != f).select("_x", "_y", "_stop"))
         parts.append(model.transform(ready.where(F.col(fold) == f)))
         models.append(model)
