@@ -10,6 +10,8 @@ document that any rule may reject. A stratum with too few labels gets no cutoff,
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,11 +106,9 @@ def _allowed(n: Column, risk: float, log_error: Column) -> Column:
 def cutoffs(measured: DataFrame, good: Column, stratum: str, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """One row per stratum that has good documents: ``stratum`` and a cutoff for each rule (null: none is safe)."""
     counts = [F.sum(F.when(fails(r, F.lit(c)), 1).otherwise(0)).alias(f"{r}_{c}") for r, (_, _, cs) in RULES.items() for c in cs]
-    per = measured.filter(good).groupBy(stratum).agg(F.count("*").alias("n_good"), *counts)
-    strata = per.agg(F.count("*").alias("strata"))
-    tests = F.col("strata") * sum(len(cs) for _, _, cs in RULES.values())
-    per = per.crossJoin(strata)  # one row
-    per = per.withColumn("allowed", _allowed(F.col("n_good"), risk / len(RULES), F.log(F.lit(error) / tests)))
+    per = cut_lineage(measured.filter(good).groupBy(stratum).agg(F.count("*").alias("n_good"), *counts))  # one row per stratum
+    tests = max(1, per.count()) * sum(len(cs) for _, _, cs in RULES.values())
+    per = per.withColumn("allowed", _allowed(F.col("n_good"), risk / len(RULES), F.lit(math.log(error / tests))))
     chosen = [F.least(*[F.when(F.col(f"{r}_{c}") <= F.col("allowed"), c).cast("long") for c in cs]).alias(f"cut_{r}") for r, (_, _, cs) in RULES.items()]
     return per.select(stratum, *chosen)
 
