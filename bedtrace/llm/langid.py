@@ -269,15 +269,22 @@ def remainder(key: Column, by: int) -> Column:
     return F.crc32(key.cast("string")) % by
 
 
-def training_rows(df: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, text: str = "text") -> DataFrame:
-    """A bounded sample: the ``rows`` rows with the smallest hash of their text, of at most ``chars`` characters each."""
-    ok = df.filter(F.col(text).isNotNull() & (F.length(text) <= chars))
-    return ok.orderBy(F.xxhash64(text), text).limit(rows)
+def training_rows(df: DataFrame, total: int, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, text: str = "text") -> DataFrame:
+    """A bounded sample of at most ``rows`` rows, with texts of at most ``chars`` characters.
+
+    ``total`` is the number of rows of ``df``. A hash over all columns first keeps a share of somewhat more than
+    ``rows`` of them, so that what is then ordered and sent to the driver does not grow with the table.
+    """
+    at = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30))
+    share = min(1.0, (1.3 * rows + 100) / max(total, 1))
+    ok = df.filter((at < int(share * (1 << 30)) + 1) & F.col(text).isNotNull() & (F.length(text) <= chars))
+    return ok.orderBy(at, text).limit(rows)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
-    sample = training_rows(docs.filter(~held & F.col("lang").isNotNull()).select("text", "lang")).toPandas()
+    labelled = docs.filter(~held & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    sample = training_rows(labelled, labelled.select("lang").count()).toPandas()
     model = fit(sample["text"].tolist(), sample["lang"].tolist())
     return predict(docs, model, ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")
