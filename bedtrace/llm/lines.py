@@ -1,11 +1,15 @@
-"""Line dedup by content-defined chunks of lines.
-
-A rolling hash over the hashes of the last WINDOW lines ends a chunk where it meets a fixed remainder, so borders follow
-the lines around them and not their place in the text: a passage that moves to another text has the same borders inside
-from its WINDOW-th line on. A line of LONG_WORDS words or more is a chunk of its own. Chunks that occur again anywhere
-are marked but for their first occurrence (smallest document id, then place), after their bytes have been compared.
-Neighbouring marked chunks are removed together where they say enough: two lines or more with MIN_WORDS words, or one
-long line. A short line that many texts share, alone between lines of its own text, stays.
+"""Line dedup by repeated pairs of lines and content-defined chunks.
+
+Units are compared all over the table: each pair of neighbouring lines with words (with the empty lines between them),
+and each line that stands alone in its chunk. A rolling hash over the hashes of the last WINDOW lines ends a chunk where
+it meets a fixed remainder, so borders follow the lines around them; a line of LONG_WORDS words or more is a chunk of
+its own. The lines of a unit that occurs again are marked but for its first occurrence (smallest document id, then
+place), after the bytes have been compared. Pairs overlap, so a match goes on line by line to both sides until the lines
+differ: a passage of two lines or more is marked as a whole, whatever stands around it.
+
+Neighbouring marked lines are removed together where they say enough: two lines or more with MIN_WORDS words, or one
+long line. A short line that many texts share, alone between lines of its own text, stays. The first occurrence of a
+line in the table is never removed; where passages overlap, their lines may be kept in different documents.
 """
 
 from __future__ import annotations
@@ -28,12 +32,16 @@ DIVISOR = 2
 LONG_WORDS = 50
 MIN_WORDS = 20
 MASK = (1 << 64) - 1
+PAIR = 1 << 32  # added to the first line of a pair
 
 
 def chunks(text: str) -> list[tuple[int, int, int, int]]:
     """First line, line after the last, words, and lines with words of the chunks of a text's lines."""
     lines = text.encode().split(b"\n")
-    words = [len(x.split()) for x in lines]
+    return _chunks(lines, [len(x.split()) for x in lines])
+
+
+def _chunks(lines: list[bytes], words: list[int]) -> list[tuple[int, int, int, int]]:
     hashes = [xxhash.xxh64_intdigest(x) for x in lines]
     first, out = 0, []
     for i in range(len(lines)):
@@ -47,32 +55,37 @@ def chunks(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def worded(text: str) -> list[tuple[int, int, int, bytes]]:
-    """First line, two 64-bit hashes and the bytes of the chunks with a word."""
+    """Place, two 64-bit hashes and the bytes of the units: the line itself for one alone, PAIR + its first line for a pair."""
     raw = text.encode().split(b"\n")
+    words = [len(x.split()) for x in raw]
+    filled = [i for i, n in enumerate(words) if n]
+    alone = [next(i for i in range(a, b) if words[i]) for a, b, _, n in _chunks(raw, words) if n == 1]
+    parts = [(i, raw[i]) for i in alone] + [(PAIR + i, b"\n".join(raw[i : j + 1])) for i, j in zip(filled, filled[1:])]
     out = []
-    for a, b, n, _ in chunks(text):
-        if n:
-            part = b"\n".join(raw[a:b])
-            h = xxhash.xxh3_128_intdigest(part)
-            out.append((a, _signed(h >> 64), _signed(h & MASK), part))
+    for at, part in parts:
+        h = xxhash.xxh3_128_intdigest(part)
+        out.append((at, _signed(h >> 64), _signed(h & MASK), part))
     return out
 
 
-def without(text: str, marked_chunks: set[int]) -> tuple[str, int]:
-    """``text`` without the runs of marked chunks (by first line) that say enough, and the number of lines removed."""
-    raw, out, run, gone = text.split("\n"), [], [], 0
-    for chunk in [*chunks(text), None]:
-        if chunk is not None and (chunk[0] in marked_chunks or (run and not chunk[2])):
-            run.append(chunk)
+def without(text: str, marked_units: set[int]) -> tuple[str, int]:
+    """``text`` without the runs of lines of marked units (by place) that say enough, and the number of lines removed."""
+    raw = text.split("\n")
+    words = [len(x.split()) for x in text.encode().split(b"\n")]
+    filled = [i for i, n in enumerate(words) if n]
+    covered = {at for at in marked_units if at < PAIR}
+    covered |= {i for pair in zip(filled, filled[1:]) if PAIR + pair[0] in marked_units for i in pair}
+    out, run, gone = [], [], 0
+    for i in range(len(raw) + 1):
+        if i < len(raw) and (i in covered or (run and not words[i])):
+            run.append(i)
             continue
-        n, filled = sum(c[2] for c in run), sum(c[3] for c in run)
-        enough = n >= LONG_WORDS if filled == 1 else filled > 1 and n >= MIN_WORDS
-        for first, end, _, _ in run:
-            gone += (end - first) * enough
-            out += [] if enough else raw[first:end]
+        n, lines = sum(words[k] for k in run), sum(1 for k in run if words[k])
+        enough = n >= LONG_WORDS if lines == 1 else lines > 1 and n >= MIN_WORDS
+        gone += len(run) * enough
+        out += [] if enough else raw[run[0] : run[-1] + 1] if run else []
         run = []
-        if chunk is not None:
-            out += raw[chunk[0] : chunk[1]]
+        out += raw[i : i + 1]
     return "\n".join(out), gone
 
 
@@ -85,11 +98,11 @@ OUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_line
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with ``text`` without its repeated chunks, and the columns n_lines (before) and lines_removed.
+    """``df`` with ``text`` without its repeated lines, and the columns n_lines (before) and lines_removed.
 
     All columns of ``df`` are kept (but for columns of these two names). Null text stays null with 0 lines; the empty
     text has one empty line. A null key is the last in the order of occurrences. Rows with the same key and text are
-    one document: all of them keep and lose the same lines. An empty table gives an empty result. Two different chunks
+    one document: all of them keep and lose the same lines. An empty table gives an empty result. Two different units
     with the same 128-bit hash would both be kept.
     """
     bound_batches(df.sparkSession)
@@ -98,32 +111,39 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     src = df.select(*[F.col(f"`{c}`") for c in cols]).withColumns({"__key": F.col(f"`{key}`"), "__hash": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))})
     kind = src.schema["__key"].dataType.simpleString()
 
-    def occurrences(bits: np.ndarray | None):
-        """One row per chunk with a word; with ``bits`` those that they mark, with their bytes."""
+    rows = src.filter(F.col(f"`{text}`").isNotNull()).select(F.col("__key").alias("k"), F.col("__hash").alias("hash"), F.col(f"`{text}`").alias("t"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """First hashes of the units of a batch and how often they are there."""
+        for b in batches:
+            h1, n = np.unique(np.array([a for x in b.column(0) for _, a, _, _ in worded(x.as_py())], np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(n, pa.int64())], names=["h1", "n"])
+
+    def occurrences(bits: np.ndarray, with_bytes: bool) -> DataFrame:
+        """One row per unit that ``bits`` mark, with its bytes or with empty ones."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                row, at, h1, h2, part = [], [], [], [], []
+                row, units = [], []
                 for i, x in enumerate(b.column(2)):
-                    for first, a, c, raw in worded(x.as_py()):
-                        if bits is None or is_marked(bits, np.array([a]))[0]:
-                            row.append(i)
-                            at.append(first)
-                            h1.append(a)
-                            h2.append(c)
-                            part.append(raw if bits is not None else b"")
+                    made = worded(x.as_py())
+                    hit = is_marked(bits, np.array([u[1] for u in made], np.int64)) if made else []
+                    new = [u for u, m in zip(made, hit) if m]
+                    units += new if with_bytes else [(*u[:3], b"") for u in new]
+                    row += [i] * len(new)
                 take = pa.array(row, pa.int64())
+                at, h1, h2, part = ([u[k] for u in units] for k in range(4))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(part, pa.binary())],
                                                  names=["k", "hash", "at", "h1", "h2", "part"])
 
-        rows = src.filter(F.col(f"`{text}`").isNotNull()).select(F.col("__key").alias("k"), F.col("__hash").alias("hash"), F.col(f"`{text}`").alias("t"))
         return rows.mapInArrow(run, f"k {kind}, hash long, {OCCURRENCE}, part binary")
 
     where = F.struct(F.col("k").isNull().alias("last"), F.col("k").alias("k"), F.col("hash").alias("hash"), F.col("at").alias("at"))
-    seen = cut_lineage(occurrences(None).drop("part"))
-    again = cut_lineage(seen.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"))
+    again = rows.select("t").mapInArrow(counted, "h1 long, n long").groupBy("h1").agg(F.sum("n").alias("n")).filter("n > 1")
+    bits = marked(again.select("h1"), "h1")
+    seen = cut_lineage(occurrences(bits, False).drop("part"))
     # byte comparison: occurrences grouped by the bytes themselves, copies combined before the shuffle
-    same = occurrences(marked(again, "h1")).groupBy("h1", "h2", "part").agg(F.min(where).alias("first"), F.count("*").alias("n"))
+    same = occurrences(bits, True).groupBy("h1", "h2", "part").agg(F.min(where).alias("first"), F.count("*").alias("n"))
     same = same.groupBy("h1", "h2").agg(F.count("*").alias("kinds"), F.min("first").alias("first"), F.sum("n").alias("n"))
     same = cut_lineage(same.filter("kinds = 1 and n > 1").select("h1", "h2", "first"))
     extra = seen.join(same, ["h1", "h2"]).filter(~where.eqNullSafe(F.col("first")))
@@ -142,7 +162,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                 gone.append(n)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(kept))], pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*kept, "__t", *made])
 
-    # texts without a mark go on as they are; only the others meet their list of chunks
+    # texts without a mark go on as they are; only the others meet their list of units
     bits = drops.select(F.col("__hash").alias("h"))
     hit, rest = split_by_marks(src, "__hash", bits, "h")
     null_safe = hit.alias("x").join(drops.alias("y"), F.col("x.__key").eqNullSafe(F.col("y.__key")) & (F.col("x.__hash") == F.col("y.__hash")), "left")

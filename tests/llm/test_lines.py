@@ -79,3 +79,26 @@ def test_runs_of_marked_chunks_must_say_enough():
     assert lines.without(text, {0}) == (text, 0)
     assert lines.without(text, {1}) == ("short line\nanother short line", 1)
     assert lines.without(text, set(at)) == ("", 3)
+
+
+def test_short_passages_go_as_a_whole_wherever_they_stand(spark):
+    rng = random.Random(9)
+    line = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    shapes = [(2, 27), (3, 20), (4, 15), (5, 11), (6, 10), (2, 10)]  # lines, words of a line
+    shared = [[line(w) for _ in range(n)] for n, w in shapes for _ in range(5)]
+    rows, own = [], {}
+    for p, passage in enumerate(shared):
+        for c in range(4):
+            before, after = ([line(rng.randint(2, 20)) for _ in range(rng.randint(0, 5))] for _ in range(2))
+            k = 10 * p + c
+            own[k] = before + (passage if c == 0 else []) + after
+            rows.append((k, "\n".join(before + passage + after)))
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {k: "\n".join(x) for k, x in own.items()}
+
+
+def test_empty_lines_inside_a_passage_and_lines_that_many_pairs_share():
+    one, two, three = (" ".join(f"{c}{i}" for i in range(12)) for c in "abc")
+    rows = [(1, f"x\n{one}\n\n{two}\ny"), (2, f"z\n{one}\n\n{two}\n{three}"), (3, f"{two}\n{three}"), (4, f"{one}\nq\n{two}")]
+    assert brute(rows) == [(1, rows[0][1]), (2, f"z\n{three}"), (3, ""), (4, rows[3][1])]
+    assert brute([(1, "\n".join([one] * 4))]) == [(1, one)]
