@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,13 @@ KINDS = (*BASE, "user", "key", "endpoint")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-USER = re.compile(r"""(?:user(?:name)?|login|client_id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", re.I | re.A)
-KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
+USER = re.compile(r"""(?:user(?:name)?|login|client_id|account(?:_?name)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", re.I | re.A)
+# Also right behind an equals sign (NAME=key, ?sig=key), and with characters in the %XX form of URLs.
+KEY = re.compile(r"(?<![A-Za-z0-9+/_-])(?<!%(?=[0-9A-Fa-f]{2}))(?:[A-Za-z0-9+/_-]|%(?!3[Dd])[0-9A-Fa-f]{2}){32,}+(?:=|%3[Dd]){0,2}+(?![A-Za-z0-9+/=_-]|%[0-9A-Fa-f]{2})")
 ENDPOINT = re.compile(r"""(?:[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20"'<>]+|(?:[A-Za-z0-9-]+\.)+(?:amazonaws\.com|internal|local|svc|cloud)(?::[0-9]{2,5})?)""", re.A)
 SCOPE = re.compile(r"\n[\x20\t\r]*\n")
 # What a text with any finding must hold, for the fast scan of whole batches.
-SIGNS = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=]|AKIA[A-Z0-9]|[0-9a-f]{24}|[A-Za-z0-9+/_-]{32}"""
+SIGNS = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=]|AKIA[A-Z0-9]|[0-9a-f]{24}|(?:[A-Za-z0-9+/_-]|%[0-9A-Fa-f]{2}){32}"""
 
 
 def strong(text: str) -> list[tuple[int, int, str]]:
@@ -43,6 +45,7 @@ def strong(text: str) -> list[tuple[int, int, str]]:
 
 
 def _random_looking(s: str) -> bool:
+    s = unquote(s)
     return bool(re.search("[a-z]", s)) and bool(re.search("[A-Z]", s)) and bool(re.search("[0-9]", s))
 
 
