@@ -51,7 +51,10 @@ def oof_trees(
 ) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold predictions of a gradient-boosted tree model, one fit per fold, and the gain of each feature in each fit.
 
-    Rows without a fold are new to all models and get the mean of their predictions.
+    Rows without a fold are new to all models and get the mean of their predictions. A missing feature (null or NaN)
+    drops no row: it counts as the least value of its column, beside a flag that tells the two apart and whose gain is
+    added to the feature's. Rows without a target are predicted and not learned from; without an ``anchor`` value the
+    prediction is null.
 
     The target is limited to +-``winsor`` while fitting; with ``anchor`` the model learns the residual to that column. A
     tenth of the training groups (by hash) stops the boosting early.
@@ -62,21 +65,31 @@ def oof_trees(
     params = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 7, **(params or {})}
     base = F.col(anchor) if anchor else F.lit(0.0)
     y = F.col(target) - base
-    if winsor is not None:
-        y = F.least(F.greatest(y, F.lit(-winsor)), F.lit(winsor))
-    ready = df.withColumns({"_y": y, "_stop": F.pmod(F.xxhash64(group, F.lit("stop")), F.lit(10)) == 0})
-    ready = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(ready).drop("rawPrediction")
+    bounded = y if winsor is None else F.least(F.greatest(y, F.lit(-winsor)), F.lit(winsor))
+    bounded = F.when(y.isNotNull() & ~F.isnan(y), bounded)  # greatest and least pass over nulls
+    ready = df.withColumns({"_y": bounded, "_stop": F.pmod(F.xxhash64(group, F.lit("stop")), F.lit(10)) == 0})
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features}
     ready = cut_lineage(ready)
+    seen = ready.agg(*[F.min(value[c]).alias(f"v{i}") for i, c in enumerate(features)], *[F.count_if(value[c].isNull()).alias(f"n{i}") for i, c in enumerate(features)]).first()  # one row
+    gaps = [i for i in range(len(features)) if seen[f"n{i}"]]
+    filled = {f"_f{i}": F.coalesce(value[c], F.lit(seen[f"v{i}"]), F.lit(0.0)) for i, c in enumerate(features)}
+    flags = {f"_g{i}": value[features[i]].isNull().cast("double") for i in gaps}
+    ready = ready.withColumns(filled | flags)
+    ready = VectorAssembler(inputCols=[*filled, *flags], outputCol="_x").transform(ready).drop(*filled, *flags)
+    ready = cut_lineage(ready)
+    learned = ready.where(F.col("_y").isNotNull())
     parts, gains, models = [], [], []
     # few groups can leave the training folds of a fit without a stopping group: all its trees are then grown
-    stops = {r[0] for r in ready.where(F.col("_stop") & F.col(fold).isNotNull()).select(fold).distinct().collect()}  # at most one row per fold
+    stops = {r[0] for r in learned.where(F.col("_stop") & F.col(fold).isNotNull()).select(fold).distinct().collect()}  # at most one row per fold
     for f in range(folds):
         early = {"validationIndicatorCol": "_stop"} if stops - {f} else {}
         model = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_p", **early, **params).fit(
-            ready.where(F.col(fold) != f).select("_x", "_y", "_stop"))
+            learned.where(F.col(fold) != f).select("_x", "_y", "_stop"))
         parts.append(model.transform(ready.where(F.col(fold) == f)))
         models.append(model)
-        gains += [(f, name, float(g)) for name, g in zip(features, model.featureImportances.toArray())]
+        gain = model.featureImportances.toArray()
+        of_flag = dict(zip(gaps, gain[len(features):]))
+        gains += [(f, name, float(gain[i] + of_flag.get(i, 0.0))) for i, name in enumerate(features)]
     new = ready.where(F.col(fold).isNull())
     for i, model in enumerate(models):
         new = model.transform(new).withColumnRenamed("_p", f"_p{i}")

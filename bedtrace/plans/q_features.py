@@ -46,7 +46,9 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f2_features_to_scores", None)
 def features_to_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Features, out-of-fold trees on the withheld rows, and the error per fold against the last known value and the curve."""
+    """Features, out-of-fold trees on the withheld rows, and the error per fold against the known mean and the curve.
+
+    All withheld rows count in ``n``; the error of the curve is over the rows that have one."""
     from bedtrace.operators.metrics import rmse
     from bedtrace.operators.models import group_folds, oof_trees
     from bedtrace.session import cut_lineage

@@ -248,3 +248,27 @@ def test_sequence_samples_on_planted_wells(spark, wells):
     w0 = log[log.well == "w0"]
     want = np.clip((np.interp(md, w0.MD, w0.TVT) - w0.TVT.iloc[99]) / 10, -12, 12)
     assert np.allclose(s.target, want) and (s.is_tail.to_numpy() == (md > 99)).all()
+
+
+def test_trees_predict_rows_with_missing_features(spark):
+    """A user with one known row has no slope, one without views no curve; nulls in a target are not learned from."""
+    from bedtrace.operators.features import feature_table
+    from bedtrace.operators.models import group_folds, oof_trees
+
+    rows = [(u, i, float(i), float(u + i), None if u == 7 else float(i % 3), i * 10 < n * 3, n) for u in range(12) for n in [3 if u == 5 else 20] for i in range(n)]
+    log = spark.createDataFrame(rows, "u long, row_idx long, x double, value double, sig double, known boolean, n_rows long")
+    curve = spark.createDataFrame([(u, float(c), float(c + u)) for u in range(12) if u != 7 for c in range(0, 21, 5)], "u long, cx double, cy double")
+    d = feature_table(log, ["u"], "x", "value", "sig", "known", curve).where(~F.col("known")).join(group_folds(log, "u", 3), "u")
+    inputs = ["s_mean201", "frac", "known_mean", "known_slope", "curve"]
+    params = {"maxIter": 3, "maxDepth": 2}
+    out, gains = oof_trees(d, inputs, "value", "u", "fold", 3, params, anchor="known_mean")
+    got = out.toPandas()
+    assert got.known_slope.isna().any() and got.curve.isna().any() and got.s_mean201.isna().any()
+    assert len(got) == d.count() and got.oof.notna().all() and {5, 7} <= set(got.u)
+    assert set(out.columns) == {*d.columns, "oof"}
+    table = gains.toPandas()
+    assert sorted(table.feature) == sorted(inputs * 3) and np.allclose(table.groupby("fold").gain.sum(), 1)
+
+    d = spark.createDataFrame([(g, g % 2, float(i), None if i == 4 else 10.0) for g in range(40) for i in range(5)], "g long, fold int, a double, y double")
+    got = oof_trees(d, ["a"], "y", "g", "fold", 2, params)[0].toPandas()
+    assert len(got) == 200 and np.allclose(got.oof, 10)
