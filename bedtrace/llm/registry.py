@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from bedtrace.llm import exact, jaccard, langid, lines, packing, pieces, quality, secrets, tokens, toxicity, whitening
+from bedtrace.llm import exact, jaccard, langid, lines, packing, phrases, pieces, quality, secrets, tokens, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -21,10 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_collocations": phrases.op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": exact.OP1_SQL,
     "op10_quality_rules": quality.OP10_SQL,
+    "op13_collocations": phrases.OP13_SQL,
 }
