@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from bedtrace.llm import exact, jaccard, langid, lines, packing, phrases, pieces, quality, secrets, tokens, toxicity, whitening
+from bedtrace.llm import exact, jaccard, langid, lines, packing, phrases, pieces, pii, quality, secrets, tokens, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": secrets.op8_secret_scans,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_pii": pii.op11_pii,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_collocations": phrases.op13_collocations,
     "pipeline": corpus_pipeline.run,
