@@ -13,11 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bedtrace.llm.common import doc_counts, documents, map_text, text_bytes, words_of
+from bedtrace.llm.common import WHITE, doc_counts, documents, map_text, text_bytes, words_of
 from bedtrace.llm.subwords import Grams
 
 GRAMS = Grams((1, 2, 3, 4), 1 << 17)
@@ -128,8 +128,14 @@ def _pieces(rng: np.random.Generator, lang: np.ndarray, counts: np.ndarray, bloc
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Maximum likelihood by AdaGrad over batches of sequences, gradients by forward-backward."""
+    """Maximum likelihood by AdaGrad over batches of sequences, gradients by forward-backward.
+
+    Texts without a word teach nothing; without any other text the model knows no language.
+    """
+    texts, langs = ([x for x, t in zip(xs, texts) if t.strip(WHITE)] for xs in (texts, langs))
     names = sorted(set(langs))
+    if not names:
+        return Model([], np.zeros((GRAMS.rows + 1, 0), np.float32), np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), 0.0)
     k = len(names)
     lang = np.array([names.index(x) for x in langs])
     arr = pa.array(texts, pa.string())
@@ -225,12 +231,16 @@ OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("s
 def predict(df: DataFrame, model: Model, cols: list[str], text: str = "text") -> DataFrame:
     """``cols`` of every row with lang_pred and score (mean probability of that language over words with letters).
 
-    Null or empty text and text without a letter: ``und`` with score 1.0. Ties go to the first language by name.
+    Null or empty text and text without a letter: ``und`` with score 1.0. A model that knows no language (an empty table,
+    no labels, or only blank labelled texts) gives ``und`` everywhere, with score 0.0 for texts with letters. Ties go to the first language by name.
     Repeated rows are predicted row by row; columns of ``cols`` named like an output give way to it.
     """
 
     def run(arr: pa.Array) -> list:
         data, offs = text_bytes(arr)
+        if not model.langs:
+            none = _no_ascii_letter(data, offs)
+            return [["und"] * len(arr), [float(n and not any(c.isalpha() for c in t.as_py())) for n, t in zip(none.tolist(), arr)]]
         starts, lens, hashes = words_of(data, offs)
         counts = doc_counts(starts, offs)
         used = lettered(data, starts, lens)
@@ -281,10 +291,39 @@ def training_rows(df: DataFrame, total: int, rows: int = SAMPLE_ROWS, chars: int
     return ok.orderBy(at, text).limit(rows)
 
 
+def per_class(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """Shares of ``rows`` as even as the classes allow: a small class keeps all it has, the others divide the rest."""
+    out, left = {}, rows
+    for k, (c, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[c] = min(n, left // (len(counts) - k))
+        left -= out[c]
+    return out
+
+
+def class_sample(df: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, text: str = "text", classes: int = 200) -> DataFrame:
+    """At most ``rows`` rows (text, label) of at most ``chars`` characters, spread evenly over the labels.
+
+    Rare labels are drawn whole, so a label is learned however small its share of the table is; of more than ``classes``
+    labels the commonest are taken. The draw is by a hash of the text, and equal texts of a label count once, so a group
+    of copies takes one place. A share of each label is kept before anything is ordered: what is ordered does not grow
+    with the table.
+    """
+    ok = df.select(F.col(text).alias("text"), F.col(label).alias("label")).filter(F.col("text").isNotNull() & F.col("label").isNotNull() & (F.length("text") <= chars))
+    found = {r["label"]: r["n"] for r in ok.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(classes).collect()}
+    quota = per_class(found, rows)
+    wanted = [(c, int(min(1.0, (4 * q + 100) / found[c]) * (1 << 30)) + 1, q) for c, q in quota.items() if q]
+    if not wanted:
+        return ok.limit(0)
+    table = df.sparkSession.createDataFrame(wanted, T.StructType([ok.schema["label"], T.StructField("top", T.LongType()), T.StructField("quota", T.LongType())]))
+    at = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    drawn = ok.join(F.broadcast(table), "label").withColumn("at", at).filter("at < top").groupBy("label", "text", "at", "quota").agg(F.count("*").alias("copies"))
+    ranked = drawn.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("at", "text")))
+    return ranked.filter("k <= quota").select("text", "label").orderBy("label", "text")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
-    labelled = docs.filter(~held & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sample = training_rows(labelled, labelled.select("lang").count()).toPandas()
-    model = fit(sample["text"].tolist(), sample["lang"].tolist())
+    sample = class_sample(docs.filter(~held), "lang").toPandas()
+    model = fit(sample["text"].tolist(), sample["label"].tolist())
     return predict(docs, model, ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")

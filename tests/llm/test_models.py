@@ -146,3 +146,43 @@ def test_rows_of_the_other_fold_are_not_learned(spark):
     key = spark.createDataFrame([(7,), (None,)], "doc_id long")
     got = [r[0] for r in key.select(langid.remainder(F.col("doc_id"), 4)).collect()]
     assert got == [zlib.crc32(b"7") % 4, None]
+
+
+def test_expected_transitions_equal_all_paths():
+    rng = np.random.default_rng(4)
+    k, trans = 3, rng.normal(size=(3, 3))
+    sizes = np.array([3, 1, 5])
+    e = rng.normal(size=(int(sizes.sum()), k))
+    want, at = np.zeros((k, k)), 0
+    for n in sizes:
+        part, total = np.zeros((k, k)), 0.0
+        for path in itertools.product(range(k), repeat=int(n)):
+            p = np.exp(sum(e[at + t, y] for t, y in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:]))) * np.exp(trans[:, path[0]]).sum()
+            total += p
+            for a, b in zip(path, path[1:]):
+                part[a, b] += p
+        want += part / total
+        at += n
+    assert np.allclose(langid._pair_sums(e, sizes, trans), want, atol=1e-8)
+
+
+def test_language_query_on_tables_without_labels(spark, nothing, tmp_path):
+    rows = [(1, "some words here", None), (2, None, "en"), (3, " \n", "de"), (4, "123 !", None), (None, "", "en")]
+    tables = {"empty": nothing.select("doc_id", "text", "lang"), "unlabelled": spark.createDataFrame(rows, "doc_id long, text string, lang string"),
+              "one": spark.createDataFrame([(i, f"words of one tongue {i}", "en") for i in range(30)], "doc_id long, text string, lang string")}
+    got = {}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got[name] = {r.doc_id: (r.lang_pred, r.score) for r in langid.op6_language_id(spark, f"{tmp_path}/{name}").collect()}
+    assert got["empty"] == {}
+    assert got["unlabelled"] == {1: ("und", 0.0), 2: ("und", 1.0), 3: ("und", 1.0), 4: ("und", 1.0), None: ("und", 1.0)}
+    assert {x for x, _ in got["one"].values()} == {"en"} and len(got["one"]) == 30
+
+
+def test_samples_are_even_over_labels_and_copies_take_one_place(spark):
+    rows = [(f"common text {i}", "en") for i in range(900)] + [("a copied text", "en")] * 500 + [(f"rare {i}", "xx") for i in range(7)] + [(None, "de"), ("x" * 50, "long")]
+    df = spark.createDataFrame(rows, "t string, l string").repartition(5)
+    got = langid.class_sample(df, "l", rows=60, chars=40, text="t").toPandas()
+    assert sorted(got.text[got.label == "xx"]) == sorted(f"rare {i}" for i in range(7))
+    assert (got.label == "en").sum() == 53 and set(got.label) == {"en", "xx"} and got.text.is_unique
+    assert langid.per_class({"a": 5, "b": 100, "c": 100}, 50) == {"a": 5, "b": 22, "c": 23}
