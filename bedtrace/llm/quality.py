@@ -1,11 +1,15 @@
 """Quality rules with risk-controlled thresholds, in DataFrame expressions only.
 
 Each rule compares a measure of a text with a cutoff. The cutoffs are not guessed: labelled documents of good quality
-are a holdout, and for each stratum (language) and rule the strictest cutoff is taken whose false rejections stay, with
-high confidence, below a risk. The bound is exact: with n good documents of which k would be rejected, a cutoff passes
-when P(Binomial(n, risk) <= k) <= error / tests. Dividing by the number of all (stratum, rule, cutoff) tests makes the
-statement hold for all chosen cutoffs at once, and dividing the risk by the number of rules makes it hold for a
-document that any rule may reject. A stratum with too few labels gets no cutoff, so nothing is rejected there.
+are a holdout, and for each stratum (language) the strictest setting of all rules together is taken whose false
+rejections stay, with high confidence, below a risk. The settings form one fixed path: each step tightens one rule, from
+the loosest cutoffs of all rules to the strictest ones, so a document that fails at a step fails at all later ones and
+the joint rejections can only grow. The steps are tested in this order, each at the full level of the stratum, up to the
+first that is not proven: with n good documents of which k fail by then, a step is proven when
+P(Binomial(n, risk) <= k) <= error / strata, an exact bound. Testing in a fixed order needs no division by the number of
+steps, and counting joint rejections none of the risk by the number of rules; only the strata share the error, so the
+statement holds for all of them at once. A stratum with too few labels gets no cutoff, so nothing is rejected there: the
+first step needs ln(error / strata) / ln(1 - risk) good labels, 86 for four strata at the default levels.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ RULES: dict[str, tuple[str, str, list[int]]] = {
     "long_words": ("word_chars", "n_words", [7000, 8000, 9000, 10000, 12000, 15000]),
     "capitals": ("n_capitals", "word_chars", [50, 100, 200, 300, 500, 700]),
 }
+# The path: each rule has seven steps at most, loosest cutoffs of all rules first, then the next ones.
+STEPS: list[tuple[str, int]] = [(r, sorted(cs, reverse=True)[k]) for k in range(max(len(cs) for _, _, cs in RULES.values())) for r, (_, _, cs) in RULES.items() if k < len(cs)]
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals"]
 
 
@@ -103,14 +109,19 @@ def _allowed(n: Column, risk: float, log_error: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1).cast("long"), up_to), start, step, lambda a: a["k"])
 
 
-def cutoffs(measured: DataFrame, good: Column, stratum: str, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """One row per stratum that has good documents: ``stratum`` and a cutoff for each rule (null: none is safe)."""
-    counts = [F.sum(F.when(fails(r, F.lit(c)), 1).otherwise(0)).alias(f"{r}_{c}") for r, (_, _, cs) in RULES.items() for c in cs]
-    per = cut_lineage(measured.filter(good).groupBy(stratum).agg(F.count("*").alias("n_good"), *counts))  # one row per stratum
-    tests = max(1, per.count()) * sum(len(cs) for _, _, cs in RULES.values())
-    per = per.withColumn("allowed", _allowed(F.col("n_good"), risk / len(RULES), F.lit(math.log(error / tests))))
-    chosen = [F.least(*[F.when(F.col(f"{r}_{c}") <= F.col("allowed"), c).cast("long") for c in cs]).alias(f"cut_{r}") for r, (_, _, cs) in RULES.items()]
-    return per.select(stratum, *chosen)
+def fail_step() -> Column:
+    """First step of the path at which a document fails; null if it passes all."""
+    return F.least(*[F.when(fails(r, F.lit(c)), k) for k, (r, c) in enumerate(STEPS)])
+
+
+def proven_steps(measured: DataFrame, stratum: str, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """``stratum`` and ``steps`` (how many steps of the path are proven) of each stratum of the good documents ``measured``."""
+    step = fail_step()
+    counts = [F.sum(F.when(step <= k, 1).otherwise(0)).alias(f"fail_{k}") for k in range(len(STEPS))]
+    per = cut_lineage(measured.groupBy(stratum).agg(F.count("*").alias("n_good"), *counts))  # one row per stratum
+    per = per.withColumn("allowed", _allowed(F.col("n_good"), risk, F.lit(math.log(error / max(1, per.count())))))
+    steps = sum([F.when(F.col(f"fail_{k}") <= F.col("allowed"), 1).otherwise(0) for k in range(len(STEPS))], F.lit(0))  # counts only grow
+    return per.select(stratum, steps.alias("steps"))
 
 
 def judged(df: DataFrame, marks: DataFrame, cols: list[str], key: str = "doc_id", stratum: str = "lang", text: str = "text") -> DataFrame:
@@ -126,11 +137,9 @@ def judged(df: DataFrame, marks: DataFrame, cols: list[str], key: str = "doc_id"
     measured = cut_lineage(features(src, "__text").drop("__text"))  # read twice: by the calibration and by the verdict
     quality = marks.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min("quality").alias("__quality")).filter("__quality = 1")
     good = measured.join(quality, "__key").drop(*[c for c in cols])
-    safe = cut_lineage(cutoffs(good, F.lit(True), "__stratum"))
+    safe = cut_lineage(proven_steps(good, "__stratum"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    bad = F.lit(False)
-    for r in RULES:
-        bad = bad | F.coalesce(fails(r, F.col(f"cut_{r}")), F.lit(False))
+    bad = F.coalesce(fail_step() < F.col("steps"), F.lit(False))
     out = measured.join(safe, "__stratum", "left")
     return out.select(*[F.col(f"`{c}`") for c in cols], *FEATURES, base.alias("base_failed"), (~base & ~bad).alias("kept"))
 
@@ -161,23 +170,23 @@ def measures_sql(table: str) -> str:
 
 def verdicts_sql() -> str:
     """CTEs after ``m``: the cutoffs and the verdict of each row, in ``v``."""
-    tests = sum(len(cs) for _, _, cs in RULES.values())
-    risk = RISK / len(RULES)
-    counts = ", ".join(f"count(*) FILTER (WHERE 1000 * {top} > {c} * {bottom}) AS {r}_{c}" for r, (top, bottom, cs) in RULES.items() for c in cs)
-    chosen = ", ".join(f"least({', '.join(f'CASE WHEN {r}_{c} <= allowed THEN {c} END' for c in cs)}) AS cut_{r}" for r, (_, _, cs) in RULES.items())
-    bad = " OR ".join(f"coalesce(1000 * {top} > cut_{r} * {bottom}, false)" for r, (top, bottom, _) in RULES.items())
+    step = "least(" + ", ".join(f"CASE WHEN 1000 * {RULES[r][0]} > {c} * {RULES[r][1]} THEN {k} END" for k, (r, c) in enumerate(STEPS)) + ")"
     return f"""
+  stepped AS (SELECT *, {step} AS step FROM m),
   good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-  per AS (SELECT coalesce(lang, '') AS stratum, count(*) AS n_good, {counts} FROM m JOIN good USING (doc_id) GROUP BY 1),
-  terms AS (SELECT stratum, n_good, unnest(generate_series(0, CAST(greatest(ceil(n_good * {risk}), 1) AS BIGINT))) AS i FROM per),
-  logs AS (SELECT stratum, i, n_good * ln(1 - {risk}) + sum(CASE WHEN i > 0 THEN ln((n_good - i + 1) * {risk / (1 - risk)!r} / i) ELSE 0 END)
+  held AS (SELECT coalesce(lang, '') AS stratum, step FROM stepped JOIN good USING (doc_id)),
+  per AS (SELECT stratum, count(*) AS n_good FROM held GROUP BY 1),
+  terms AS (SELECT stratum, n_good, unnest(generate_series(0, CAST(greatest(ceil(n_good * {RISK}), 1) AS BIGINT))) AS i FROM per),
+  logs AS (SELECT stratum, i, n_good * ln(1 - {RISK}) + sum(CASE WHEN i > 0 THEN ln((n_good - i + 1) * {RISK / (1 - RISK)!r} / i) ELSE 0 END)
              OVER (PARTITION BY stratum ORDER BY i) AS term FROM terms),
   tails AS (SELECT stratum, i, sum(exp(term)) OVER (PARTITION BY stratum ORDER BY i) AS p FROM logs),
-  safe AS (SELECT stratum, max(i) FILTER (WHERE p <= {ERROR} / ({tests} * (SELECT count(*) FROM per))) AS k FROM tails GROUP BY stratum),
-  cuts AS (SELECT stratum, {chosen} FROM (SELECT per.*, coalesce(k, -1) AS allowed FROM per JOIN safe USING (stratum))),
-  v AS (SELECT m.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-               NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND NOT ({bad}) AS kept
-        FROM m LEFT JOIN cuts ON coalesce(lang, '') = stratum)"""
+  safe AS (SELECT stratum, coalesce(max(i) FILTER (WHERE p <= {ERROR} / (SELECT count(*) FROM per)), -1) AS allowed FROM tails GROUP BY stratum),
+  path AS (SELECT unnest(generate_series(0, {len(STEPS) - 1})) AS k),
+  failed AS (SELECT stratum, k, count(*) FILTER (WHERE step <= k) AS n FROM held CROSS JOIN path GROUP BY ALL),
+  cuts AS (SELECT stratum, count(*) FILTER (WHERE n <= allowed) AS steps FROM failed JOIN safe USING (stratum) GROUP BY 1),
+  v AS (SELECT stepped.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(step < steps, false) AS kept
+        FROM stepped LEFT JOIN cuts ON coalesce(lang, '') = stratum)"""
 
 
 OP10_SQL = f"""
