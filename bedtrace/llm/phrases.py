@@ -28,6 +28,7 @@ from bedtrace.session import cut_lineage
 LEAST = 10  # occurrences of a candidate
 COVERED = 50  # a candidate inside a longer one with this per cent of its occurrences is dropped
 TOP = 2000
+BLOCK = 6 << 20  # bytes of text that are worked on together
 SALTS = 1024
 PART = 512  # edges of a path in one row
 ENDS = np.zeros(256, bool)
@@ -36,10 +37,29 @@ GAP = ENDS.copy()
 GAP[[0x20, 0x09]] = True
 
 
-def words(arr: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+def words(arr: pa.Array, block: int = BLOCK) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
     """Words of a batch of texts: code of each, the lower-cased words the codes stand for, text of each, and whether
-    the next word follows in the same piece."""
+    the next word follows in the same piece.
+
+    Given in blocks that end where a text or a piece ends, so memory follows the block (or the longest piece).
+    """
     data, offs = text_bytes(arr)
+    n, at = len(data), 0
+    while at < n:
+        end = min(n, at + block)
+        while end < n:
+            text = int(offs[np.searchsorted(offs, end, "right") - 1])
+            low = max(at, text)
+            stops = np.flatnonzero(ENDS[data[low:end]])
+            if len(stops) or text > at:
+                end = low + int(stops[-1]) + 1 if len(stops) else text
+                break
+            end = min(n, end + block)  # a piece longer than the block
+        yield _words(data[at:end], np.clip(offs - at, 0, end - at))
+        at = end
+
+
+def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     black = ~GAP[data]
     first, last = black.copy(), black.copy()
     first[1:] &= ~black[:-1]
@@ -88,8 +108,8 @@ def vocabulary(src: DataFrame, digest: Digest = hashes) -> tuple[DataFrame, int]
 
         def run(batches: Iterator[pa.RecordBatch], seed: int = seed) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                dic = words(b.column(1))[1]
-                yield pa.RecordBatch.from_arrays([pa.array(digest(dic, seed), pa.int64()), dic.cast(pa.binary()).cast(pa.string())], names=["h", "word"])
+                for _, dic, _, _ in words(b.column(1)):
+                    yield pa.RecordBatch.from_arrays([pa.array(digest(dic, seed), pa.int64()), dic.cast(pa.binary()).cast(pa.string())], names=["h", "word"])
 
         found = cut_lineage(src.mapInArrow(run, "h long, word string").distinct())
         if found.groupBy("h").count().filter("count > 1").isEmpty():
@@ -105,41 +125,45 @@ def longest_grams(src: DataFrame, seed: int, least: int = LEAST, digest: Digest
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            code, dic, text, follows = words(b.column(1))
-            fp, n = np.unique(_pairs(digest(dic, seed)[code], _langs(b.column(0))[2][text], follows) if len(code) > 1 else np.zeros(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(n, pa.int64())], names=["fp", "n"])
+            lang_h = _langs(b.column(0))[2]
+            for code, dic, text, follows in words(b.column(1)):
+                fp, n = np.unique(_pairs(digest(dic, seed)[code], lang_h[text], follows) if len(code) > 1 else np.zeros(0, np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(n, pa.int64())], names=["fp", "n"])
 
     bits = marked(src.mapInArrow(prints, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "fp")
 
+    def counted(block: tuple, lang: np.ndarray, lang_h: np.ndarray) -> list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+        """Language codes, words and counts of the grams of one, two and three words that start in a block."""
+        code, dic, text, follows = block
+        if not len(code):
+            return []
+        h, v, own = digest(dic, seed), len(dic), lang[text]
+        two = np.zeros(len(code) + 1, bool)
+        if len(code) > 1:
+            two[np.flatnonzero(follows[:-1])] = is_marked(bits, _pairs(h[code], lang_h[text], follows))
+        three = two[:-1] & two[1:]
+        two = two[:-1] & ~three
+        # equal grams of the block together: numbers of (language, word), then with the second, then with the third
+        key, back = np.unique(own * v + code, return_inverse=True)
+        c, n = np.unique(back[~two & ~three], return_counts=True)
+        out = [(key[c] // v, [h[key[c] % v]], n)]
+        at = np.flatnonzero(two | three)
+        pair, p_back = np.unique(back[at] * v + code[np.minimum(at + 1, len(code) - 1)], return_inverse=True)
+        p_lang, p_words = key[pair // v] // v, [h[key[pair // v] % v], h[pair % v]]
+        c, n = np.unique(p_back[two[at]], return_counts=True)
+        out.append((p_lang[c], [w[c] for w in p_words], n))
+        at3 = three[at]
+        c, n = np.unique(p_back[at3] * v + code[at[at3] + 2], return_counts=True)
+        out.append((p_lang[c // v], [w[c // v] for w in p_words] + [h[c % v]], n))
+        return out
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            code, dic, text, follows = words(b.column(1))
-            if not len(code):
-                continue
             lang, langs, lang_h = _langs(b.column(0))
-            h, v = digest(dic, seed), len(dic)
-            two = np.zeros(len(code) + 1, bool)
-            two[np.flatnonzero(follows[:-1])] = is_marked(bits, _pairs(h[code], lang_h[text], follows)) if len(code) > 1 else False
-            three = two[:-1] & two[1:]
-            two = two[:-1] & ~three
-            one = ~two & ~three
-            # equal grams of the batch together: numbers of (language, word), then with the second, then with the third
-            key, back = np.unique(lang[text] * v + code, return_inverse=True)
-            out = []
-            c, n = np.unique(back[one], return_counts=True)
-            out.append((key[c] // v, [key[c] % v], n))
-            at = np.flatnonzero(two | three)
-            pair, p_back = np.unique(back[at] * v + code[np.minimum(at + 1, len(code) - 1)], return_inverse=True)
-            p_first, p_second = key[pair // v] % v, pair % v
-            p_lang = key[pair // v] // v
-            c, n = np.unique(p_back[two[at]], return_counts=True)
-            out.append((p_lang[c], [p_first[c], p_second[c]], n))
-            at3 = three[at]
-            c, n = np.unique(p_back[at3] * v + code[at[at3] + 2], return_counts=True)
-            out.append((p_lang[c // v], [p_first[c // v], p_second[c // v], c % v], n))
-            for where, ws, n in out:
-                cols = [pa.array(h[w], pa.int64()) for w in ws] + [pa.nulls(len(n), pa.int64())] * (3 - len(ws))
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(where)), *cols, pa.array(n, pa.int64())], names=["lang", "w1", "w2", "w3", "n"])
+            for block in words(b.column(1)):
+                for where, ws, n in counted(block, lang, lang_h):
+                    cols = [pa.array(w, pa.int64()) for w in ws] + [pa.nulls(len(n), pa.int64())] * (3 - len(ws))
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(where)), *cols, pa.array(n, pa.int64())], names=["lang", "w1", "w2", "w3", "n"])
 
     return cut_lineage(src.mapInArrow(grams, "lang string, w1 long, w2 long, w3 long, n long").groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")))
 

@@ -96,9 +96,11 @@ def test_awkward_rows(spark, awkward, nothing):
     assert out.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and out.count() == 0
 
 
-def test_words_follow_only_inside_a_piece():
+@pytest.mark.parametrize("block", [1, 4, 1 << 20])
+def test_words_follow_only_inside_a_piece(block):
     import pyarrow as pa
 
-    code, dic, text, follows = phrases.words(pa.array(["A b,c", "d", "", " e\tf\x0bg", "x"], pa.string()))
-    got = [(dic[c].as_py(), t, f) for c, t, f in zip(code.tolist(), text.tolist(), follows.tolist())]
+    got = []
+    for code, dic, text, follows in phrases.words(pa.array(["A b,c", "d", "", " e\tf\x0bg", "x"], pa.string()), block):
+        got += [(dic[c].as_py(), t, f) for c, t, f in zip(code.tolist(), text.tolist(), follows.tolist())]
     assert got == [(b"a", 0, True), (b"b", 0, False), (b"c", 0, False), (b"d", 1, False), (b"e", 3, True), (b"f", 3, False), (b"g", 3, False), (b"x", 4, False)]
