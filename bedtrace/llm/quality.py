@@ -9,7 +9,7 @@ first that is not proven: with n good documents of which k fail by then, a step
 P(Binomial(n, risk) <= k) <= error / strata, an exact bound. Testing in a fixed order needs no division by the number of
 steps, and counting joint rejections none of the risk by the number of rules; only the strata share the error, so the
 statement holds for all of them at once. A stratum with too few labels gets no cutoff, so nothing is rejected there: the
-first step needs ln(error / strata) / ln(1 - risk) good labels, 86 for four strata at the default levels.
+first step needs ln(error / strata) / ln(1 - risk) good labels, 144 for four strata at the default levels.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from bedtrace.llm.common import documents, labels
 from bedtrace.session import cut_lineage
 
-RISK = 0.05  # share of good documents that may be rejected by the rules of a stratum
+RISK = 0.03  # share of good documents that may be rejected by the rules of a stratum
 ERROR = 0.05  # probability that this fails anywhere
 MIN_WORDS = 50
 
