@@ -1,18 +1,43 @@
 import random
+import re
 
 from bedtrace.llm import lines
 from tests.llm.conftest import AWKWARD
 
 
-def brute(rows):
-    """Rows (key, text) in any order -> (key, text without repeated chunks), by one dictionary of chunk bytes."""
-    order = sorted({(k is None, k or 0, t) for k, t in rows if t is not None})
-    first, marked = {}, {}
-    for no_key, k, t in order:
-        for at, _, _, part in lines.worded(t):
-            if first.setdefault(part, (no_key, k, t, at)) != (no_key, k, t, at):
-                marked.setdefault((no_key, k, t), set()).add(at)
-    return sorted([(k, None if t is None else lines.without(t, marked.get((k is None, k or 0, t), set()))[0]) for k, t in rows], key=str)
+def brute(rows, min_words=0, long_words=50):
+    """Rows (key, text) in any order -> (key, new text), from the definition: a line with words is covered when it and a
+    neighbour stood together before (smaller key, then place), or when it is long and stood before."""
+    words = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x))
+    seen_pairs, seen_long, new = set(), set(), {}
+    for no_key, k, t in sorted({(k is None, k or 0, t) for k, t in rows if t is not None}):
+        every = t.split("\n")
+        at = [i for i, x in enumerate(every) if words(x)]
+        covered = set()
+        for i, j in zip(at, at[1:]):
+            if (every[i], every[j]) in seen_pairs:
+                covered |= {i, j}
+            seen_pairs.add((every[i], every[j]))
+        for i in at:
+            if words(every[i]) >= long_words:
+                if every[i] in seen_long:
+                    covered.add(i)
+                seen_long.add(every[i])
+        out, i = [], 0
+        while i < len(every):
+            if i not in covered:
+                out.append(every[i])
+                i += 1
+                continue
+            run = []
+            while i < len(every) and (i in covered or not words(every[i])):
+                run.append(every[i])
+                i += 1
+            counts = [words(x) for x in run if words(x)]
+            if not (counts[0] >= long_words if len(counts) == 1 else sum(counts) >= min_words):
+                out += run
+        new[(no_key, k, t)] = "\n".join(out)
+    return sorted([(k, None if t is None else new[(k is None, k or 0, t)]) for k, t in rows], key=str)
 
 
 def passages():
@@ -55,30 +80,78 @@ def test_shared_passages_stay_once_and_other_lines_stay(spark):
 
 def test_borders_follow_the_lines_and_not_their_place():
     rng = random.Random(6)
-    passage = [f"line {rng.randrange(10**9)} of it" for _ in range(40)]
+    passage = [f"line {rng.randrange(10**9)} of it" for _ in range(60)]
     want = None
     for lead in range(5):
-        text = "\n".join([f"lead {lead} {i}" for i in range(lead)] + passage)
-        ends = {b - lead for _, b, *_ in lines.chunks(text) if b - lead > lines.WINDOW}
+        d = lines.Lines("\n".join([f"lead {lead} {i}" for i in range(lead)] + passage))
+        ends = {b - lead for _, b in d.chunks() if b - lead > lines.WINDOW}
         want = want or ends
         assert ends == want
+    many = lines.Lines("\n".join(f"x {rng.randrange(10**9)}" for _ in range(4000))).chunks()
+    assert 4 <= 4000 / len(many) <= 8 and max(b - a for a, b in many) <= lines.MAX_LINES
 
 
-def test_awkward_rows(spark, awkward, nothing):
-    out = lines.dedup_lines(awkward)
-    assert out.columns == [c for c in awkward.columns if c != "n_lines"] + ["n_lines", "lines_removed"]
-    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == brute([(r[0], r[1]) for r in AWKWARD])
-    assert lines.dedup_lines(nothing).count() == 0
+def long_passages(copies=5):
+    rng = random.Random(12)
+    line = lambda: " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.randint(3, 9)))
+    shared = [[line() for _ in range(rng.randint(18, 40))] for _ in range(8)]
+    rows, want, repeated = [], {}, 0
+    for p, passage in enumerate(shared):
+        for c in range(copies):
+            before, after = ([line() for _ in range(rng.randint(0, 12))] for _ in range(2))
+            rows.append((10 * p + c, "\n".join(before + passage + after)))
+            want[10 * p + c] = "\n".join(before + (passage if c == 0 else []) + after)
+            repeated += len(passage) * (c > 0)
+    return rows, want, repeated
 
 
-def test_runs_of_marked_chunks_must_say_enough():
+def test_chunks_and_their_growth_decide_long_passages(spark):
+    """Most repeated lines are found without the finer level, more than the chunks themselves hold; both levels find all."""
+    rows, want, repeated = long_passages()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == want
+    got = {r.doc_id: r.lines_removed for r in lines.dedup_lines(df, levels="chunks").collect()}
+    assert 0.8 * repeated < sum(got.values()) <= repeated
+    first, inside = set(), 0
+    for _, t in rows:
+        d = lines.Lines(t)
+        units = {d.key(a, b)[2]: b - a for a, b in d.units()}
+        inside += sum(n for u, n in units.items() if u in first)
+        first |= set(units)
+    assert inside < 0.9 * sum(got.values())
+
+
+def test_chunks_find_passages_of_lines_that_stand_elsewhere_first(spark):
+    """Every line stands in an earlier document, in another order: lines alone lead there, chunks to the passage."""
+    rows, _, repeated = long_passages(3)
+    rng = random.Random(3)
+    every = sorted({x for _, t in rows for x in t.split("\n")})
+    rng.shuffle(every)
+    rows = [(-1, "\n".join(every)), *rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted([(r.doc_id, r.text) for r in lines.dedup_lines(df).collect()], key=str) == brute(rows)
+    assert sum(r.lines_removed for r in lines.dedup_lines(df, levels="chunks").collect()) > 0.8 * repeated
+
+
+def test_what_a_run_must_say():
     long = " ".join(f"w{i}" for i in range(60))
-    text = f"short line\n{long}\nanother short line"
-    at = {a: n for a, _, n, _ in lines.chunks(text)}
-    assert at[1] == 60
-    assert lines.without(text, {0}) == (text, 0)
-    assert lines.without(text, {1}) == ("short line\nanother short line", 1)
-    assert lines.without(text, set(at)) == ("", 3)
+    text = f"short line\n{long}\nanother short line\n\nthird"
+    assert lines.without(text, [(0, 1)]) == (text, 0)
+    assert lines.without(text, [(1, 2)]) == ("short line\nanother short line\n\nthird", 1)
+    assert lines.without(text, [(2, 4)]) == (f"short line\n{long}", 3)
+    assert lines.without(text, [(2, 4)], min_words=5) == (text, 0)
+    assert lines.without(text, [(0, 2), (1, 4)]) == ("", 5)
+
+
+def test_parameters_for_short_runs_and_long_lines(spark):
+    nine = [" ".join(f"{c}{i}" for i in range(9)) for c in "ab"]
+    line = " ".join(f"z{i}" for i in range(49))
+    rows = [(k, f"own {k}\n{nine[0]}\n{nine[1]}\nmine {k}\n{line}\nend {k}") for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for args in ({}, {"min_words": 20}, {"long_words": 49}):
+        assert sorted([(r.doc_id, r.text) for r in lines.dedup_lines(df, **args).collect()], key=str) == brute(rows, **args)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(df, long_words=49).collect()}
+    assert got[0] == rows[0][1] and all(got[k] == f"own {k}\nmine {k}\nend {k}" for k in range(1, 10))
 
 
 def test_short_passages_go_as_a_whole_wherever_they_stand(spark):
