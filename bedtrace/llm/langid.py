@@ -25,6 +25,7 @@ SAMPLE_ROWS = 2000  # bound of the labelled sample that the model is fitted on
 SAMPLE_CHARS = 20_000  # longer texts are not used for the fit
 LEXICON_WORDS = 20_000
 BLOCK = 64
+PART = 4 << 20  # bytes of text that are worked on together
 EPOCHS = 3
 HAS_LETTER = np.zeros(256, bool)
 HAS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -236,27 +237,38 @@ def predict(df: DataFrame, model: Model, cols: list[str], text: str = "text") ->
     Repeated rows are predicted row by row; columns of ``cols`` named like an output give way to it.
     """
 
-    def run(arr: pa.Array) -> list:
-        data, offs = text_bytes(arr)
-        if not model.langs:
-            none = _no_ascii_letter(data, offs)
-            return [["und"] * len(arr), [float(n and not any(c.isalpha() for c in t.as_py())) for n, t in zip(none.tolist(), arr)]]
+    def text_sums(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the language probabilities over the words with letters of each text, and the number of these words."""
         starts, lens, hashes = words_of(data, offs)
         counts = doc_counts(starts, offs)
         used = lettered(data, starts, lens)
-        mean = np.zeros((len(arr), len(model.langs)))
-        has = np.zeros(len(arr), np.int64)
+        n = len(offs) - 1
+        mean, has = np.zeros((n, len(model.langs))), np.zeros(n, np.int64)
         ends = np.cumsum(counts)
         d = 0
-        while d < len(arr):  # texts together up to about a million words
-            to = max(d + 1, int(np.searchsorted(ends, (ends[d - 1] if d else 0) + 1_000_000, "right")))
+        while d < n:  # texts together up to about 300,000 words
+            to = max(d + 1, int(np.searchsorted(ends, (ends[d - 1] if d else 0) + 300_000, "right")))
             w = slice(int(ends[d - 1]) if d else 0, int(ends[to - 1]))
             post = marginals(model.potentials(data, starts[w], lens[w], hashes[w]), counts[d:to], model.trans)
             doc = np.repeat(np.arange(d, to), counts[d:to])
             for c in range(len(model.langs)):
-                mean[:, c] += np.bincount(doc[used[w]], post[used[w], c], len(arr))
-            has += np.bincount(doc[used[w]], minlength=len(arr))
+                mean[:, c] += np.bincount(doc[used[w]], post[used[w], c], n)
+            has += np.bincount(doc[used[w]], minlength=n)
             d = to
+        return mean, has
+
+    def run(arr: pa.Array) -> list:
+        data, offs = text_bytes(arr)
+        if not model.langs:
+            none = _no_ascii_letter(data, offs)
+            return [["und"] * len(arr), [float(n and not any(c.isalpha() for c in t.as_py())) for n, t in zip(none.tolist(), arr)]]
+        mean = np.zeros((len(arr), len(model.langs)))
+        has = np.zeros(len(arr), np.int64)
+        first = 0
+        while first < len(arr):  # some texts of the batch at a time: memory follows PART (or the longest text)
+            last = max(first + 1, int(np.searchsorted(offs, offs[first] + PART, "right")) - 1)
+            mean[first:last], has[first:last] = text_sums(data[offs[first] : offs[last]], offs[first : last + 1] - offs[first])
+            first = last
         best = mean.argmax(1)
         score = np.clip(mean[np.arange(len(arr)), best] / np.maximum(has, 1), 0, 1)
         langs = [model.langs[b] for b in best]
