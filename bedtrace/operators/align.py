@@ -1,4 +1,4 @@
-"""Aligning a log to its curve: window matching, cost volumes, segment decoding, shift scans, shared curves."""
+"""Aligning a log to its curve: window matching, shift scans, shared curves. Decoders are in ``decode``."""
 
 from __future__ import annotations
 
@@ -91,87 +91,6 @@ def match_ensemble(matches: Sequence[DataFrame], group: str, pos: str = "row_idx
     return allm.groupBy(group, pos).agg((F.sum(w * F.col("match_value")) / (F.sum(w) + 1e-9)).alias("match_ensemble"), F.max("match_score").alias("best_score"))
 
 
-def cost_volume(rows: DataFrame, states: DataFrame, grid: DataFrame, group: str, slopes: Sequence[float], state_key: Sequence[str]) -> DataFrame:
-    """Log likelihood of each (state, slope) over the rows of a segment.
-
-    ``rows``: group, md, z, signal, gamma, md_prev; ``states``: group, state key, u; ``grid``: group, step, ref, with
-    grid_min / grid_step / grid_last repeated. The curve value is that of the grid cell below (ends held), which makes the
-    lookup an equi-join. Adds ``slope`` and ``ll`` = sum of -log(1 + ((signal - ref) / gamma)^2). Rows without a signal have
-    no vote; a segment without any scores 0.
-    """
-    cand = states.withColumn("slope", F.explode(F.array(*[F.lit(float(r)) for r in slopes])))
-    d = cand.join(rows, group)
-    tvt = F.col("u") + F.col("slope") * (F.col("md") - F.col("md_prev")) - F.col("z")
-    cell = clip(F.floor((tvt - F.col("grid_min")) / F.col("grid_step")).cast("double"), F.lit(0.0), F.col("grid_last").cast("double")).cast("long")
-    d = d.withColumn("step", cell).join(grid.select(group, "step", "ref"), [group, "step"])
-    r = (F.col("signal") - F.col("ref")) / F.col("gamma")
-    return d.groupBy(group, *state_key, "slope").agg(F.coalesce(F.sum(-F.log1p(r * r)), F.lit(0.0)).alias("ll"))
-
-
-def segment_decode(
-    rows: DataFrame, curve: DataFrame, starts: DataFrame, group: str, cx: str, cy: str, seg_len: float = 200.0,
-    slopes: Sequence[float] = (), keep: int = 96, sigma: float = 0.012, jump: float = 25.0, change: float = 0.0,
-    pull: float = 0.0, evidence: float = 0.1, temperature: float = 8.0, top: int = 32, grid_step: float = 0.5, pos: str = "row_idx",
-) -> DataFrame:
-    """Decode the position of every withheld row as a chain of straight pieces of ``seg_len``.
-
-    ``rows``: group, pos, md, z, signal (null where nothing was measured). ``starts``: group, u0 (anchor surface), s0 (anchor slope), gamma. One
-    round per segment ordinal handles all groups at once: extend every kept state by every slope, score it, keep the best
-    state per (half-unit position, slope) and the best ``keep`` of each group. ``keep`` is the beam width of the method.
-    Returns ``(group, pos, decoded, decoded_best)``.
-    """
-    d = with_group_stats(rows, [group], {"_m0": F.min("md")})
-    d = d.withColumn("seg", F.floor((F.col("md") - F.col("_m0")) / seg_len).cast("int"))
-    # Pieces are numbered without gaps, so an empty stretch does not end a group early.
-    segs = d.groupBy(group, "seg").agg(F.max("md").alias("md_last"))
-    w = Window.partitionBy(group).orderBy("seg")  # one row per segment
-    second = d.groupBy(group).agg(F.min("_m0").alias("_h0"), F.min(F.when(F.col("md") > F.col("_m0"), F.col("md"))).alias("_h1"))
-    segs = segs.withColumn("ord", F.row_number().over(w) - 1).withColumn("md_prev", F.lag("md_last").over(w)).join(second, group)
-    # The first piece starts one step before its first row.
-    segs = segs.withColumn("md_prev", F.coalesce("md_prev", 2 * F.col("_h0") - F.col("_h1"), F.col("_h0")))
-    segs = cut_lineage(segs.select(group, "seg", "ord", "md_prev", "md_last"))
-    d = cut_lineage(d.drop("_m0").join(segs, [group, "seg"]))
-    grid = regrid(curve, [group], cx, cy, grid_step).withColumnRenamed("grid_y", "ref")
-    frame = grid.groupBy(group).agg(F.min("grid_x").alias("grid_min"), F.max("step").alias("grid_last"))
-    grid = cut_lineage(grid.select(group, "step", "ref"))
-    known = cut_lineage(starts.join(frame, group).withColumn("grid_step", F.lit(float(grid_step))))
-    rounds = segs.agg(F.max("ord")).first()[0]
-    empty = F.array().cast("array<double>")
-    states = known.select(group, F.col("u0").alias("u"), F.col("s0").alias("s"), F.lit(0.0).alias("score"), empty.alias("path"), F.lit(0).alias("sid"))
-    fixed = known.select(group, "s0", "gamma", "grid_min", "grid_last", "grid_step")
-    for k in range((rounds if rounds is not None else -1) + 1):
-        part = d.where(F.col("ord") == k).join(fixed.drop("s0"), group)
-        here = segs.where(F.col("ord") == k).select(group, "md_prev", "md_last")
-        ll = cost_volume(part, states.select(group, "sid", "u"), grid, group, slopes, ["sid"])
-        n = states.join(ll, [group, "sid"]).join(here, group).join(fixed.select(group, "s0"), group)
-        move = F.pow((F.col("slope") - F.col("s")) / sigma, 2)
-        penalty = F.when(F.col("slope") == F.col("s"), 0.0).otherwise(F.least(move, F.lit(jump)) + change)
-        penalty = penalty + pull * F.pow(F.col("slope") - F.col("s0"), 2)
-        n = n.select(
-            group, (F.col("u") + F.col("slope") * (F.col("md_last") - F.col("md_prev"))).alias("u"), F.col("slope").alias("s"),
-            (F.col("score") + evidence * F.col("ll") - penalty).alias("score"), F.concat("path", F.array("slope")).alias("path"))
-        n = n.groupBy(group, F.round(F.col("u") * 2).alias("_key"), "s").agg(
-            F.max_by(F.struct("u", "score", "path"), F.struct("score", "path")).alias("b")).select(group, "s", "b.*")
-        rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col("score").desc(), "path"))
-        n = n.withColumn("sid", rank).where(F.col("sid") <= keep)
-        done = states.join(here, group, "left_anti")
-        states = cut_lineage(n.select(group, "u", "s", "score", "path", "sid").unionByName(done))
-    order = Window.partitionBy(group).orderBy(F.col("score").desc(), "path")
-    best = states.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)
-    best = with_group_stats(best, [group], {"_top": F.max("score")}).withColumn("_w", F.exp((F.col("score") - F.col("_top")) / temperature))
-    # Position of every kept chain at the start of each of its pieces, then on every row.
-    pieces = best.select(group, "_r", "_w", F.posexplode("path").alias("ord", "slope")).join(segs.drop("seg"), [group, "ord"])
-    before = Window.partitionBy(group, "_r").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    rise = F.col("slope") * (F.col("md_last") - F.col("md_prev"))
-    pieces = pieces.withColumn("_du", F.coalesce(F.sum(rise).over(before), F.lit(0.0))).join(known.select(group, "u0"), group)
-    lines = pieces.select(group, "ord", "_r", "_w", "slope", "md_prev", (F.col("u0") + F.col("_du")).alias("_u"))
-    on = d.select(group, pos, "ord", "md", "z").join(lines, [group, "ord"])
-    u = F.col("_u") + F.col("slope") * (F.col("md") - F.col("md_prev"))
-    return on.groupBy(group, pos).agg(
-        (F.sum(F.col("_w") * u) / F.sum("_w") - F.max("z")).alias("decoded"),
-        (F.max(F.when(F.col("_r") == 1, u)) - F.max("z")).alias("decoded_best"))
-
-
 def shift_scan(profile: DataFrame, group: Sequence[str]) -> DataFrame:
     """Mean squared mismatch per group and offset, with a flag on local minima (few offsets per group)."""
     j = profile.where(F.col("mismatch").isNotNull()).groupBy(*group, "offset").agg(F.avg(F.col("mismatch") * F.col("mismatch")).alias("cost"))
@@ -220,67 +139,3 @@ def draw_scores(per_group: DataFrame, group: str, draws: int, size: int, seed: i
     d = d.withColumn("_h", h).withColumn("_r", F.row_number().over(Window.partitionBy("draw").orderBy("_h", group))).where(F.col("_r") <= size)
     r, n = F.col("rmse"), F.col("n")
     return d.groupBy("draw").agg(F.count(F.lit(1)).alias("groups"), F.sqrt(F.sum(r * r * n) / F.sum(n)).alias("rmse"))
-
-
-def lattice_decode(
-    rows: DataFrame, curve: DataFrame, starts: DataFrame, group: str, cx: str, cy: str, lengths: Sequence[int],
-    slopes: Sequence[float], step_len: float, mu: float, sigma_len: float, keep: int = 96, sigma: float = 0.012,
-    jump: float = 25.0, length_weight: float = 1.0, evidence: float = 0.1, temperature: float = 0.02, top: int = 32, grid_step: float = 0.5,
-) -> DataFrame:
-    """Decode with pieces of free length: like ``segment_decode``, but a piece may span any of ``lengths`` lattice steps
-    and its length is scored by a log-normal prior (``mu``, ``sigma_len`` of the log length). ``evidence`` weighs the
-    likelihood against the priors.
-
-    ``rows`` is the log on an even lattice: group, step (0 at the anchor), z, signal. Chains wait at the lattice point
-    where their last piece ended; one round per lattice point extends those of all groups that wait there. ``keep`` is the
-    beam width per group, start point and length. Returns ``(group, step, surface)``.
-    """
-    base = int(np.gcd.reduce(np.asarray(lengths)))
-    longest = max(lengths)
-    ends = rows.groupBy(group).agg(F.max("step").cast("int").alias("n1"))
-    grid = regrid(curve, [group], cx, cy, grid_step).withColumnRenamed("grid_y", "ref")
-    frame = grid.groupBy(group).agg(F.min("grid_x").alias("grid_min"), F.max("step").alias("grid_last"))
-    # each cell holds the curve at both of its ends, so the value between them needs one join
-    grid = framed(grid, [group], 0, 1, lambda w: {"_next": F.lead("ref").over(w)}, "step")
-    grid = cut_lineage(grid.select(group, F.col("step").alias("cell"), "ref", F.coalesce("_next", "ref").alias("ref1")))
-    lattice = cut_lineage(rows.select(group, F.col("step").cast("int").alias("step"), "z", "signal"))
-    known = cut_lineage(starts.select(group, "u0", "s0", "gamma").join(frame, group).join(ends, group).where(F.col("n1") > 0))
-    fixed = known.select(group, "gamma", "grid_min", "grid_last", "n1")
-    no_path = F.array().cast("array<struct<p0:int,p1:int,u:double,slope:double>>")
-    states = known.select(group, F.lit(0).alias("p"), F.col("u0").alias("u"), F.col("s0").alias("s"), F.lit(0.0).alias("score"), no_path.alias("path"))
-    last = known.agg(F.max("n1")).first()[0] or 0
-    log_len = {n: -0.5 * ((float(np.log(n * step_len)) - mu) / sigma_len) ** 2 - float(np.log(n * step_len)) for n in lengths}
-    for p in range(0, last, base):
-        order = Window.partitionBy(group).orderBy(F.col("score").desc(), "u", "s")
-        here = states.where(F.col("p") == p).join(fixed, group).where(F.col("n1") > p)
-        here = here.withColumn("sid", F.row_number().over(order)).where(F.col("sid") <= keep)
-        cand = here.select(group, "sid", "u", "gamma", "grid_min", "grid_last", F.explode(F.array(*[F.lit(float(r)) for r in slopes])).alias("slope"))
-        d = cand.join(lattice.where((F.col("step") > p) & (F.col("step") <= p + longest)), group)
-        tvt = F.col("u") + F.col("slope") * step_len * (F.col("step") - p) - F.col("z")
-        at = clip((tvt - F.col("grid_min")) / grid_step, F.lit(0.0), F.col("grid_last").cast("double"))  # ends held
-        d = d.withColumn("_at", at).withColumn("cell", F.floor("_at").cast("long")).join(grid, [group, "cell"])
-        ref = F.col("ref") + (F.col("_at") - F.col("cell")) * (F.col("ref1") - F.col("ref"))
-        ll = -F.log1p(F.pow((F.col("signal") - ref) / F.col("gamma"), 2))
-        sums = d.groupBy(group, "sid", "slope").agg(*[F.coalesce(F.sum(F.when(F.col("step") <= p + n, ll)), F.lit(0.0)).alias(f"l{n}") for n in lengths])
-        options = F.explode(F.array(*[F.struct(F.lit(n).alias("len"), F.col(f"l{n}").alias("ll"), F.lit(log_len[n]).alias("lp")) for n in lengths]))
-        new = sums.select(group, "sid", "slope", options.alias("o")).join(here.drop("p", "gamma", "grid_min", "grid_last"), [group, "sid"])
-        p1 = F.least(F.lit(p) + F.col("o.len"), F.col("n1")).cast("int")
-        move = F.greatest(-0.5 * F.pow((F.col("slope") - F.col("s")) / sigma, 2), F.lit(-jump))
-        new = new.select(
-            group, p1.alias("p"), (F.col("u") + F.col("slope") * step_len * (p1 - p)).alias("u1"), F.col("slope").alias("s1"),
-            (F.col("score") + evidence * F.col("o.ll") + length_weight * F.col("o.lp") + move).alias("score1"), F.col("o.len").alias("len"),
-            F.concat("path", F.array(F.struct(F.lit(p).alias("p0"), p1.alias("p1"), F.col("u"), F.col("slope")))).alias("path1"))
-        rank = F.row_number().over(Window.partitionBy(group, "len").orderBy(F.col("score1").desc(), "u1", "s1"))
-        new = new.withColumn("_r", rank).where(F.col("_r") <= keep).select(
-            group, "p", F.col("u1").alias("u"), F.col("s1").alias("s"), F.col("score1").alias("score"), F.col("path1").alias("path"))
-        # Chains at this point have moved on; those of finished groups stay at their end.
-        rest = states.join(fixed.select(group, "n1"), group).where((F.col("p") != p) | (F.col("n1") <= p)).drop("n1")
-        states = cut_lineage(rest.unionByName(new))
-    done = states.join(fixed.select(group, "n1"), group).where(F.col("p") == F.col("n1"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.col("score").desc(), "u", "s"))
-    best = with_group_stats(done.withColumn("_r", rank).where(F.col("_r") <= top), [group], {"_top": F.max("score")})
-    best = best.withColumn("_w", F.exp((F.col("score") - F.col("_top")) / (F.col("n1") + 1) / temperature))
-    pieces = best.select(group, "_w", F.explode("path").alias("c")).select(group, "_w", "c.*")
-    on = pieces.withColumn("step", F.explode(F.sequence(F.col("p0") + 1, F.col("p1"))))
-    u = F.col("u") + F.col("slope") * step_len * (F.col("step") - F.col("p0"))
-    return on.groupBy(group, "step").agg((F.sum(F.col("_w") * u) / F.sum("_w")).alias("surface"))

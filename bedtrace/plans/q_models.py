@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from bedtrace.functions.columns import row_id, split_row_id
 from bedtrace.operators import align as L
+from bedtrace.operators import calibrate as A
+from bedtrace.operators import decode as Dc
 from bedtrace.operators import metrics as M
 from bedtrace.operators import models as D
 from bedtrace.operators import samples as P
 from bedtrace.operators import sequence as S
 from bedtrace.operators.cells import framed, index_rows, with_group_stats
-from bedtrace.operators.interp import offset_profile
+from bedtrace.operators.interp import interp_join, offset_profile, regrid
 from bedtrace.operators.quantiles import grouped_quantiles
 from bedtrace.operators.spatial import idw, knn_join
 from bedtrace.plans.bindings import BANK_SQL, EVENTS_SQL, PARTS_SQL, bank, event_log, events, part_log, table
@@ -391,49 +393,115 @@ pp AS (SELECT *, g0 + 24.0 * c AS gx FROM rw), rf AS (SELECT *, CASE WHEN ax IS
 SELECT user_id, {sql_rounded('slope')} AS slope, {sql_rounded('coalesce(sum(-ln(1 + pow((seen - ref) / 20, 2))), 0)')} AS ll FROM rf GROUP BY user_id, slope""")
 def cost_volume(spark: SparkSession, sf: str) -> DataFrame:
     """One segment per group: the whole withheld part, five slopes, curve on a 24 hour grid."""
-    from bedtrace.operators.interp import regrid
-
     rows, curve, starts = decode_inputs(spark, sf)
     grid = regrid(curve, U, "cx", "cy", 24.0)
     frame = grid.groupBy(*U).agg(F.min("grid_x").alias("grid_min"), F.max("step").alias("grid_last"))
     m = S.anchor(event_log(spark, sf), U, "known", ["x"]).select("user_id", F.col("last_x").alias("md_prev"))
     part = rows.join(m, U).join(starts.select("user_id", "gamma"), U).join(frame, U).withColumn("grid_step", F.lit(24.0))
-    ll = L.cost_volume(part, starts.select("user_id", F.lit(0).alias("sid"), F.col("u0").alias("u")), grid.withColumnRenamed("grid_y", "ref"), "user_id", SLOPES, ["sid"])
+    ll = Dc.cost_volume(part, starts.select("user_id", F.lit(0).alias("sid"), F.col("u0").alias("u")), grid.withColumnRenamed("grid_y", "ref"), "user_id", SLOPES, ["sid"])
     return shown(ll, ["user_id"], ["slope", "ll"])
 
 
-@query("d8_segment_decode", None)
+WELL = ["well"]
+RATES = [round(-0.06 + 0.002 * k, 3) for k in range(61)]
+SEG_LEN, CELL = 100.0, 5.0
+
+
+def supplier_decode(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, curve and starts of the supplier log: the first line of each order is the curve, the others are the signal.
+    Start slope and noise scale come from the known prefix."""
+    log = cut_lineage(part_log(spark, sf).withColumn("z", -0.98 * F.col("x")))
+    curve = log.where("l_linenumber = 1").select("well", F.col("x").alias("cx"), F.col("qty").alias("cy"))
+    log = log.withColumn("seen", F.when(F.col("l_linenumber") != 1, F.col("qty")))
+    known = cut_lineage(log.where("known").withColumn("surface", F.col("x") + F.col("z")))
+    gamma = A.noise_scale(interp_join(known, curve, WELL, "x", "cx", "cy", "ref"), WELL, "seen", "ref").select("well", F.col("median_scale").alias("gamma"))
+    slope = A.exit_slope(known, WELL, "surface", "x").select("well", F.greatest(F.lit(-0.06), F.least(F.lit(0.06), "exit_slope")).alias("s0"))
+    starts = known.groupBy("well").agg(F.max_by("surface", "row_idx").alias("u0")).join(slope, WELL).join(gamma, WELL).where("gamma is not null")
+    rows = log.where(~F.col("known")).select("well", "row_idx", F.col("x").alias("md"), "z", F.col("seen").alias("signal"))
+    return cut_lineage(rows), curve, cut_lineage(starts)
+
+
+DECODE_SQL = f"""{PARTS_SQL}, dl AS (SELECT *, -0.98 * x AS z, CASE WHEN l_linenumber <> 1 THEN qty END AS seen FROM plog),
+kn AS (SELECT well, x AS kx, avg(qty) AS ky FROM dl WHERE l_linenumber = 1 GROUP BY well, x),
+br AS (SELECT p.*, a.kx AS ax, a.ky AS ay, b.kx AS bx, b.ky AS byy FROM (SELECT * FROM dl WHERE known) p ASOF LEFT JOIN kn a ON p.well = a.well AND p.x >= a.kx ASOF LEFT JOIN kn b ON p.well = b.well AND p.x < b.kx),
+rs AS (SELECT well, abs(seen - CASE WHEN ax IS NOT NULL AND bx IS NOT NULL THEN ay + (byy - ay) * (x - ax) / (bx - ax) ELSE coalesce(ay, byy) END) AS e FROM br),
+gam AS (SELECT well, least(greatest(quantile_cont(e, 0.5), 5), 40) AS gamma FROM rs WHERE e IS NOT NULL GROUP BY well),
+tl AS (SELECT * FROM (SELECT well, x, x + z AS sf, row_idx, max(row_idx) OVER (PARTITION BY well) AS e FROM dl WHERE known) WHERE row_idx > e - 30),
+rt AS (SELECT well, CASE WHEN dx > 0 THEN ds / dx END AS r FROM (SELECT well, x - lag(x) OVER w AS dx, sf - lag(sf) OVER w AS ds FROM tl WINDOW w AS (PARTITION BY well ORDER BY row_idx))),
+ex AS (SELECT well, least(greatest(CASE WHEN count(r) >= 3 THEN quantile_cont(r, 0.5) ELSE 0 END, -0.06), 0.06) AS s0 FROM rt GROUP BY well),
+an AS (SELECT well, arg_max(x + z, row_idx) AS u0 FROM dl WHERE known GROUP BY well),
+gb AS (SELECT well, min(kx) AS g0, max(kx) AS g1 FROM kn GROUP BY well),
+fx AS MATERIALIZED (SELECT an.well, u0, s0, gamma, g0, floor((g1 - g0) / {CELL} + 1e-9) AS gl FROM an JOIN ex USING (well) JOIN gam USING (well) JOIN gb USING (well)),
+gp AS (SELECT well, k AS step, g0 + k * {CELL} AS gx FROM (SELECT well, g0, unnest(generate_series(0, CAST(gl AS BIGINT))) AS k FROM fx)),
+gd AS MATERIALIZED (SELECT p.well, p.step, CASE WHEN a.kx IS NOT NULL AND b.kx IS NOT NULL THEN a.ky + (b.ky - a.ky) * (gx - a.kx) / (b.kx - a.kx) ELSE coalesce(a.ky, b.ky) END AS ref
+  FROM gp p ASOF LEFT JOIN kn a ON p.well = a.well AND p.gx >= a.kx ASOF LEFT JOIN kn b ON p.well = b.well AND p.gx < b.kx),
+wr AS (SELECT well, row_idx, x, z, seen, floor((x - min(x) OVER (PARTITION BY well)) / {SEG_LEN}) AS seg FROM dl WHERE NOT known AND well IN (SELECT well FROM fx)),
+h AS (SELECT well, m0, min(x) FILTER (WHERE x > m0) AS m1 FROM (SELECT well, x, min(x) OVER (PARTITION BY well) AS m0 FROM wr) GROUP BY ALL),
+sg AS MATERIALIZED (SELECT s.well, seg, md_last, CAST(row_number() OVER w - 1 AS INTEGER) AS ord, coalesce(lag(md_last) OVER w, 2 * m0 - m1, m0) AS md_prev
+  FROM (SELECT well, seg, max(x) AS md_last FROM wr GROUP BY ALL) s JOIN h USING (well) WINDOW w AS (PARTITION BY s.well ORDER BY seg)),
+rw AS MATERIALIZED (SELECT wr.*, ord, md_prev FROM wr JOIN sg USING (well, seg)), rates AS MATERIALIZED (SELECT unnest({RATES}::DOUBLE[]) AS r)"""
+
+
+def beam_sql(name: str, evidence: float, keep: int = 96) -> str:
+    """A recursive CTE of the kept states of every round, with their paths."""
+    return f"""{name} AS (
+SELECT well, -1 AS ord, CAST(1 AS BIGINT) AS sid, u0 AS u, s0 AS s, CAST(0 AS DOUBLE) AS score, CAST([] AS DOUBLE[]) AS us, CAST([] AS DOUBLE[]) AS rs FROM fx
+UNION ALL
+SELECT k.well, k.ord, k.sid, k.u1, k.r, k.score1, list_append(t.us, t.u), list_append(t.rs, k.r) FROM (SELECT *, row_number() OVER (PARTITION BY well ORDER BY score1 DESC, u1, r, parent) AS sid FROM (SELECT * FROM (
+  SELECT well, ord, u1, r, parent, floor((score + {evidence} * ll - CASE WHEN r = s THEN 0 ELSE least(pow((r - s) / 0.012, 2), 25) END) * 1e7 + 0.5) / 1e7 AS score1 FROM (
+    SELECT x.well, ord, parent, r, u1, s, score, coalesce(sum(-ln(1 + pow((seen - ref) / gamma, 2))), 0) AS ll
+    FROM (SELECT t.well, sg.ord, t.sid AS parent, r, t.s, t.score, t.u + r * (md_last - sg.md_prev) AS u1, seen, gamma, CAST(least(greatest(floor((t.u + r * (rw.x - sg.md_prev) - rw.z - g0) / {CELL}), 0), gl) AS BIGINT) AS cell
+      FROM {name} t JOIN sg ON t.well = sg.well AND sg.ord = t.ord + 1 JOIN fx ON fx.well = t.well JOIN rw ON rw.well = sg.well AND rw.ord = sg.ord CROSS JOIN rates
+      LIMIT 1000000000000) x JOIN gd ON gd.well = x.well AND gd.step = cell
+    GROUP BY ALL))
+  QUALIFY row_number() OVER (PARTITION BY well, floor(u1 * 2 + 0.5), r ORDER BY score1 DESC, u1, parent) = 1)) k JOIN {name} t ON t.well = k.well AND t.sid = k.parent WHERE k.sid <= {keep}),
+{name}_top AS (SELECT *, max(score) OVER (PARTITION BY well) AS best FROM (SELECT *, max(ord) OVER (PARTITION BY well) AS e FROM {name}) WHERE ord = e AND ord >= 0 AND sid <= 32)"""
+
+
+def paths_sql(name: str, temperature: float) -> str:
+    """Position of every row by the mean of the best chains and by the best one."""
+    return f"""(SELECT rw.well, rw.row_idx, sum(exp((score - best) / {temperature}) * (us[rw.ord + 1] + rs[rw.ord + 1] * (rw.x - rw.md_prev))) / sum(exp((score - best) / {temperature})) - any_value(rw.z) AS decoded,
+  max(CASE WHEN sid = 1 THEN us[rw.ord + 1] + rs[rw.ord + 1] * (rw.x - rw.md_prev) END) - any_value(rw.z) AS decoded_best FROM rw JOIN {name}_top USING (well) GROUP BY rw.well, rw.row_idx)"""
+
+
+@query("d8_segment_decode", f"""WITH RECURSIVE {DECODE_SQL}, {beam_sql('b1', 0.1)}
+SELECT well, row_idx, {sql_rounded('decoded', 4)} AS decoded, {sql_rounded('decoded_best', 4)} AS decoded_best FROM {paths_sql('b1', 8.0)}""")
 def segment_decode(spark: SparkSession, sf: str) -> DataFrame:
-    rows, curve, starts = decode_inputs(spark, sf)
-    d = L.segment_decode(rows, curve, starts, "user_id", "cx", "cy", 100.0, SLOPES, keep=96, grid_step=6.0, top=32)
-    return shown(d, K, ["decoded", "decoded_best"], 4)
+    """The withheld part of every supplier: 61 slopes, beam of 96, mean of the best 32."""
+    rows, curve, starts = supplier_decode(spark, sf)
+    d = Dc.segment_search(rows, curve, starts, "well", "cx", "cy", Dc.Beam(tuple(RATES)), SEG_LEN, CELL).decoded()
+    return shown(d, [*WELL, "row_idx"], ["decoded", "decoded_best"], 4)
 
 
 @query("d9_lattice_decode", None)
 def lattice_decode(spark: SparkSession, sf: str) -> DataFrame:
-    """Pieces of 4, 8 or 12 lattice steps of 12 hours with a log-normal length prior."""
-    from bedtrace.operators.interp import regrid
-
-    rows, curve, starts = decode_inputs(spark, sf)
-    starts = cut_lineage(starts.join(S.anchor(event_log(spark, sf), U, "known", ["x"]), U))
-    rel = rows.join(starts.select("user_id", "last_x"), U).withColumn("rel", F.col("md") - F.col("last_x"))
-    lattice = regrid(rel, U, "rel", "signal", 12.0, start=0.0).join(starts.select("user_id", "last_x"), U)
-    lattice = lattice.select("user_id", "step", (-0.5 * (F.col("last_x") + F.col("grid_x"))).alias("z"), F.col("grid_y").alias("signal"))
-    d = L.lattice_decode(lattice, curve, starts, "user_id", "cx", "cy", [4, 8, 12], SLOPES, 12.0, 4.5, 0.5, keep=96, top=32, grid_step=6.0)
-    return shown(d, ["user_id", "step"], ["surface"], 4)
-
-
-@query("d10_decode_variants", None)
+    """Six lengths from 100 to 760 days on a lattice of 10 days with a log-normal prior, 41 slopes."""
+    rows, curve, starts = supplier_decode(spark, sf)
+    ends = part_log(spark, sf).where("known").groupBy("well").agg(F.max_by("x", "row_idx").alias("last_x"))
+    starts = cut_lineage(starts.join(ends, WELL))
+    rel = rows.join(starts.select("well", "last_x"), WELL).withColumn("rel", F.col("md") - F.col("last_x"))
+    lattice = regrid(rel, WELL, "rel", "signal", 10.0, start=0.0).join(starts.select("well", "last_x"), WELL)
+    lattice = lattice.select("well", "step", (-0.98 * (F.col("last_x") + F.col("grid_x"))).alias("z"), F.col("grid_y").alias("signal"))
+    slopes = [round(-0.10 + 0.005 * k, 3) for k in range(41)]
+    d = Dc.lattice_decode(lattice, curve, starts, "well", "cx", "cy", [10, 16, 24, 36, 52, 76], slopes, 10.0, 5.6, 0.6, keep=96, top=32, grid_step=CELL)
+    return shown(d, [*WELL, "step"], ["surface"], 4)
+
+
+@query("d10_decode_variants", f"""WITH RECURSIVE {DECODE_SQL}, {beam_sql('b1', 0.1)}, {beam_sql('b2', 0.05)}, {beam_sql('b3', 0.2)}
+SELECT well, row_idx, form, {sql_rounded('decoded', 4)} AS decoded FROM (
+SELECT well, row_idx, 'sharp' AS form, decoded FROM {paths_sql('b1', 2.0)} UNION ALL SELECT well, row_idx, 'soft', decoded FROM {paths_sql('b1', 32.0)}
+UNION ALL SELECT well, row_idx, 'stiff', decoded FROM {paths_sql('b2', 8.0)} UNION ALL SELECT well, row_idx, 'loose', decoded FROM {paths_sql('b3', 8.0)})""")
 def decode_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """Two temperatures and two evidence weights of the decoder; differences to the plain form."""
-    rows, curve, starts = decode_inputs(spark, sf)
-    forms = {"sharp": {"temperature": 2.0}, "soft": {"temperature": 32.0}, "stiff": {"evidence": 0.05}, "loose": {"evidence": 0.20}}
+    """Two temperatures read off one search, and two other weights of the evidence: three searches for four forms."""
+    rows, curve, starts = supplier_decode(spark, sf)
+    search = lambda evidence: Dc.segment_search(rows, curve, starts, "well", "cx", "cy", Dc.Beam(tuple(RATES), evidence=evidence), SEG_LEN, CELL)
+    plain = search(0.1)
+    forms = {"sharp": plain.decoded(2.0), "soft": plain.decoded(32.0), "stiff": search(0.05).decoded(), "loose": search(0.2).decoded()}
     out = None
-    for name, extra in forms.items():
-        d = L.segment_decode(rows, curve, starts, "user_id", "cx", "cy", 100.0, SLOPES, keep=96, grid_step=6.0, top=32, **extra)
-        d = d.select(*K, F.lit(name).alias("form"), "decoded")
+    for name, d in forms.items():
+        d = d.select(*WELL, "row_idx", F.lit(name).alias("form"), "decoded")
         out = d if out is None else out.unionByName(d)
-    return shown(out, [*K, "form"], ["decoded"], 4)
+    return shown(out, [*WELL, "row_idx", "form"], ["decoded"], 4)
 
 
 @query("d39_shift_scan", f"""WITH {EVENTS_SQL}, {KNOTS}{GRID}, j AS (SELECT user_id, off, avg(mismatch * mismatch) AS cost FROM prof WHERE mismatch IS NOT NULL GROUP BY user_id, off),

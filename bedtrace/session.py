@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CELL_ROWS_CONF = "spark.bedtrace.cellRows"
 DEFAULT_CELL_ROWS = 1 << 20
-_WRITTEN: list[str] = []
+_WRITTEN: dict[str, StructType] = {}
 
 
 def cell_rows(spark: SparkSession) -> int:
@@ -28,17 +31,30 @@ def _shared_dir(spark: SparkSession) -> str:
     return shared
 
 
+def store(df: DataFrame, by: Sequence[str] = ()) -> str:
+    """Write ``df`` to the shared checkpoint folder, in a folder for each value of ``by``; the path of the table."""
+    path = f"{_shared_dir(df.sparkSession).rstrip('/')}/bedtrace/{uuid.uuid4().hex}"
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    _WRITTEN[path] = df.schema
+    return path
+
+
+def read_stored(spark: SparkSession, *paths: str) -> DataFrame:
+    """Stored tables of one schema, as one table."""
+    reader = spark.read.schema(_WRITTEN[paths[0]])
+    if len(paths) == 1:
+        return reader.parquet(paths[0])
+    # each table finds its own partition columns
+    return reduce(DataFrame.unionByName, [spark.read.schema(_WRITTEN[p]).parquet(p) for p in paths])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
     Later steps then neither repeat the work before nor depend on the executors that did it. A written table is used
     rather than ``checkpoint()``: it is computed once, read back by column, and its size is known to the planner.
     """
-    spark = df.sparkSession
-    path = f"{_shared_dir(spark).rstrip('/')}/bedtrace/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return read_stored(df.sparkSession, store(df))
 
 
 def release(spark: SparkSession) -> int:
@@ -48,7 +64,7 @@ def release(spark: SparkSession) -> int:
     """
     n = len(_WRITTEN)
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.popitem()[0])
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bedtrace.operators import align as L
 from bedtrace.operators import calibrate as A
+from bedtrace.operators import decode as Dc
 from bedtrace.operators import ensemble as E
 from bedtrace.operators import guard as G
 from bedtrace.operators import models as D
@@ -143,7 +144,7 @@ def test_decode_follows_the_planted_surface(spark, wells):
     starts = known.groupBy("well").agg(F.max_by(F.col("TVT_input") + F.col("Z"), "row_idx").alias("u0")).withColumns({"s0": F.lit(0.01), "gamma": F.lit(8.0)})
     rows = hw.where("TVT_input is null").select("well", "row_idx", F.col("MD").alias("md"), F.col("Z").alias("z"), F.col("gr").alias("signal"))
     slopes = [round(-0.03 + 0.01 * i, 3) for i in range(7)]
-    got = L.segment_decode(rows, cv, starts, "well", "TVT", "GR", 50.0, slopes, keep=16, evidence=1.0)
+    got = Dc.segment_decode(rows, cv, starts, "well", "TVT", "GR", 50.0, slopes, keep=16, evidence=1.0)
     d = got.join(hw.select("well", "row_idx", "TVT"), ["well", "row_idx"]).toPandas()
     assert len(d) == 400 and np.sqrt(((d.decoded_best - d.TVT) ** 2).mean()) < 0.5
 
@@ -157,7 +158,7 @@ def test_lattice_decode_follows_a_line(spark):
     curve = spark.createDataFrame(pd.DataFrame({"g": np.repeat(["a", "b"], len(t)), "x": np.tile(t, 2), "y": np.tile(gr, 2)}))
     starts = spark.createDataFrame([("a", 80.0, 0.0, 5.0), ("b", 80.0, 0.0, 5.0)], "g string, u0 double, s0 double, gamma double")
     slopes = [-0.2, -0.1, 0.0, 0.1, 0.2]
-    got = L.lattice_decode(spark.createDataFrame(rows), curve, starts, "g", "x", "y", [10, 20], slopes, 1.0, np.log(15), 1.0, keep=6, sigma=0.2, evidence=1.0, grid_step=0.1).toPandas()
+    got = Dc.lattice_decode(spark.createDataFrame(rows), curve, starts, "g", "x", "y", [10, 20], slopes, 1.0, np.log(15), 1.0, keep=6, sigma=0.2, evidence=1.0, grid_step=0.1).toPandas()
     assert len(got) == 40 + 33
     assert np.abs(got.surface - u[got.step]).max() < 0.3
 
