@@ -2,32 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bedtrace.functions.columns import clip
 from bedtrace.operators.cells import framed, with_group_stats
-from bedtrace.operators.interp import regrid
 from bedtrace.operators.sequence import rolling
 from bedtrace.session import cut_lineage
 
 BLOCK = 4096
 
 
-def _row_windows(df: DataFrame, group: str, col: str, half: int, pos: str) -> DataFrame:
-    """Array of the 2 half + 1 values around each row; beyond the ends the end values repeat."""
-    d = framed(df, [group], half, half, lambda w: {"_v": F.collect_list(F.col(col).cast("double")).over(w.rowsBetween(-half, half))}, pos)
-    d = with_group_stats(d, [group], {"_end": F.max(pos)})
-    lead = F.greatest(F.lit(0).cast("long"), half - F.col(pos)).cast("int")
-    trail = F.greatest(F.lit(0).cast("long"), F.col(pos) + half - F.col("_end")).cast("int")
-    full = F.concat(F.array_repeat(F.get("_v", F.lit(0)), lead), F.col("_v"), F.array_repeat(F.element_at("_v", -1), trail))
-    return d.withColumn("win", full).drop("_v", "_end")
-
-
 def _normalised(m: np.ndarray) -> np.ndarray:
     return (m - m.mean(1, keepdims=True)) / (m.std(1, keepdims=True) + 1e-6)
 
@@ -38,9 +27,10 @@ def window_match(
 ) -> DataFrame:
     """Best known window (normalised correlation) for the window around every withheld row, every ``stride``-th start.
 
-    Both frames count their own rows from 0 in ``pos``. The comparison is cut into (withheld block x known block) tiles of
-    bounded size; a tile returns one candidate per withheld row, so no pair is ever written and no task sees a whole
-    group. Returns ``(group, pos, match_value, match_score)``; equal scores resolve to the earliest known window. Both
+    Both frames count their own rows from 0 in ``pos``. Each side is packed into blocks of plain values with ``half`` rows
+    of its neighbours; windows exist only inside a task. A known block meets the withheld blocks of its group, a tile
+    returns one candidate per withheld row, so no pair and no window is ever written and no task sees a whole group.
+    Returns ``(group, pos, match_value, match_score)``; equal scores resolve to the earliest known window. Both
     signals are first averaged over ``smooth`` rows. A group whose known part is too short for a window and one more row
     gets its last known value with score 0.
     """
@@ -54,31 +44,44 @@ def window_match(
         name = f"_s_mean{smooth}"
         known = rolling(known, [group], signal, [smooth], ["mean"], "_s", pos=pos).withColumn(signal, F.col(name)).drop(name)
         evals = rolling(evals, [group], signal, [smooth], ["mean"], "_s", pos=pos).withColumn(signal, F.col(name)).drop(name)
-    k = _row_windows(known.select(group, pos, signal, value), group, signal, half, pos)
-    k = with_group_stats(k, [group], {"_last": F.max(pos)})
-    start = F.col(pos) - half
-    k = k.where((start >= 0) & (F.col(pos) + half <= F.col("_last")) & (start % stride == 0))
-    k = k.select(group, F.floor(start / (block * stride)).cast("long").alias("kb"), F.col(pos).alias("kpos"), F.col(value).cast("double").alias("kval"), F.col("win").alias("kwin"))
-    e = _row_windows(evals.select(group, pos, signal), group, signal, half, pos)
-    e = e.select(group, F.floor(F.col(pos) / block).cast("long").alias("eb"), pos, F.col("win").alias("ewin"))
-    # Which tiles exist: known blocks per group, joined to the withheld side and withheld blocks to the known side.
-    kblocks, eblocks = k.select(group, "kb").distinct(), e.select(group, "eb").distinct()
-    left, right = e.join(kblocks, group), k.join(eblocks, group)
-    schema = left.select(group, pos).schema.simpleString()[7:-1].replace(":", " ") + ", kpos bigint, match_value double, match_score double"
-
-    def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("kpos")
-        cn = _normalised(np.stack(b["kwin"].to_numpy()))
-        hn = _normalised(np.stack(a["ewin"].to_numpy()))
-        score = np.round(hn @ cn.T / cn.shape[1], 12)
-        at = score.argmax(1)
-        return pd.DataFrame({group: a[group].to_numpy(), pos: a[pos].to_numpy(), "kpos": b["kpos"].to_numpy()[at],
-                             "match_value": b["kval"].to_numpy()[at], "match_score": score.max(1)})
-
-    right = right.select(F.col(group).alias("_g"), F.col("eb").alias("_eb"), F.col("kb").alias("_kb"), "kpos", "kval", "kwin")
-    best = left.groupBy(group, "eb", "kb").cogroup(right.groupBy("_g", "_eb", "_kb")).applyInPandas(
-        lambda a, b: tile(a, b) if len(a) and len(b) else pd.DataFrame({group: [], pos: [], "kpos": [], "match_value": [], "match_score": []}), schema)
-    top = best.groupBy(group, pos).agg(F.max(F.struct("match_score", (-F.col("kpos")).alias("k"), "match_value")).alias("b"))
+    span, wide = block * stride, 2 * half
+    first, last = F.greatest(F.lit(0), F.floor((F.col(pos) - wide) / span)).cast("int"), F.floor(F.col(pos) / span).cast("int")
+    k = known.select(group, F.col(pos).alias("p"), F.col(signal).cast("double").alias("v"), F.col(value).cast("double").alias("w")).withColumnRenamed("p", pos)
+    k = with_group_stats(k, [group], {"k_last": F.max(pos)}).withColumn("kb", F.explode(F.sequence(first, last)))
+    k = k.groupBy(group, "kb").agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), "v", "w"))).alias("k"), F.first("k_last").alias("k_last"))
+    e = with_group_stats(evals.select(group, pos, F.col(signal).cast("double").alias("v")), [group], {"e_last": F.max(pos)})
+    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col(pos) - half) / block)).cast("int"), F.floor(F.least(F.col("e_last"), F.col(pos) + half) / block).cast("int"))
+    e = e.withColumn("eb", F.explode(near)).groupBy(group, "eb").agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), "v"))).alias("e"), F.first("e_last").alias("e_last"))
+    # each withheld block goes to every known block of its group, by number
+    blocks = sizes.where(fits).select(group, F.floor((F.col("_rows") - 1 - wide) / span).cast("int").alias("_top"))
+    tiles = e.join(blocks, group).withColumn("kb", F.explode(F.sequence(F.lit(0), F.col("_top")))).drop("_top").join(k, [group, "kb"])
+    tiles = tiles.select(group, "eb", "kb", "e_last", "k_last", F.col("e.p").alias("ep"), F.col("e.v").alias("ev"), F.col("k.v").alias("kv"), F.col("k.w").alias("kw"), F.get("k.p", F.lit(0)).alias("k0"))
+    found = T.ArrayType(T.StructType([T.StructField(pos, T.LongType()), T.StructField("k", T.LongType()), T.StructField("match_value", T.DoubleType()), T.StructField("match_score", T.DoubleType())]))
+    offsets = np.arange(-half, half + 1)
+
+    def best_of(r) -> list[tuple]:
+        ep, ev, kv, kw = np.asarray(r.ep), np.asarray(r.ev, float), np.asarray(r.kv, float), np.asarray(r.kw, float)
+        at = np.arange(r.eb * block, min((r.eb + 1) * block, r.e_last + 1))
+        starts = np.arange(r.kb * span, min((r.kb + 1) * span, r.k_last - wide + 1), stride) - r.k0
+        if not len(starts):
+            return []
+        cn = _normalised(kv[starts[:, None] + np.arange(wide + 1)])
+        out = []
+        for lo in range(0, len(at), 512):
+            c = at[lo : lo + 512]
+            hn = _normalised(ev[np.clip(c[:, None] + offsets, 0, r.e_last) - ep[0]])  # beyond the ends the end values repeat
+            score = np.round(hn @ cn.T / (wide + 1), 12)
+            j = score.argmax(1)
+            middle = starts[j] + half
+            out += zip(c.tolist(), (-(middle + r.k0)).tolist(), kw[middle].tolist(), score.max(1).tolist())
+        return out
+
+    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({group: f[group], "found": [best_of(r) for r in f.itertuples()]})
+
+    best = tiles.mapInPandas(match, T.StructType([tiles.schema[group], T.StructField("found", found)])).select(group, F.explode("found").alias("f")).select(group, "f.*")
+    top = best.groupBy(group, pos).agg(F.max(F.struct("match_score", "k", "match_value")).alias("b"))
     return top.select(group, pos, "b.match_value", "b.match_score").unionByName(short)
 
 

@@ -28,6 +28,7 @@ from bedtrace.sources import logs, store
 
 U = ["user_id"]
 K = ["user_id", "row_idx"]
+WELL = ["well"]
 
 # --- scans, contracts, sinks ------------------------------------------------------------------------------------------
 
@@ -362,14 +363,29 @@ def overlap_add(spark: SparkSession, sf: str) -> DataFrame:
 # --- alignment --------------------------------------------------------------------------------------------------------
 
 
-@query("j17_window_match", None)
+def match_sql(half: int) -> str:
+    """Best known window of every withheld row of a supplier, by comparing all of them."""
+    w = 2 * half + 1
+    norm = lambda l: f"list_transform({l}, lambda v: (v - list_avg({l})) / (list_aggregate({l}, 'stddev_pop') + 1e-6))"  # noqa: E731, E741
+    return f"""m{half} AS (SELECT well, row_idx, x, sc FROM (
+ SELECT e.well, e.row_idx, k.x, round(list_dot_product(e.win, k.win) / {w}, 12) AS sc, k.s FROM
+ (SELECT well, row_idx, {norm('win')} AS win FROM (SELECT well, i + nk AS row_idx, list_transform(generate_series(i - {half}, i + {half}), lambda o: el[least(greatest(o, 0), ne - 1) + 1]) AS win FROM (SELECT *, unnest(generate_series(0, ne - 1)) AS i FROM ls))) e
+ JOIN (SELECT well, s, x, {norm('win')} AS win FROM (SELECT well, s, xl[s + {half + 1}] AS x, kl[s + 1 : s + {w}] AS win FROM (SELECT *, unnest(generate_series(0, nk - {w}, 3)) AS s FROM ls))) k USING (well))
+ QUALIFY row_number() OVER (PARTITION BY well, row_idx ORDER BY sc DESC, s) = 1)"""
+
+
+@query("j17_window_match", f"""WITH {PARTS_SQL}, sm AS (SELECT well, known, row_idx, x, avg(qty) OVER (PARTITION BY well, known ORDER BY row_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM plog),
+ls AS (SELECT well, list(v ORDER BY row_idx) FILTER (known) AS kl, list(x ORDER BY row_idx) FILTER (known) AS xl, list(v ORDER BY row_idx) FILTER (NOT known) AS el, count(*) FILTER (known) AS nk, count(*) FILTER (NOT known) AS ne FROM sm GROUP BY well),
+{match_sql(8)}, {match_sql(15)}, {match_sql(25)}
+SELECT well, CAST(row_idx AS BIGINT) AS row_idx, {sql_rounded('sum(exp(3 * sc) * x) / (sum(exp(3 * sc)) + 1e-9)')} AS match_ensemble, {sql_rounded('max(sc)')} AS best_score FROM (SELECT * FROM m8 UNION ALL SELECT * FROM m15 UNION ALL SELECT * FROM m25) GROUP BY well, row_idx""")
 def window_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Best known window for every withheld row at three half-widths, and their ensemble."""
-    log = cut_lineage(filled_log(spark, sf))
-    known = log.where("known")
-    evals = with_group_stats(log, U, {"k": F.count_if("known")}).where(~F.col("known")).withColumn("row_idx", F.col("row_idx") - F.col("k"))
-    found = [cut_lineage(L.window_match(known, evals, "user_id", "fill", "x", h)) for h in (2, 4, 6)]
-    return shown(L.match_ensemble(found, "user_id"), K, ["match_ensemble", "best_score"])
+    """Best known window for every withheld row of a supplier at half-widths 8, 15 and 25, and their ensemble."""
+    log = cut_lineage(part_log(spark, sf).select("well", "row_idx", "known", "x", "qty"))
+    cut = log.groupBy("well").agg(F.count_if("known").alias("k"))
+    evals = cut_lineage(log.where(~F.col("known")).join(cut, WELL).withColumn("row_idx", F.col("row_idx") - F.col("k")).drop("k"))
+    found = [cut_lineage(L.window_match(log.where("known"), evals, "well", "qty", "x", h)) for h in (8, 15, 25)]
+    out = L.match_ensemble(found, "well").join(cut, WELL).withColumn("row_idx", F.col("row_idx") + F.col("k"))
+    return shown(out, [*WELL, "row_idx"], ["match_ensemble", "best_score"])
 
 
 SLOPES = [-0.06, -0.03, 0.0, 0.03, 0.06]
@@ -402,7 +418,6 @@ def cost_volume(spark: SparkSession, sf: str) -> DataFrame:
     return shown(ll, ["user_id"], ["slope", "ll"])
 
 
-WELL = ["well"]
 RATES = [round(-0.06 + 0.002 * k, 3) for k in range(61)]
 SEG_LEN, CELL = 100.0, 5.0
 
