@@ -209,9 +209,12 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
         return cut_lineage(s.groupBy(F.col("k").alias("__key"), F.col("hash").alias("__hash")).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("__drop")))
 
     def with_spans(of: DataFrame, drops: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows that can have spans, with them in __drop, and the rest; only the first meet the spans in a join."""
+        """Rows that can have spans, with them in __drop, and the rest; only the first meet the spans in a join.
+
+        The table of spans grows with the input, so it is never broadcast, however small it is.
+        """
         hit, rest = split_by_marks(of, "__hash", drops.select(F.col("__hash").alias("h")), "h")
-        both = hit.alias("x").join(drops.alias("y"), F.col("x.__key").eqNullSafe(F.col("y.__key")) & (F.col("x.__hash") == F.col("y.__hash")), "left")
+        both = hit.alias("x").join(drops.hint("merge").alias("y"), F.col("x.__key").eqNullSafe(F.col("y.__key")) & (F.col("x.__hash") == F.col("y.__hash")), "left")
         return both.select(*[F.col(f"x.`{c}`") for c in of.columns], F.col("y.__drop")), rest
 
     if levels == "both":
