@@ -9,6 +9,7 @@ joined with the queries. Nothing is dropped that could matter, so the result is
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from bedtrace.operators.sequence import even_sample
 from bedtrace.session import cut_lineage
 
 LEAF = 128
-MAX_DEPTH = 20
+DEEPEST = 52  # the bits of a double: below this level the places of two points in the square are the same number
+LEVELS = 4  # of the tree in one pass over the points that are still in full cells
 
 
 def _trim_copies(bank: DataFrame, k: int) -> DataFrame:
@@ -76,7 +78,7 @@ def knn_join(
     frame = cut_lineage(_frame(pts, asks, scaled))
     place = {"_bx": F.col("_ux") / F.col("_sx"), "_by": F.col("_uy") / F.col("_sy")}
     pts = cut_lineage(_trim_copies(pts.join(frame, "_sp").withColumns(place).drop("_sx", "_sy"), k))
-    tree = cut_lineage(_cell_tree(pts, leaf))
+    tree, homes = _cell_tree(pts, leaf)
     depth = tree.agg(F.max("lv")).first()[0] or 0  # one number
 
     # All query cells walk down the tree together.
@@ -99,10 +101,6 @@ def knn_join(
             reach = cut_lineage(reach)
     reach = cut_lineage(reach.select("_sp", "gx", "gy", "lv", "cx", "cy"))
 
-    homes = pts.withColumn("lv", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumns({
-        "cx": _cell(F.col("_bx"), F.col("_x0"), F.col("_size"), F.col("lv")),
-        "cy": _cell(F.col("_by"), F.col("_y0"), F.col("_size"), F.col("lv"))}).drop("_x0", "_y0", "_size")
-    homes = homes.join(tree.where("is_leaf").select("_sp", "lv", "cx", "cy"), ["_sp", "lv", "cx", "cy"], "left_semi")
     pairs = asks.join(reach, ["_sp", "gx", "gy"]).join(homes, ["_sp", "lv", "cx", "cy"])
     if query_owner and bank_owner:
         pairs = pairs.where(~F.col(query_owner).eqNullSafe(F.col("_bo")))
@@ -125,17 +123,39 @@ def _frame(pts: DataFrame, asks: DataFrame, scaled: bool) -> DataFrame:
                     (side * 1.000001).alias("_size"))
 
 
-def _cell_tree(pts: DataFrame, leaf: int) -> DataFrame:
-    """Cells of all levels with point count ``n`` and the largest count of one owner ``m``; children only of full cells."""
-    levels = pts.select("_sp", "_bo", "_bx", "_by", "_x0", "_y0", "_size", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))).alias("lv"))
-    levels = levels.withColumns({"cx": _cell(F.col("_bx"), F.col("_x0"), F.col("_size"), F.col("lv")),
-                                 "cy": _cell(F.col("_by"), F.col("_y0"), F.col("_size"), F.col("lv"))})
-    tree = levels.groupBy("_sp", "lv", "cx", "cy", "_bo").agg(F.count(F.lit(1)).alias("c")).groupBy("_sp", "lv", "cx", "cy").agg(
-        F.sum("c").alias("n"), F.max("c").alias("m"))
-    full = tree.where(F.col("n") > leaf).select("_sp", (F.col("lv") + 1).alias("lv"), F.col("cx").alias("px"), F.col("cy").alias("py"))
-    tree = tree.withColumns({"px": F.shiftright("cx", 1), "py": F.shiftright("cy", 1)})
-    kept = tree.join(full.withColumn("_p", F.lit(True)), ["_sp", "lv", "px", "py"], "left").where((F.col("lv") == 0) | F.col("_p")).drop("_p")
-    return kept.withColumn("is_leaf", (F.col("n") <= leaf) | (F.col("lv") == MAX_DEPTH))
+def _cell_tree(pts: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Cells with point count ``n`` and the largest count of one owner ``m``, children only of full cells, and the points
+    with the leaf they lie in.
+
+    A pass writes the points out for LEVELS levels; those in cells that are still full afterwards go on to the next
+    pass, so a point meets the levels down to its leaf and a dense spot is cut until no leaf holds more than ``leaf``
+    points, however small the spot is. Only points at one place (cut to a bounded number before) stay together.
+    """
+    todo, trees, homes, low = pts, [], [], 0
+    while True:
+        top = min(low + LEVELS, DEEPEST + 1)
+        at = todo.withColumn("lv", F.explode(F.sequence(F.lit(low), F.lit(top - 1)))).withColumns({
+            "cx": _cell(F.col("_bx"), F.col("_x0"), F.col("_size"), F.col("lv")), "cy": _cell(F.col("_by"), F.col("_y0"), F.col("_size"), F.col("lv"))})
+        owners = at.groupBy("_sp", "lv", "cx", "cy", "_bo").agg(F.count(F.lit(1)).alias("c"), *[f(c).alias(f"{n}{c}") for c in ("_bx", "_by") for n, f in (("lo", F.min), ("hi", F.max))])
+        cells = owners.groupBy("_sp", "lv", "cx", "cy").agg(
+            F.sum("c").alias("n"), F.max("c").alias("m"), ((F.min("lo_bx") == F.max("hi_bx")) & (F.min("lo_by") == F.max("hi_by"))).alias("_one"))
+        cells = cut_lineage(cells.withColumn("is_leaf", (F.col("n") <= leaf) | F.col("_one") | (F.col("lv") == DEEPEST)).drop("_one"))
+        # a cell counts only below a full one; all cells of the first level do, since the pass before let only those through
+        kept = cells.where(F.col("lv") == low)
+        for lv in range(low + 1, top):
+            full = kept.where((F.col("lv") == lv - 1) & ~F.col("is_leaf")).select("_sp", F.col("cx").alias("px"), F.col("cy").alias("py"))
+            level = cells.where(F.col("lv") == lv).withColumns({"px": F.shiftright("cx", 1), "py": F.shiftright("cy", 1)})
+            kept = kept.unionByName(level.join(full, ["_sp", "px", "py"], "left_semi").drop("px", "py"))
+        kept = cut_lineage(kept)
+        trees.append(kept)
+        homes.append(at.join(kept.where("is_leaf").select("_sp", "lv", "cx", "cy"), ["_sp", "lv", "cx", "cy"], "left_semi").drop("_x0", "_y0", "_size"))
+        open_cells = kept.where((F.col("lv") == top - 1) & ~F.col("is_leaf")).select("_sp", "lv", "cx", "cy")
+        if open_cells.isEmpty():
+            break
+        todo = cut_lineage(at.join(open_cells, ["_sp", "lv", "cx", "cy"], "left_semi").drop("lv", "cx", "cy"))
+        low = top
+    tree = cut_lineage(reduce(DataFrame.unionByName, trees).withColumns({"px": F.shiftright("cx", 1), "py": F.shiftright("cy", 1)}))
+    return tree, cut_lineage(reduce(DataFrame.unionByName, homes))
 
 
 def _still_possible(reach: DataFrame, k: int) -> DataFrame:
@@ -154,7 +174,8 @@ def _still_possible(reach: DataFrame, k: int) -> DataFrame:
     r = r.withColumn("_ok", F.when(enough, F.col("_far")))
     r = r.withColumn("_ub", F.min("_ok").over(per_cell))
     # The margin covers rounding of the cell borders; it can only keep a cell too many.
-    return r.where(F.col("_ub").isNull() | (F.col("_near") <= F.col("_ub") + F.col("_size") * 1e-9)).drop("_near", "_far", "_ok", "_ub")
+    margin = (F.col("_size") + F.abs("_x0") + F.abs("_y0")) * 1e-14
+    return r.where(F.col("_ub").isNull() | (F.col("_near") <= F.col("_ub") + margin)).drop("_near", "_far", "_ok", "_ub")
 
 
 def _neighbour_rows(pairs: DataFrame, query_key: Sequence[str], space: Sequence[str], values: Sequence[str], k: int) -> DataFrame:

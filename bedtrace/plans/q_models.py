@@ -377,7 +377,7 @@ def match_sql(half: int) -> str:
 @query("j17_window_match", f"""WITH {PARTS_SQL}, sm AS (SELECT well, known, row_idx, x, avg(qty) OVER (PARTITION BY well, known ORDER BY row_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM plog),
 ls AS (SELECT well, list(v ORDER BY row_idx) FILTER (known) AS kl, list(x ORDER BY row_idx) FILTER (known) AS xl, list(v ORDER BY row_idx) FILTER (NOT known) AS el, count(*) FILTER (known) AS nk, count(*) FILTER (NOT known) AS ne FROM sm GROUP BY well),
 {match_sql(8)}, {match_sql(15)}, {match_sql(25)}
-SELECT well, CAST(row_idx AS BIGINT) AS row_idx, {sql_rounded('sum(exp(3 * sc) * x) / (sum(exp(3 * sc)) + 1e-9)')} AS match_ensemble, {sql_rounded('max(sc)')} AS best_score FROM (SELECT * FROM m8 UNION ALL SELECT * FROM m15 UNION ALL SELECT * FROM m25) GROUP BY well, row_idx""")
+SELECT well, CAST(row_idx AS BIGINT) AS row_idx, {sql_rounded('sum(exp(3 * sc) * x) / (sum(exp(3 * sc)) + 1e-9)', 4)} AS match_ensemble, {sql_rounded('max(sc)', 4)} AS best_score FROM (SELECT * FROM m8 UNION ALL SELECT * FROM m15 UNION ALL SELECT * FROM m25) GROUP BY well, row_idx""")
 def window_match(spark: SparkSession, sf: str) -> DataFrame:
     """Best known window for every withheld row of a supplier at half-widths 8, 15 and 25, and their ensemble."""
     log = cut_lineage(part_log(spark, sf).select("well", "row_idx", "known", "x", "qty"))
@@ -385,7 +385,7 @@ def window_match(spark: SparkSession, sf: str) -> DataFrame:
     evals = cut_lineage(log.where(~F.col("known")).join(cut, WELL).withColumn("row_idx", F.col("row_idx") - F.col("k")).drop("k"))
     found = [cut_lineage(L.window_match(log.where("known"), evals, "well", "qty", "x", h)) for h in (8, 15, 25)]
     out = L.match_ensemble(found, "well").join(cut, WELL).withColumn("row_idx", F.col("row_idx") + F.col("k"))
-    return shown(out, [*WELL, "row_idx"], ["match_ensemble", "best_score"])
+    return shown(out, [*WELL, "row_idx"], ["match_ensemble", "best_score"], 4)
 
 
 SLOPES = [-0.06, -0.03, 0.0, 0.03, 0.06]

@@ -37,6 +37,28 @@ def test_knn_with_copies_clusters_and_owners(spark, leaf):
         assert not (owner[mine.nb_id] == owner[i]).any()
 
 
+def test_a_dense_spot_is_cut_into_small_leaves(spark):
+    """Distinct points inside 2^-25 of the square, far below where cells of a fixed depth would end."""
+    rng = np.random.default_rng(12)
+    spot = 0.3 + rng.random((4_000, 2)) * 2.0**-25
+    pdf = pd.DataFrame(np.vstack([spot, rng.random((200, 2)), [[0.0, 0.0], [1.0, 1.0]]]), columns=["_bx", "_by"]).assign(_sp=0, _x0=0.0, _y0=0.0, _size=1.000001)
+    pdf["_bid"] = np.arange(len(pdf))
+    pdf["_bo"] = pdf["_bid"]
+    tree, homes = X._cell_tree(spark.createDataFrame(pdf), 64)
+    sizes = homes.groupBy("lv", "cx", "cy").count().toPandas()
+    assert sizes["count"].max() <= 64 and sizes["count"].sum() == len(pdf) and homes.select("_bid").distinct().count() == len(pdf)
+    assert 25 < tree.agg(F.max("lv")).first()[0] <= X.DEEPEST
+    b = spark.createDataFrame(pdf.rename(columns={"_bx": "x", "_by": "y", "_bid": "pid"})[["pid", "x", "y"]])
+    ask = pdf.iloc[[0, 777, 3_999, 4_050, 4_201]]
+    q = b.where(F.col("pid").isin(ask["_bid"].tolist()))
+    got = X.knn_join(q, b, 5, ["pid"], ("x", "y"), ("x", "y"), "pid", scaled=False, leaf=64).toPandas()
+    xy = pdf[["_bx", "_by"]].to_numpy()
+    for i in ask["_bid"]:
+        d = np.sqrt(((xy - xy[i]) ** 2).sum(1))
+        want = np.lexsort((np.arange(len(d)), d))[:5]
+        assert got[got.pid == i].sort_values("rank").nb_id.tolist() == want.tolist()
+
+
 def test_knn_fewer_points_than_k(spark):
     b = spark.createDataFrame([(1, 1, 0.0, 0.0), (2, 2, 1.0, 0.0), (3, 2, 9.0, 0.0)], "pid int, owner int, x double, y double")
     got = X.knn_join(b, b, 5, ["pid"], ("x", "y"), ("x", "y"), "pid", "owner", "owner").groupBy("pid").count().collect()
