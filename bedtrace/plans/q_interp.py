@@ -285,12 +285,12 @@ AGREE = ["corr_raw", "corr_detrended", "curve_hf_std", "corr_gap"]
 @query("a17_alias_stats", curve_sql(
     """SELECT user_id, cr AS corr_raw, cd AS corr_detrended, hf AS curve_hf_std, cr - cd AS corr_gap FROM (
  SELECT user_id, CASE WHEN count(*) >= 5 AND stddev_pop(value) > 1e-6 AND stddev_pop(t) > 1e-6 THEN corr(value, t) END AS cr, CASE WHEN count(*) >= 5 AND stddev_pop(value - ym) > 1e-6 AND stddev_pop(t - tm) > 1e-6 THEN corr(value - ym, t - tm) END AS cd FROM (
-  SELECT *, avg(value) OVER w AS ym, avg(t) OVER w AS tm FROM hit WINDOW w AS (PARTITION BY user_id ORDER BY row_idx ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING))
+  SELECT *, avg(value) OVER w AS ym, avg(t) OVER w AS tm FROM hit WINDOW w AS (PARTITION BY user_id ORDER BY row_idx ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING))
  GROUP BY user_id) LEFT JOIN (SELECT user_id, CASE WHEN count(*) >= 3 THEN stddev_samp(value - m) END AS hf FROM (
-  SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY x ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS m FROM band WHERE x BETWEEN lo - 10 AND hi + 10)
+  SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY x ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) AS m FROM band WHERE x BETWEEN lo - 10 AND hi + 10)
  GROUP BY user_id) USING (user_id)""", U, AGREE, extra=SPAN + KNOWN_HIT.replace("event_type = 'click'", "event_type = 'click'")))
 def alias_stats(spark: SparkSession, sf: str) -> DataFrame:
-    d = A.agreement(known_clicks(spark, sf), curve_of(spark, sf), U, "x", "value", "cx", "cy", 21, 5, 3)
+    d = A.agreement(known_clicks(spark, sf), curve_of(spark, sf), U, "x", "value", "cx", "cy", 101, 5, 3)
     return shown(d, U, AGREE)
 
 

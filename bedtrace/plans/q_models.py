@@ -327,18 +327,21 @@ def row_map(spark: SparkSession, sf: str) -> DataFrame:
     return shown(P.row_map(event_log(spark, sf), "user_id", "known", "x", "value"), ["id", "user_id"], ["md_rel", "y", "anchor"])
 
 
+SURFACES = ["pz", "p1", "p2", "p3", "p4", "p5"]
+
+
 @query("d28_surface_channels", None)
 def surface_channels(spark: SparkSession, sf: str) -> DataFrame:
-    """Three neighbour surfaces re-anchored per owner, with confidence and consensus."""
+    """Six neighbour surfaces re-anchored per owner, with confidence and consensus."""
     e = F.col("embedding")
-    b = bank(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("pid"), e[3].cast("double").alias("p1"), e[4].cast("double").alias("p2")), "pid")
-    nb = cut_lineage(knn_join(b, b, 20, ["pid"], ("px", "py"), ("px", "py"), "pid", "owner", "owner", ["pz", "p1", "p2"]))
+    b = bank(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("pid"), *[e[2 + k].cast("double").alias(f"p{k}") for k in range(1, 6)]), "pid")
+    nb = cut_lineage(knn_join(b, b, 20, ["pid"], ("px", "py"), ("px", "py"), "pid", "owner", "owner", SURFACES))
     d = b
-    for i, c in enumerate(["pz", "p1", "p2"]):
+    for i, c in enumerate(SURFACES):
         s = idw(nb, ["pid"], c, 1 / (F.col("dist") + 1e-3))
         d = d.join(s.select("pid", F.col("idw").alias(f"u{i}"), F.col("idw_std").alias(f"s{i}"), F.col("nearest").alias(f"d{i}")), "pid")
-    out = P.surface_channels(d.withColumn("known", F.col("pid") % 3 == 0), ["owner"], "known", "py", [(f"u{i}", f"s{i}", f"d{i}") for i in range(3)])
-    return shown(out, ["pid"], ["u0_conf", "u1_conf", "u2_conf", "surf_median", "surf_std", "surf_best", "surf_gap"])
+    out = P.surface_channels(d.withColumn("known", F.col("pid") % 3 == 0), ["owner"], "known", "py", [(f"u{i}", f"s{i}", f"d{i}") for i in range(6)])
+    return shown(out, ["pid"], [*[f"u{i}_conf" for i in range(6)], "surf_median", "surf_std", "surf_best", "surf_gap"])
 
 
 @query("d29_grid_to_rows", f"""WITH {EVENTS_SQL}, r AS (SELECT s.user_id, s.event_id, x - m AS rel FROM seq s JOIN (SELECT user_id, arg_max(x, row_idx) AS m FROM seq WHERE known GROUP BY user_id) a ON s.user_id = a.user_id WHERE NOT known)

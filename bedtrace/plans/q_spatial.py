@@ -35,16 +35,16 @@ def knn_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("j10_plane_bank", f"""WITH {BANK_SQL}, med AS (SELECT owner, quantile_cont(px, 0.5) AS px, quantile_cont(py, 0.5) AS py, quantile_cont(pz, 0.5) AS pz FROM bank GROUP BY owner),
 sc AS (SELECT stddev_pop(px) AS sx, stddev_pop(py) AS sy FROM med),
 nb AS (SELECT * FROM (SELECT q.pid, m.owner, m.px - q.px AS u, m.py - q.py AS v, m.pz AS z, sqrt(pow((q.px - m.px)/sx, 2) + pow((q.py - m.py)/sy, 2)) AS dist
- FROM bank q CROSS JOIN sc JOIN med m ON m.owner <> q.owner) QUALIFY row_number() OVER (PARTITION BY pid ORDER BY dist, owner) <= 7),
+ FROM bank q CROSS JOIN sc JOIN med m ON m.owner <> q.owner) QUALIFY row_number() OVER (PARTITION BY pid ORDER BY dist, owner) <= 10),
 s AS (SELECT pid, min(dist) AS nearest, sum(w) + 1e-9 AS ww, sum(w*u) AS wu, sum(w*v) AS wv, sum(w*u*u) + 1e-9 AS uu, sum(w*u*v) AS uv, sum(w*v*v) + 1e-9 AS vv,
  sum(w*z) AS z, sum(w*u*z) AS zu, sum(w*v*z) AS zv FROM (SELECT *, 1/(dist + 1e-3) AS w FROM nb) GROUP BY pid)
 SELECT pid, {sql_rounded('(uu*(vv*z-wv*zv) - uv*(uv*z-wv*zu) + wu*(uv*zv-vv*zu)) / (uu*(vv*ww-wv*wv) - uv*(uv*ww-wv*wu) + wu*(uv*wv-vv*wu))')} AS surface,
  {sql_rounded('nearest')} AS nearest FROM s""")
 def plane_bank(spark: SparkSession, sf: str) -> DataFrame:
-    """One median point per owner, seven nearest foreign owners, weighted plane at the query (also a18)."""
+    """One median point per owner, ten nearest foreign owners, weighted plane at the query (also a18)."""
     b = bank(spark, sf)
     med = S.group_medians(b, "owner", ["px", "py", "pz"])
-    nb = S.knn_join(b, med, 7, ["pid"], ("px", "py"), ("px", "py"), "owner", "owner", "owner", ["pz"])
+    nb = S.knn_join(b, med, 10, ["pid"], ("px", "py"), ("px", "py"), "owner", "owner", "owner", ["pz"])
     w = 1 / (F.col("dist") + 1e-3)
     fit = S.plane_fit(nb, ["pid"], ["pz"], w).join(nb.groupBy("pid").agg(F.min("dist").alias("nearest")), "pid")
     return shown(fit.withColumnRenamed("pz", "surface"), ["pid"], ["surface", "nearest"])
@@ -105,16 +105,16 @@ def neighbour_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j14_enriched_bank", f"""WITH {BANK_SQL}, a AS (SELECT * FROM bank WHERE owner % 2 = 0),
 pn AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY pid) - 1 AS p, count(*) OVER (PARTITION BY owner) AS n FROM bank WHERE owner % 2 = 1),
-pk AS (SELECT DISTINCT owner, CAST(floor(j * ((n-1)::DOUBLE / (least(20, n) - 1))) AS BIGINT) AS p FROM (SELECT DISTINCT owner, n FROM pn) CROSS JOIN (SELECT unnest(generate_series(0, 19)) AS j) WHERE j < least(20, n)),
+pk AS (SELECT DISTINCT owner, CAST(floor(j * ((n-1)::DOUBLE / (least(40, n) - 1))) AS BIGINT) AS p FROM (SELECT DISTINCT owner, n FROM pn) CROSS JOIN (SELECT unnest(generate_series(0, 39)) AS j) WHERE j < least(40, n)),
 b2 AS (SELECT pid, owner, px, py, pz FROM a UNION ALL SELECT pid, owner, px, py, pz FROM pn JOIN pk USING (owner, p)),
 nb AS (SELECT * FROM (SELECT q.pid, b.pz AS bz, b.pid AS nid, sqrt(pow(q.px - b.px, 2) + pow(q.py - b.py, 2)) AS dist FROM bank q JOIN b2 b ON b.owner <> q.owner)
  QUALIFY row_number() OVER (PARTITION BY pid ORDER BY dist, nid) <= 20)
 SELECT pid, {sql_rounded('sum(bz/(dist+1e-3))/sum(1/(dist+1e-3))')} AS idw, {sql_rounded('min(dist)')} AS nearest FROM nb GROUP BY pid""")
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    """Bank of one half of the owners plus at most 20 evenly spaced points of every other owner."""
+    """Bank of one half of the owners plus at most 40 evenly spaced points of every other owner."""
     b = bank(spark, sf)
     extra = index_rows(b.where("owner % 2 = 1").withColumn("axis", F.col("pid").cast("double")), ["owner"], ["pid"], "axis")
-    both = b.where("owner % 2 = 0").unionByName(even_sample(extra, ["owner"], 20).select(*b.columns))
+    both = b.where("owner % 2 = 0").unionByName(even_sample(extra, ["owner"], 40).select(*b.columns))
     nb = S.knn_join(b, both, 20, ["pid"], ("px", "py"), ("px", "py"), "pid", "owner", "owner", ["pz"], scaled=False)
     return shown(S.idw(nb, ["pid"], "pz", 1 / (F.col("dist") + 1e-3)), ["pid"], ["idw", "nearest"])
 
