@@ -31,6 +31,11 @@ def _shared_dir(spark: SparkSession) -> str:
     return shared
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder that all machines see and ``release`` leaves alone."""
+    return f"{_shared_dir(spark).rstrip('/')}/{name}"
+
+
 def store(df: DataFrame, by: Sequence[str] = ()) -> str:
     """Write ``df`` to the shared checkpoint folder, in a folder for each value of ``by``; the path of the table."""
     path = f"{_shared_dir(df.sparkSession).rstrip('/')}/bedtrace/{uuid.uuid4().hex}"
