@@ -23,6 +23,7 @@ from bedtrace.plans.q_interp import GRID, KNOTS, OFFSETS, curve_of, profile
 from bedtrace.plans.q_metrics import FC_SQL, forecasts, lag1_rmse
 from bedtrace.plans.q_sequence import FILL_SQL, filled_log
 from bedtrace.plans.registry import query, rounded, shown, sql_rounded, sql_shown
+from bedtrace.plans.sql_ridge import sql_moments, sql_prediction, sql_solved, sql_subsets
 from bedtrace.session import cut_lineage
 from bedtrace.sources import logs, store
 
@@ -172,17 +173,20 @@ def stack_rows(spark: SparkSession, sf: str) -> DataFrame:
     return d.na.drop(subset=STACK).join(folds(spark, sf), "user_id")
 
 
-@query("d34_positive_ridge_stack", None)
+STACK_SQL = f"""{EVENTS_SQL}, {FOLD_SQL}, st AS (SELECT s.*, fold, lag(value) OVER w AS lag1, lag(value, 2) OVER w AS lag2, avg(value) OVER (PARTITION BY s.user_id ORDER BY row_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS mean3,
+ avg(value) OVER (PARTITION BY s.user_id ORDER BY row_idx ROWS BETWEEN 6 PRECEDING AND 4 PRECEDING) AS flat2 FROM seq s JOIN fo ON s.user_id = fo.user_id WINDOW w AS (PARTITION BY s.user_id ORDER BY row_idx)),
+sr AS (SELECT * FROM st WHERE flat2 IS NOT NULL), fs AS (SELECT unnest(generate_series(0, 4)) AS f)"""
+TRAIN = "sr JOIN fs ON fold <> f"
+STACK_MOMENTS = f"{STACK_SQL}, {sql_moments(STACK, 'value', TRAIN)}"
+
+
+@query("d34_positive_ridge_stack", f"""WITH {STACK_MOMENTS}, {sql_subsets(4, [1.66])}, best AS (SELECT * FROM sub QUALIFY row_number() OVER (PARTITION BY f ORDER BY gain DESC) = 1)
+SELECT user_id, row_idx, fold, {sql_rounded(sql_prediction(STACK))} AS stack FROM sr JOIN best ON fold = f JOIN mo USING (f)""")
 def ridge_stack(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-fold stack of four members, alpha 1.66, coefficients >= 0."""
     return shown(D.oof_ridge(stack_rows(spark, sf), STACK, "value", "fold"), [*K, "fold"], ["stack"])
 
 
-STACK_SQL = f"""{EVENTS_SQL}, {FOLD_SQL}, st AS (SELECT s.*, fold, lag(value) OVER w AS lag1, avg(value) OVER (PARTITION BY s.user_id ORDER BY row_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS mean3,
- avg(value) OVER (PARTITION BY s.user_id ORDER BY row_idx ROWS BETWEEN 6 PRECEDING AND 4 PRECEDING) AS flat2 FROM seq s JOIN fo ON s.user_id = fo.user_id WINDOW w AS (PARTITION BY s.user_id ORDER BY row_idx)),
-sr AS (SELECT * FROM st WHERE flat2 IS NOT NULL), fs AS (SELECT unnest(generate_series(0, 4)) AS f)"""
-
-
 @query("d34_single_member_ridge", f"""WITH {STACK_SQL}, co AS (SELECT f, greatest(0, covar_pop(value, mean3) * count(*) / (var_pop(mean3) * count(*) + 1.66)) AS a, avg(value) AS my, avg(mean3) AS mx FROM sr JOIN fs ON fold <> f GROUP BY f)
 SELECT user_id, row_idx, fold, {sql_rounded('my + a * (mean3 - mx)')} AS stack FROM sr JOIN co ON fold = f""")
 def single_ridge(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,7 +201,12 @@ def tiered_stack(spark: SparkSession, sf: str) -> DataFrame:
     return shown(D.oof_ridge(d, ["mean3"], "value", "fold", ["tier"]), [*K, "fold"], ["stack"])
 
 
-@query("d35_risk_interactions", None)
+CROSSED = [*STACK, *[f"{c}_x" for c in STACK]]
+CROSSED_SQL = f"""{STACK_SQL}, rk AS (SELECT *, (abs(lag1 - lag2) - avg(abs(lag1 - lag2)) OVER ()) / (stddev_pop(abs(lag1 - lag2)) OVER () + 1e-9) AS rz FROM sr),
+cr AS (SELECT *, {', '.join(f'{c} * rz AS {c}_x' for c in STACK)} FROM rk), {sql_moments(CROSSED, 'value', 'cr JOIN fs ON fold <> f')}, {', '.join(sql_solved(range(8), 8, [1.66]))}"""
+
+
+@query("d35_risk_interactions", f"""WITH {CROSSED_SQL} SELECT user_id, row_idx, fold, {sql_rounded(sql_prediction(CROSSED))} AS stack FROM cr JOIN s ON fold = f JOIN mo USING (f)""")
 def risk_interactions(spark: SparkSession, sf: str) -> DataFrame:
     """One unconstrained ridge with members and members times standardised risk."""
     d = stack_rows(spark, sf).withColumn("risk", F.abs(F.col("lag1") - F.col("lag2")))
@@ -207,7 +216,9 @@ def risk_interactions(spark: SparkSession, sf: str) -> DataFrame:
     return shown(D.oof_ridge(d, [*STACK, *[f"{c}_x" for c in STACK]], "value", "fold", positive=False), [*K, "fold"], ["stack"])
 
 
-@query("d36_subset_alpha_search", None)
+@query("d36_subset_alpha_search", f"""WITH {STACK_MOMENTS}, {sql_subsets(4, [0.5, 1.66, 10.0, 100.0])},
+best AS (SELECT u.mask AS whole, sub.* FROM sub JOIN (SELECT unnest(generate_series(1, 15)) AS mask) u ON (sub.mask & u.mask) = sub.mask QUALIFY row_number() OVER (PARTITION BY u.mask, f, alpha ORDER BY gain DESC) = 1)
+SELECT CAST(whole - 1 AS INTEGER) AS subset, alpha, CAST(count(*) AS BIGINT) AS n, {sql_rounded(f"sqrt(avg(pow({sql_prediction(STACK)} - value, 2)))")} AS rmse FROM sr JOIN best ON fold = f JOIN mo USING (f) GROUP BY whole, alpha""")
 def subset_search(spark: SparkSession, sf: str) -> DataFrame:
     """All 15 member subsets at four penalties, scored out of fold from the same pairwise sums."""
     subsets = [[bool(i >> b & 1) for b in range(4)] for i in range(1, 16)]
@@ -260,13 +271,17 @@ def risk_weights(spark: SparkSession, sf: str) -> DataFrame:
     return shown(d.withColumn("weight", D.risk_weight(F.col("risk"), 0.5, 30.0, 10.0)), K, ["weight"])
 
 
-@query("d44_feature_doses", None)
+DOSES = {"lags": ["lag1", "lag2"], "means": ["mean3", "flat2"], "all": STACK}
+DOSE_SQL = ", ".join(c for n, cols in DOSES.items() for c in sql_solved([STACK.index(c) for c in cols], 4, [1.66], name=n + "_fit"))
+
+
+@query("d44_feature_doses", f"""WITH {STACK_MOMENTS}, {DOSE_SQL}, fits AS ({' UNION ALL '.join(f"SELECT '{n}' AS features, * FROM {n}_fit" for n in DOSES)})
+SELECT features, CAST(count(*) AS BIGINT) AS n, {sql_rounded(f"sqrt(avg(pow({sql_prediction(STACK)} - value, 2)))")} AS rmse FROM sr JOIN fits ON fold = f JOIN mo USING (f) GROUP BY features""")
 def feature_doses(spark: SparkSession, sf: str) -> DataFrame:
     """Named feature sets on the same rows, scored out of fold."""
-    sets = {"lags": ["lag1", "lag2"], "means": ["mean3", "flat2"], "all": STACK}
-    masks = [[c in cols for c in STACK] for cols in sets.values()]
+    masks = [[c in cols for c in STACK] for cols in DOSES.values()]
     t = D.search_score(D.ridge_table(stack_rows(spark, sf), STACK, "value", "fold", (), [1.66], masks, positive=False), ["subset"])
-    names = F.array(*[F.lit(n) for n in sets])
+    names = F.array(*[F.lit(n) for n in DOSES])
     return shown(t.withColumn("features", F.get(names, F.col("subset"))), ["features", "n"], ["rmse"])
 
 
