@@ -29,7 +29,12 @@ def group_folds(df: DataFrame, group: str, k: int, name: str = "fold") -> DataFr
 def spatial_folds(df: DataFrame, group: str, x: str, y: str, cell: float, k: int, name: str = "fold") -> DataFrame:
     """Fold per group from the XY cell of its mean place, so that close groups share a fold."""
     at = df.groupBy(group).agg(F.floor(F.avg(x) / cell).alias("_cx"), F.floor(F.avg(y) / cell).alias("_cy"))
-    return at.select(group, F.pmod(F.xxhash64("_cx", "_cy"), F.lit(k)).cast("int").alias(name))
+    return at.select(group, hash_fold(F.concat_ws(",", "_cx", "_cy"), k).alias(name))
+
+
+def hash_fold(text: Column, k: int) -> Column:
+    """0..k-1 from the first eight hex digits of a text's MD5, the same in every engine."""
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % k).cast("int")
 
 
 def pinned_folds(df: DataFrame, group: str, k: int, path: str) -> DataFrame:
@@ -234,8 +239,108 @@ def ridge_table(
 def oof_ridge(df: DataFrame, cols: Sequence[str], target: str, fold: str, keys: Sequence[str] = (), alpha: float = 1.66,
               positive: bool = True, out: str = "stack") -> DataFrame:
     """Out-of-fold stack: every row is predicted by the model of the other folds (of its own tier when ``keys`` is given)."""
-    coef = cut_lineage(ridge_table(df, cols, target, fold, keys, [alpha], None, positive).select(*keys, fold, "coef"))
-    return df.join(F.broadcast(coef), [*keys, fold], "left").withColumn(out, linear_prediction(F.col("coef"), cols)).drop("coef")
+    return with_stack(df, ridge_table(df, cols, target, fold, keys, [alpha], None, positive), cols, [*keys, fold], out)
+
+
+def with_stack(df: DataFrame, table: DataFrame, cols: Sequence[str], keys: Sequence[str], out: str) -> DataFrame:
+    """Predictions by the coefficients ``coef`` of a table per key. It is written first, so the planner knows its size and
+    broadcasts it only while it is small."""
+    coef = cut_lineage(table.select(*keys, "coef"))
+    return df.join(coef, list(keys), "left").withColumn(out, linear_prediction(F.col("coef"), cols)).drop("coef")
+
+
+def risk_quartiles(df: DataFrame, risk: str, order: Sequence[str], name: str = "tier") -> DataFrame:
+    """Quarter 0..3 of each row by the rank of ``risk`` over all rows (missing counts as 0), ties by ``order``."""
+    d = df.withColumn("_risk", F.coalesce(F.nanvl(F.col(risk).cast("double"), F.lit(0.0)), F.lit(0.0)))
+    d = index_rows(d, [], ["_risk", *order], "_risk", "_rank", "_rows")
+    quarter = sum((4 * F.col("_rank") > j * (F.col("_rows") - 1)).cast("int") for j in (1, 2, 3))
+    return d.withColumn(name, quarter).drop("_risk", "_rank", "_rows")
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def recalibrate(train: pd.Series, coef: pd.Series, alpha: pd.Series, min_rows: pd.Series) -> pd.Series:
+    """Coefficients of c + a * model, the ridge of the target on the model's own prediction, out of the same moments."""
+    out = []
+    for v, w, a, least in zip(train, coef, alpha, min_rows):
+        w = np.asarray(w, float)
+        n, s, p = _unpack(np.asarray(v, float))
+        if n < least:
+            out.append(w.tolist())
+            continue
+        x = w[:-1]
+        g = p - np.outer(s, s) / n  # centred: predictions differ little beside their size
+        slope = (x @ g[:-1, -1]) / (x @ g[:-1, :-1] @ x + a)
+        out.append([*(slope * x), (s[-1] - slope * (s[:-1] @ x)) / n])
+    return pd.Series(out)
+
+
+def recalibrated_ridge(
+    df: DataFrame, cols: Sequence[str], target: str, fold: str, tier: str, alpha: float = 1.66, second: float = 10.0,
+    min_rows: int = 1000, positive: bool = True, out: str = "stack",
+) -> DataFrame:
+    """One out-of-fold ridge for all tiers, then a line on its predictions per tier, both fitted on the other folds only.
+
+    Tiers with fewer than ``min_rows`` training rows keep the first stage. Both stages come from one aggregation of the
+    rows by (tier, fold): sums over predictions follow from the sums over members.
+    """
+    size = len(cols) + 1
+    m = cut_lineage(moments(df, cols, target, [tier, fold]))
+    sums = [c for c in m.columns if c.startswith("_")]
+    whole = m.groupBy(fold).agg(*[F.sum(c).alias(c) for c in sums])
+    use = F.array(*[F.lit(True)] * len(cols))
+    first = train_and_test(whole, [], fold, size).select(
+        fold, fit_ridge("train", "train", use, F.lit(float(alpha)), F.lit(positive))["coef"].alias("_first"))
+    # every tier meets every fold, also one in which it has no complete row
+    blank = m.select(tier).distinct().crossJoin(m.select(fold).distinct())  # tiers x folds rows
+    full = blank.join(m, [tier, fold], "left").fillna(0.0, sums)
+    table = train_and_test(full, [tier], fold, size).join(first, fold)
+    return with_stack(df, table.withColumn("coef", recalibrate("train", "_first", F.lit(float(second)), F.lit(min_rows))), cols, [tier, fold], out)
+
+
+def huber_ridge(
+    df: DataFrame, cols: Sequence[str], target: str, fold: str, keys: Sequence[str] = (), delta: float = 8.0, alpha: float = 1.66,
+    rounds: int = 20, tol: float = 1e-9, positive: bool = False, out: str = "stack",
+) -> DataFrame:
+    """Out-of-fold ridge under Huber's loss (quadratic up to ``delta``, linear beyond), fitted apart for each of ``keys``.
+
+    Each round weighs a row by min(1, delta / |residual|) of every model that learns from it and sums weighted products
+    per (key, model), map-side combined: rows are read once a round and never shuffled but for the sums. The rounds end
+    when no coefficient moves by more than ``tol`` of the largest, or after ``rounds``. Rows with a member or target that
+    is not finite are not learned from.
+    """
+    names = [*cols, target]
+    ok = F.lit(True)
+    for c in names:
+        ok = ok & is_finite(F.col(c))
+    rows = df.where(ok).select(*keys, F.col(fold).alias("_fold"), *[F.col(c).cast("double").alias(c) for c in names])
+    models = [r[0] for r in df.select(fold).where(F.col(fold).isNotNull()).distinct().collect()]  # one row per fold
+    kind = df.schema[fold].dataType
+    others = F.explode(F.filter(F.array(*[F.lit(f).cast(kind) for f in models]), lambda f: f != F.col("_fold")))
+    rows = cut_lineage(rows.withColumn(fold, others))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    at = [*keys, fold]
+    use = F.array(*[F.lit(True)] * len(cols))
+    coef = None
+    for _ in range(rounds + 1):
+        if coef is None:
+            d = rows.withColumn("_w", F.lit(1.0))
+        else:
+            r = F.abs(linear_prediction(F.col("coef"), cols) - F.col(target))
+            d = rows.join(coef, at).withColumn("_w", F.when(r <= delta, 1.0).otherwise(delta / r))
+        w = F.col("_w")
+        m = d.groupBy(*at).agg(
+            F.sum(w).alias("_n"), *[F.sum(w * F.col(c)).alias(f"_s{i}") for i, c in enumerate(names)],
+            *[F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"_p{i}_{j}") for i, j in pairs])
+        train = m.select(*at, packed_moments(m, len(names)).alias("_t"))
+        new = cut_lineage(train.select(*at, fit_ridge("_t", "_t", use, F.lit(float(alpha)), F.lit(positive))["coef"].alias("coef")))
+        if coef is not None:
+            moved = new.join(coef.withColumnRenamed("coef", "_old"), at).select(
+                F.array_max(F.zip_with("coef", "_old", lambda a, b: F.abs(a - b))).alias("d"), F.array_max(F.transform("coef", F.abs)).alias("m"))
+            top = moved.agg(F.max(F.col("d") - tol * F.col("m")).alias("d")).first()["d"]  # one row
+            if top is None or top <= 0:
+                return with_stack(df, new, cols, at, out)
+        coef = new
+    return with_stack(df, coef, cols, at, out)
 
 
 def search_score(table: DataFrame, keys: Sequence[str] = ("subset", "alpha")) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,7 +160,12 @@ def group_folds(spark: SparkSession, sf: str) -> DataFrame:
     return folds(spark, sf)
 
 
-@query("d32_spatial_folds", None)
+def sql_hash_fold(text: str, k: int) -> str:
+    return f"CAST(('0x' || substr(md5({text}), 1, 8))::BIGINT % {k} AS INTEGER)"
+
+
+@query("d32_spatial_folds", f"""WITH {BANK_SQL} SELECT owner, {sql_hash_fold("CAST(cx AS BIGINT) || ',' || CAST(cy AS BIGINT)", 5)} AS fold FROM
+ (SELECT owner, floor(avg(px) / 0.05) AS cx, floor(avg(py) / 0.05) AS cy FROM bank GROUP BY owner)""")
 def spatial_folds(spark: SparkSession, sf: str) -> DataFrame:
     return D.spatial_folds(bank(spark, sf), "owner", "px", "py", 0.05, 5)
 
@@ -216,6 +223,41 @@ def risk_interactions(spark: SparkSession, sf: str) -> DataFrame:
     return shown(D.oof_ridge(d, [*STACK, *[f"{c}_x" for c in STACK]], "value", "fold", positive=False), [*K, "fold"], ["stack"])
 
 
+QUARTERS_SQL = f"""{STACK_SQL}, rn AS (SELECT *, row_number() OVER (ORDER BY abs(lag1 - lag2), user_id, row_idx) - 1 AS r, count(*) OVER () - 1 AS z FROM sr),
+ti AS (SELECT *, (4 * r > z)::INT + (4 * r > 2 * z)::INT + (4 * r > 3 * z)::INT AS tier FROM rn)"""
+
+
+@query("d35_quartile_tiers", f"""WITH {QUARTERS_SQL}, {sql_moments(STACK, 'value', 'ti JOIN fs ON fold <> f', 'f, tier')}, {sql_subsets(4, [1.66], 'f, tier')},
+best AS (SELECT * FROM sub QUALIFY row_number() OVER (PARTITION BY f, tier ORDER BY gain DESC) = 1)
+SELECT user_id, row_idx, fold, tier, {sql_rounded(sql_prediction(STACK))} AS stack FROM ti JOIN best ON fold = f AND ti.tier = best.tier JOIN mo ON mo.f = fold AND mo.tier = ti.tier""".replace("fold, tier, round", "fold, ti.tier, round"))
+def quartile_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """Four ridges of four members, one per quarter of the rows by the spread of two members."""
+    d = stack_rows(spark, sf).withColumn("risk", F.abs(F.col("lag1") - F.col("lag2")))
+    d = cut_lineage(D.risk_quartiles(d, "risk", K))
+    return shown(D.oof_ridge(d, STACK, "value", "fold", ["tier"]), [*K, "fold", "tier"], ["stack"])
+
+
+def recalibrated_sql(tiers: str) -> str:
+    return f"""WITH {tiers}, {sql_moments(STACK, 'value', 'ti JOIN fs ON fold <> f')}, {sql_subsets(4, [1.66])}, best AS (SELECT * FROM sub QUALIFY row_number() OVER (PARTITION BY f ORDER BY gain DESC) = 1),
+fi AS (SELECT ti.*, best.f, {sql_prediction(STACK)} AS base FROM ti CROSS JOIN best JOIN mo USING (f)),
+ca AS (SELECT f, tier, count(*) AS n, covar_pop(base, value) * count(*) / (var_pop(base) * count(*) + 10) AS a, avg(base) AS mb, avg(value) AS mv FROM fi WHERE fold <> f GROUP BY f, tier)
+SELECT user_id, row_idx, fold, fi.tier, {sql_rounded('CASE WHEN n >= 1000 THEN mv + a * (base - mb) ELSE base END')} AS stack FROM fi JOIN ca ON fi.f = ca.f AND fi.tier = ca.tier WHERE fold = fi.f"""
+
+
+@query("d35_recalibrated_sides", recalibrated_sql(f"{STACK_SQL}, ti AS (SELECT *, (row_idx >= 30)::INT AS tier FROM sr)"))
+def recalibrated_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """One ridge, then a line on its predictions for the near and the far rows."""
+    d = stack_rows(spark, sf).withColumn("tier", F.when(F.col("row_idx") >= 30, 1).otherwise(0))
+    return shown(D.recalibrated_ridge(d, STACK, "value", "fold", "tier"), [*K, "fold", "tier"], ["stack"])
+
+
+@query("d35_recalibrated_quartiles", recalibrated_sql(QUARTERS_SQL))
+def recalibrated_quartiles(spark: SparkSession, sf: str) -> DataFrame:
+    d = stack_rows(spark, sf).withColumn("risk", F.abs(F.col("lag1") - F.col("lag2")))
+    d = cut_lineage(D.risk_quartiles(d, "risk", K))
+    return shown(D.recalibrated_ridge(d, STACK, "value", "fold", "tier"), [*K, "fold", "tier"], ["stack"])
+
+
 @query("d36_subset_alpha_search", f"""WITH {STACK_MOMENTS}, {sql_subsets(4, [0.5, 1.66, 10.0, 100.0])},
 best AS (SELECT u.mask AS whole, sub.* FROM sub JOIN (SELECT unnest(generate_series(1, 15)) AS mask) u ON (sub.mask & u.mask) = sub.mask QUALIFY row_number() OVER (PARTITION BY u.mask, f, alpha ORDER BY gain DESC) = 1)
 SELECT CAST(whole - 1 AS INTEGER) AS subset, alpha, CAST(count(*) AS BIGINT) AS n, {sql_rounded(f"sqrt(avg(pow({sql_prediction(STACK)} - value, 2)))")} AS rmse FROM sr JOIN best ON fold = f JOIN mo USING (f) GROUP BY whole, alpha""")
@@ -252,6 +294,29 @@ def target_transforms(spark: SparkSession, sf: str) -> DataFrame:
     return shown(d.groupBy((F.col("row_idx") >= 30).alias("far")).agg(F.count(F.lit(1)).alias("n"), M.rmse(e).alias("rmse")), ["far", "n"], ["rmse"])
 
 
+HUBER_ROUNDS = 6
+
+
+def huber_sql() -> str:
+    cte = ["co0 AS (SELECT f, tier, 0 AS a, 0 AS mx, 0 AS my FROM ti JOIN fs ON fold <> f GROUP BY f, tier)"]
+    for i in range(HUBER_ROUNDS + 1):
+        r = f"abs(co{i}.my + co{i}.a * (mean3 - co{i}.mx) - value)"
+        w = f"CASE WHEN {r} <= 8 THEN 1.0::DOUBLE ELSE 8 / {r} END" if i else "1.0::DOUBLE"
+        cte.append(f"""wt{i} AS (SELECT fs.f, ti.tier, mean3 - 50 AS x, value - 50 AS y, {w} AS w FROM ti JOIN fs ON fold <> f JOIN co{i} ON co{i}.f = fs.f AND co{i}.tier = ti.tier),
+co{i + 1} AS (SELECT f, tier, (sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / (sum(w * x * x) - sum(w * x) * sum(w * x) / sum(w) + 1.66) AS a, 50 + sum(w * x) / sum(w) AS mx, 50 + sum(w * y) / sum(w) AS my FROM wt{i} GROUP BY f, tier)""")
+    c = f"co{HUBER_ROUNDS + 1}"
+    return f"""WITH {STACK_SQL}, ti AS (SELECT *, (row_idx >= 30)::INT AS tier FROM sr), {', '.join(cte)}
+SELECT user_id, row_idx, fold, ti.tier, {sql_rounded('my + a * (mean3 - mx)')} AS stack FROM ti JOIN {c} ON fold = f AND ti.tier = {c}.tier"""
+
+
+@query("d38_huber_near_far", huber_sql())
+def huber_near_far(spark: SparkSession, sf: str) -> DataFrame:
+    """Huber's loss with a bend at 8, near and far rows fitted apart; a fixed number of reweightings, which SQL can follow."""
+    d = stack_rows(spark, sf).withColumn("tier", F.when(F.col("row_idx") >= 30, 1).otherwise(0))
+    d = D.huber_ridge(d, ["mean3"], "value", "fold", ["tier"], 8.0, rounds=HUBER_ROUNDS, tol=0.0)
+    return shown(d, [*K, "fold", "tier"], ["stack"])
+
+
 @query("d42_oof_collection", f"""WITH {FC_SQL} SELECT user_id, row_idx, {sql_rounded('value')} AS target, {sql_rounded('lag1')} AS lag1, {sql_rounded('lag2')} AS lag2, {sql_rounded('mean3')} AS mean3, {sql_rounded('flat')} AS flat FROM fc""")
 def oof_collection(spark: SparkSession, sf: str) -> DataFrame:
     """Long member predictions gathered into one column per member (known names, so no extra pass)."""
@@ -285,11 +350,26 @@ def feature_doses(spark: SparkSession, sf: str) -> DataFrame:
     return shown(t.withColumn("features", F.get(names, F.col("subset"))), ["features", "n"], ["rmse"])
 
 
-@query("d45_group_holdout", None)
+HOLDOUT_SQL = f"""{STACK_SQL}, hd AS (SELECT *, {sql_hash_fold("user_id || ',11'", 5)} = 0 AS held FROM sr), {sql_moments(STACK, 'value', 'hd JOIN fs ON fold <> f WHERE NOT held')}, {sql_subsets(4, [0.5, 1.66, 10.0, 100.0])},
+fit AS (SELECT * FROM sub QUALIFY row_number() OVER (PARTITION BY f, alpha ORDER BY gain DESC) = 1),
+rank AS (SELECT alpha, avg(pow({sql_prediction(STACK)} - value, 2)) AS e FROM hd JOIN fit ON fold = f JOIN mo USING (f) WHERE NOT held GROUP BY alpha),
+best AS (SELECT arg_min(alpha, struct_pack(e := e, a := alpha)) AS best FROM rank), fac AS (SELECT unnest([1.0, 1.25, 1.4]::DOUBLE[]) AS factor)"""
+
+
+def holdout_sql() -> str:
+    solve = sql_subsets(4, [0.0], "factor").replace("CROSS JOIN (SELECT unnest([0.0]::DOUBLE[]) AS alpha)", "JOIN (SELECT factor, best * factor AS alpha FROM fac, best) USING (factor)")
+    for old in ("mo", "sub", *[f"s{m}" for m in range(1, 16)], *[f"s{m}_{n}" for m in range(1, 16) for n in range(5)]):
+        solve = re.sub(rf"\b{old}\b", f"{old}h", solve)
+    return f"""WITH {HOLDOUT_SQL}, {sql_moments(STACK, 'value', 'hd CROSS JOIN fac WHERE NOT held', 'factor', 'moh')}, {solve},
+win AS (SELECT * FROM subh QUALIFY row_number() OVER (PARTITION BY factor ORDER BY gain DESC) = 1)
+SELECT {sql_rounded('any_value(factor)')} AS factor, {sql_rounded('any_value(alpha)')} AS alpha, {sql_rounded(f"sqrt(avg(pow({sql_prediction(STACK)} - value, 2)))")} AS rmse FROM hd CROSS JOIN win JOIN moh USING (factor) WHERE held GROUP BY win.factor"""
+
+
+@query("d45_group_holdout", holdout_sql())
 def group_holdout(spark: SparkSession, sf: str) -> DataFrame:
     """A fifth of the groups held out by hash; inner folds rank the penalties, factors on the best one are scored on the
     holdout."""
-    held = F.pmod(F.xxhash64("user_id", F.lit(11)), F.lit(5)) == 0
+    held = D.hash_fold(F.concat_ws(",", F.col("user_id").cast("string"), F.lit("11")), 5) == 0
     d = cut_lineage(stack_rows(spark, sf).withColumn("held", held).select("user_id", "value", "fold", "held", *STACK))
     inner = D.search_score(D.ridge_table(d.where(~F.col("held")), STACK, "value", "fold", (), [0.5, 1.66, 10.0, 100.0]), ["alpha"])
     best = inner.agg(F.min_by("alpha", F.struct("rmse", "alpha")).alias("best"))
