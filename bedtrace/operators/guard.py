@@ -12,6 +12,8 @@ from bedtrace.operators.cells import with_group_stats
 from bedtrace.operators.interp import interp_join
 from bedtrace.operators.metrics import best_and_second, rmse
 from bedtrace.operators.quantiles import grouped_quantiles
+from bedtrace.operators.robust import polynomial_candidates
+from bedtrace.session import cut_lineage
 
 # Fixed values of the three move profiles.
 PROFILES = {
@@ -73,6 +75,72 @@ def simple_candidates(cuts: DataFrame, keys: Sequence[str], x: str, y: str, pos:
         *keys, pos, "truth", "_c.name", "_c.pred")
 
 
+def others_mean(df: DataFrame, group: str, slot: Sequence[str], value: str, out: str) -> DataFrame:
+    """Mean ``value`` of all other groups in the same slot; null where no other group has one. Own rows never count.
+
+    Sums per (group, slot) and per slot are joined, rows are not paired.
+    """
+    own = df.where(F.col(value).isNotNull()).groupBy(group, *slot).agg(F.sum(value).alias("_os"), F.count(value).alias("_on"))
+    whole = own.groupBy(*slot).agg(F.sum("_os").alias("_s"), F.sum("_on").alias("_n"))
+    d = df.join(whole, list(slot), "left").join(own, [group, *slot], "left")
+    n = F.col("_n") - F.coalesce("_on", F.lit(0))
+    mean = F.when(n > 0, (F.col("_s") - F.coalesce("_os", F.lit(0.0))) / n)
+    return d.withColumn(out, mean).drop("_s", "_n", "_os", "_on")
+
+
+def others_line(df: DataFrame, group: str, x: str, value: str, out: str) -> DataFrame:
+    """Value at ``x`` of the straight line through the points of all other groups, out of sums per group; null without one."""
+    one = df.agg(F.avg(F.when(F.col(value).isNotNull(), F.col(x))).alias("_x0"))  # one row: keeps the sums of squares small
+    d = df.crossJoin(F.broadcast(one)).withColumn("_xc", F.when(F.col(value).isNotNull(), F.col(x) - F.col("_x0")))
+    xc, y = F.col("_xc"), F.col(value)
+    sums = {"_n": F.count(xc).cast("double"), "_sx": F.sum(xc), "_sy": F.sum(F.when(xc.isNotNull(), y)), "_xx": F.sum(xc * xc), "_xy": F.sum(xc * y)}
+    own = cut_lineage(d.groupBy(group).agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in sums.items()]))
+    total = own.agg(*[F.sum(n).alias(f"{n}_t") for n in sums])
+    rest = own.crossJoin(F.broadcast(total)).select(group, *[(F.col(f"{n}_t") - F.col(n)).alias(n) for n in sums])  # one row
+    spread = F.col("_xx") - F.try_divide(F.col("_sx") * F.col("_sx"), F.col("_n"))
+    slope = F.try_divide(F.col("_xy") - F.try_divide(F.col("_sx") * F.col("_sy"), F.col("_n")), F.when(spread > 1e-9, spread))
+    line = rest.select(group, slope.alias("_a"), F.try_divide(F.col("_sy") - slope * F.col("_sx"), F.col("_n")).alias("_b"))
+    return d.join(line, group, "left").withColumn(out, F.col("_b") + F.col("_a") * (F.col(x) - F.col("_x0"))).drop("_x0", "_xc", "_a", "_b")
+
+
+def shifted_candidates(cuts: DataFrame, keys: Sequence[str], y: str, estimates: Sequence[str], signals: Sequence[str] = (),
+                       pos: str = "row_idx") -> DataFrame:
+    """Candidates on the holdout of each (group, cut), fitted on its prefix only. Long rows (keys, pos, truth, name, pred).
+
+    ``estimates`` are columns in the unit of ``y``, moved by their mean difference on the prefix. ``signals`` are columns of
+    another unit, calibrated by the prefix's line of ``y`` on them. The name of a candidate is that of its column.
+    """
+    p = F.col("in_prefix")
+    py = F.when(p, F.col(y))
+    fits = [F.avg(py - F.col(c)).alias(f"_s{i}") for i, c in enumerate(estimates)]
+    for i, c in enumerate(signals):
+        fits += [F.regr_slope(py, F.col(c).cast("double")).alias(f"_a{i}"), F.regr_intercept(py, F.col(c).cast("double")).alias(f"_b{i}")]
+    made = [(c, F.col(c) + F.col(f"_s{i}")) for i, c in enumerate(estimates)]
+    made += [(c, F.col(f"_a{i}") * F.col(c) + F.col(f"_b{i}")) for i, c in enumerate(signals)]
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("pred")) for n, v in made]))
+    d = cuts.where(~p).join(cuts.groupBy(*keys).agg(*fits), list(keys)).select(*keys, pos, F.col(y).alias("truth"), named.alias("_c"))
+    return d.select(*keys, pos, "truth", "_c.name", "_c.pred")
+
+
+def polynomial_cut_candidates(cuts: DataFrame, group: str, x: str, y: str, tails: Sequence[int | None], degrees: Sequence[int],
+                              solves: int = 6, pos: str = "row_idx") -> DataFrame:
+    """Polynomials fitted to the last rows of each prefix, read off on its holdout. (group, cut) is fitted as one key."""
+    gc = F.struct(group, "cut")
+    d = cuts.withColumn("_gc", gc)
+    p = polynomial_candidates(d.withColumn(y, F.when(F.col("in_prefix"), F.col(y))), "_gc", x, y, "in_prefix", tails, degrees, solves=solves, pos=pos)
+    p = p.select(F.col(f"_gc.{group}").alias(group), F.col("_gc.cut").alias("cut"), pos, F.regexp_replace("name", "^poly_deg", "poly_").alias("name"), "pred")
+    hold = cuts.where(~F.col("in_prefix")).select(group, "cut", pos, F.col(y).alias("truth"))
+    return hold.join(p, [group, "cut", pos]).select(group, "cut", pos, "truth", "name", "pred")
+
+
+def enough_values(candidates: DataFrame, keys: Sequence[str], least: int = 20, share: float = 0.05) -> DataFrame:
+    """Candidates of a key with too few finite values on its holdout go: fewer than ``least`` or than that ``share`` of rows."""
+    ok = F.count_if(is_finite(F.col("pred"))).alias("_ok")
+    n = candidates.groupBy(*keys, "name").agg(ok, F.count(F.lit(1)).alias("_n")).where(
+        (F.col("_ok") >= least) & (F.col("_ok") >= F.floor(F.col("_n") * share))).select(*keys, "name")
+    return candidates.join(n, [*keys, "name"], "left_semi").select(*candidates.columns)
+
+
 def prefix_report(candidates: DataFrame, group: str, default: str, lead: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """Backtest report per group and per (group, cut) from long holdout predictions with ``truth``.
 
