@@ -94,9 +94,18 @@ def match_ensemble(matches: Sequence[DataFrame], group: str, pos: str = "row_idx
     return allm.groupBy(group, pos).agg((F.sum(w * F.col("match_value")) / (F.sum(w) + 1e-9)).alias("match_ensemble"), F.max("match_score").alias("best_score"))
 
 
-def shift_scan(profile: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Mean squared mismatch per group and offset, with a flag on local minima (few offsets per group)."""
-    j = profile.where(F.col("mismatch").isNotNull()).groupBy(*group, "offset").agg(F.avg(F.col("mismatch") * F.col("mismatch")).alias("cost"))
+def shift_scan(profile: DataFrame, group: Sequence[str], digits: int | None = None) -> DataFrame:
+    """Mean squared mismatch per group and offset, with a flag on local minima (few offsets per group).
+
+    With ``digits`` every square is first rounded to that many decimals and the sum is exact: it does not hang on the
+    order of the rows, so equal costs are equal and none of them is a minimum.
+    """
+    square = F.col("mismatch") * F.col("mismatch")
+    cost = F.avg(square)
+    if digits is not None:
+        whole = F.floor(square * 10.0**digits + 0.5).cast("decimal(28,0)")
+        cost = F.sum(whole).cast("double") / F.count(F.lit(1)) / 10.0**digits
+    j = profile.where(F.col("mismatch").isNotNull()).groupBy(*group, "offset").agg(cost.alias("cost"))
     w = Window.partitionBy(*group).orderBy("offset")
     low = (F.col("cost") < F.coalesce(F.lag("cost").over(w), F.lit(float("inf")))) & (F.col("cost") < F.coalesce(F.lead("cost").over(w), F.lit(float("inf"))))
     return j.withColumn("is_minimum", low)
