@@ -3,26 +3,32 @@
 The join never pairs every query with every point. The bank is described by a tree of square cells (point counts per
 level, built with one aggregation). Query cells walk down that tree together, one join per level, keeping only the bank
 cells that can still hold one of the k nearest points; the surviving cells, each at most ``leaf`` points large, are then
-joined with the queries. Nothing is dropped that could matter, so the result is exact.
+brought to the queries in tiles of bounded size. Distances exist only inside a task, which gives back k points per query.
+Nothing is dropped that could matter, so the result is exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bedtrace.functions.columns import array_sum
 from bedtrace.operators.cells import index_rows
 from bedtrace.operators.quantiles import grouped_quantiles
 from bedtrace.operators.sequence import even_sample
-from bedtrace.session import cut_lineage
+from bedtrace.session import bounded_batches, cut_lineage
 
 LEAF = 128
 DEEPEST = 52  # the bits of a double: below this level the places of two points in the square are the same number
 LEVELS = 4  # of the tree in one pass over the points that are still in full cells
+PLACE = ["_sp", "gl", "gx", "gy"]  # the cell in which queries are worked on
+TILE, CHUNK, PACK, ROWS = 1024, 1024, 8192, 128  # points of a query cell, queries and points of a tile, queries at a time
 
 
 def _trim_copies(bank: DataFrame, k: int) -> DataFrame:
@@ -81,15 +87,16 @@ def knn_join(
     tree, homes = _cell_tree(pts, leaf)
     depth = tree.agg(F.max("lv")).first()[0] or 0  # one number
 
-    # All query cells walk down the tree together.
+    # Queries are worked on by cell of the tree; all query cells walk down the tree together.
     asks = asks.join(frame, "_sp").withColumns({"_qx": F.col("query_x") / F.col("_sx"), "_qy": F.col("query_y") / F.col("_sy")})
     asks = asks.withColumns({
-        "gx": _cell(F.col("_qx"), F.col("_x0"), F.col("_size"), depth),
-        "gy": _cell(F.col("_qy"), F.col("_y0"), F.col("_size"), depth)})
-    unit = F.col("_size") / F.lit(2.0**depth)
-    cells = asks.select("_sp", "gx", "gy", "_x0", "_y0", "_size").distinct().withColumns({
+        "_fx": _cell(F.col("_qx"), F.col("_x0"), F.col("_size"), depth),
+        "_fy": _cell(F.col("_qy"), F.col("_y0"), F.col("_size"), depth)}).drop("_x0", "_y0", "_size", "_qx", "_qy")
+    cells = _query_cells(asks, tree, depth)
+    unit = F.col("_size") / F.pow(F.lit(2.0), F.col("gl"))
+    reach = cells.select(*PLACE, "_chunks").distinct().join(frame.drop("_sx", "_sy"), "_sp").withColumns({
         "_ax": F.col("_x0") + F.col("gx") * unit, "_ay": F.col("_y0") + F.col("gy") * unit, "_u": unit})
-    reach = cells.join(tree.where("lv = 0").drop("px", "py").withColumn("_most", F.col("m")), "_sp")
+    reach = reach.join(tree.where("lv = 0").drop("px", "py").withColumn("_most", F.col("m")), "_sp")
     for level in range(depth):
         stay = reach.where(F.col("is_leaf"))
         kids = tree.where(F.col("lv") == level + 1).select("_sp", F.col("px").alias("cx"), F.col("py").alias("cy"),
@@ -99,12 +106,19 @@ def knn_join(
         reach = _still_possible(stay.unionByName(down), k)
         if level % 2 == 1 and level < depth - 1:
             reach = cut_lineage(reach)
-    reach = cut_lineage(reach.select("_sp", "gx", "gy", "lv", "cx", "cy"))
+    # the leaves of a query cell are taken together up to PACK points, so one tile is bounded whatever the reach
+    before = Window.partitionBy(*PLACE).orderBy("lv", "cx", "cy").rowsBetween(Window.unboundedPreceding, -1)
+    reach = cut_lineage(reach.select(*PLACE, "_chunks", "lv", "cx", "cy", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / PACK).alias("_pack")))
 
-    pairs = asks.join(reach, ["_sp", "gx", "gy"]).join(homes, ["_sp", "lv", "cx", "cy"])
-    if query_owner and bank_owner:
-        pairs = pairs.where(~F.col(query_owner).eqNullSafe(F.col("_bo")))
-    return _neighbour_rows(pairs, query_key, space, values, k)
+    both_owned = bool(query_owner and bank_owner)
+    leaves = homes.groupBy("_sp", "lv", "cx", "cy").agg(F.collect_list(F.struct("_bid", "_ux", "_uy", *(["_bo"] if both_owned else []), *values)).alias("_pts"))
+    near = reach.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))).join(leaves, ["_sp", "lv", "cx", "cy"])
+    near = near.select(*PLACE, "_chunk", "_pack", "_pts").repartition(*PLACE, "_chunk")
+    near = near.groupBy(*PLACE, "_chunk", "_pack").agg(F.sort_array(F.flatten(F.collect_list("_pts"))).alias("_pts"))
+    asks = asks.join(cells, ["_sp", "_fx", "_fy"]).withColumn("_chunk", F.pmod(F.xxhash64(*query_key), F.col("_chunks")))
+    asked = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(query_key)], "query_x", "query_y", *([F.col(query_owner).alias("_qo")] if both_owned else []))
+    asks = asks.groupBy(*PLACE, "_chunk").agg(F.collect_list(asked).alias("_asks"), F.first("_sx").alias("_sx"), F.first("_sy").alias("_sy"))
+    return _neighbour_rows(asks.join(near, [*PLACE, "_chunk"]), query_key, space, values, k, both_owned)
 
 
 def _frame(pts: DataFrame, asks: DataFrame, scaled: bool) -> DataFrame:
@@ -167,7 +181,7 @@ def _still_possible(reach: DataFrame, k: int) -> DataFrame:
     far_x = F.greatest(F.abs(left + side - F.col("_ax")), F.abs(F.col("_ax") + F.col("_u") - left))
     far_y = F.greatest(F.abs(low + side - F.col("_ay")), F.abs(F.col("_ay") + F.col("_u") - low))
     r = reach.withColumns({"_near": F.hypot(gap_x, gap_y), "_far": F.hypot(far_x, far_y)})
-    per_cell = Window.partitionBy("_sp", "gx", "gy")
+    per_cell = Window.partitionBy(*PLACE)
     upto = per_cell.orderBy("_far", "lv", "cx", "cy").rowsBetween(Window.unboundedPreceding, 0)
     # Whoever owns the query: a cell holds at least n - m foreign points, and all cells so far at least sum(n) - most.
     enough = (F.sum(F.col("n") - F.col("m")).over(upto) >= k) | (F.sum("n").over(upto) >= F.col("_most") + k)
@@ -178,26 +192,101 @@ def _still_possible(reach: DataFrame, k: int) -> DataFrame:
     return r.where(F.col("_ub").isNull() | (F.col("_near") <= F.col("_ub") + margin)).drop("_near", "_far", "_ok", "_ub")
 
 
-def _neighbour_rows(pairs: DataFrame, query_key: Sequence[str], space: Sequence[str], values: Sequence[str], k: int) -> DataFrame:
-    dx, dy = F.col("_qx") - F.col("_bx"), F.col("_qy") - F.col("_by")
-    d = pairs.withColumn("dist", F.sqrt(dx * dx + dy * dy))
-    w = Window.partitionBy(*query_key, *space).orderBy("dist", "_bid")
-    d = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return d.select(*query_key, *space, "query_x", "query_y", F.col("_bid").alias("nb_id"), F.col("_ux").alias("nb_x"),
-                    F.col("_uy").alias("nb_y"), *values, "dist", "rank")
+def _query_cells(asks: DataFrame, tree: DataFrame, depth: int) -> DataFrame:
+    """Per finest cell with queries the cell ``(gl, gx, gy)`` they are worked on in, and into how many ``_chunks`` it is cut.
+
+    That is the first cell on the way down with at most TILE points, or the first without any.
+    """
+    spots = asks.groupBy("_sp", "_fx", "_fy").agg(F.count(F.lit(1)).alias("_c"))
+    way = spots.select("_sp", "_fx", "_fy", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("lv"))
+    way = way.withColumns({"cx": F.expr(f"shiftright(_fx, {depth} - lv)"), "cy": F.expr(f"shiftright(_fy, {depth} - lv)")})
+    small = F.when((F.col("n") <= TILE) | F.col("is_leaf"), F.col("lv"))
+    way = way.join(tree.select("_sp", "lv", "cx", "cy", "n", "is_leaf"), ["_sp", "lv", "cx", "cy"])
+    level = way.groupBy("_sp", "_fx", "_fy").agg(F.coalesce(F.min(small), F.max("lv") + 1).alias("gl"))
+    d = spots.join(level, ["_sp", "_fx", "_fy"])
+    d = d.withColumns({"gx": F.expr(f"shiftright(_fx, {depth} - gl)"), "gy": F.expr(f"shiftright(_fy, {depth} - gl)")})
+    sizes = d.groupBy(*PLACE).agg(F.ceil(F.sum("_c") / CHUNK).alias("_chunks"))
+    return cut_lineage(d.drop("_c").join(sizes, PLACE))
+
+
+def _owner_code(c: Column, kind: T.DataType) -> Column:
+    """Equal for equal owners, nulls included, and never null."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
+        return F.coalesce(c.cast("long"), F.lit(1 << 40))
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+
+
+def _nearest(k: int):
+    """Places of the k nearest points (ordered by id, so that the first of equal ones wins) of every query of a tile."""
+    found = T.ArrayType(T.StructType([T.StructField("q", T.IntegerType()), T.StructField("p", T.IntegerType()), T.StructField("dist", T.DoubleType())]))
+
+    def tile(qx, qy, px, py, qo=None, po=None) -> list[tuple]:
+        if qo is not None:
+            codes = pd.factorize(np.concatenate([np.asarray(qo), np.asarray(po)]))[0]
+            qo, po = codes[: len(qx)], codes[len(qx) :]
+        out = []
+        for lo in range(0, len(qx), ROWS):
+            at = slice(lo, lo + ROWS)
+            dx, dy = qx[at, None] - px, qy[at, None] - py
+            dist = np.sqrt(dx * dx + dy * dy)
+            if qo is not None:
+                dist[qo[at, None] == po] = np.inf
+            edge = np.partition(dist, k - 1, axis=1)[:, k - 1 : k] if dist.shape[1] > k else np.inf
+            q, p = np.nonzero((dist <= edge) & (dist < np.inf))
+            d = dist[q, p]
+            order = np.lexsort((p, d, q))
+            q, p, d = q[order], p[order], d[order]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < k
+            out += zip((q[first] + lo).tolist(), p[first].tolist(), d[first].tolist())
+        return out
+
+    def nearest(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for cols in parts:
+            yield pd.Series([tile(*[np.asarray(c) for c in row]) for row in zip(*cols)], dtype=object)
+
+    return F.pandas_udf(nearest, found)
+
+
+def _neighbour_rows(tiles: DataFrame, query_key: Sequence[str], space: Sequence[str], values: Sequence[str], k: int, owned: bool) -> DataFrame:
+    """The nearest points inside every tile, then the k nearest of them for every query."""
+    bounded_batches(tiles.sparkSession)
+    args = [F.transform("_asks", lambda a: a["query_x"] / F.col("_sx")), F.transform("_asks", lambda a: a["query_y"] / F.col("_sy")),
+            F.transform("_pts", lambda p: p["_ux"] / F.col("_sx")), F.transform("_pts", lambda p: p["_uy"] / F.col("_sy"))]
+    if owned:
+        kinds = [tiles.schema[c].dataType.elementType[f].dataType for c, f in (("_asks", "_qo"), ("_pts", "_bo"))]
+        args += [F.transform("_asks", lambda a: _owner_code(a["_qo"], kinds[0])), F.transform("_pts", lambda p: _owner_code(p["_bo"], kinds[1]))]
+    d = tiles.withColumn("_found", _nearest(k)(*args))
+    hit = F.transform("_found", lambda f: F.struct(F.get("_asks", f["q"]).alias("a"), F.get("_pts", f["p"]).alias("b"), f["dist"].alias("dist")))
+    d = d.select("_sp", F.explode(hit).alias("_h")).select("_sp", "_h.*")
+    d = d.select(*[F.col(f"a.k{i}").alias(c) for i, c in enumerate(query_key)], *[F.col(f"_sp.{c}").alias(c) for c in space], "a.query_x", "a.query_y",
+                 F.col("b._bid").alias("nb_id"), F.col("b._ux").alias("nb_x"), F.col("b._uy").alias("nb_y"), *[F.col(f"b.{c}").alias(c) for c in values], "dist")
+    w = Window.partitionBy(*query_key, *space).orderBy("dist", "nb_id")
+    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def idw(nb: DataFrame, key: Sequence[str], value: str, weight: Column) -> DataFrame:
     """Weighted mean, weighted population std and nearest distance of the (at most k) neighbours of every key."""
-    near = F.collect_list(F.struct(weight.alias("w"), F.col(value).cast("double").alias("v")))
+    return idw_columns(nb, key, {value: ("idw", "idw_std")}, weight)
+
+
+def idw_columns(nb: DataFrame, key: Sequence[str], values: Mapping[str, tuple[str, str]], weight: Column) -> DataFrame:
+    """``idw`` of several columns in one pass: ``{column: (name of the mean, name of the std)}``."""
+    near = F.collect_list(F.struct(weight.alias("w"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(values)]))
     d = nb.groupBy(*key).agg(near.alias("_n"), F.min("dist").alias("nearest"))
-    total = array_sum(F.transform("_n", lambda e: e.w))
-    d = d.withColumns({"_t": total, "_m": F.try_divide(array_sum(F.transform("_n", lambda e: e.w * e.v)), total)})
-    spread = array_sum(F.transform("_n", lambda e: e.w * (e.v - F.col("_m")) * (e.v - F.col("_m"))))
+    d = d.withColumn("_t", array_sum(F.transform("_n", lambda e: e.w)))
+
+    def mean(v: str) -> Column:
+        return F.try_divide(array_sum(F.transform("_n", lambda e: e.w * e[v])), F.col("_t"))
+
+    def spread(v: str, m: str) -> Column:
+        return F.try_divide(array_sum(F.transform("_n", lambda e: e.w * (e[v] - F.col(m)) * (e[v] - F.col(m)))), F.col("_t"))
+
+    d = d.withColumns({f"_m{i}": mean(f"v{i}") for i in range(len(values))})
+    out = []
+    for i, (name, std) in enumerate(values.values()):
+        out += [F.col(f"_m{i}").alias(name), F.sqrt(F.greatest(spread(f"v{i}", f"_m{i}"), F.lit(0.0))).alias(std)]
     # The neighbours are costly to find and callers read this more than once: keep the one row per key.
-    return cut_lineage(d.select(
-        *key, F.col("_m").alias("idw"),
-        F.sqrt(F.greatest(F.try_divide(spread, F.col("_t")), F.lit(0.0))).alias("idw_std"), "nearest"))
+    return cut_lineage(d.select(*key, *out, "nearest"))
 
 
 def plane_fit(nb: DataFrame, key: Sequence[str], surfaces: Sequence[str], weight: Column, ridge: float = 1e-9) -> DataFrame:

@@ -18,7 +18,7 @@ from bedtrace.operators import sequence as S
 from bedtrace.operators.cells import framed, index_rows, with_group_stats
 from bedtrace.operators.interp import interp_join, offset_profile, regrid
 from bedtrace.operators.quantiles import grouped_quantiles
-from bedtrace.operators.spatial import idw, knn_join
+from bedtrace.operators.spatial import idw_columns, knn_join
 from bedtrace.plans.bindings import BANK_SQL, EVENTS_SQL, PARTS_SQL, bank, event_log, events, part_log, table
 from bedtrace.plans.q_ensemble import MEMBERS, members
 from bedtrace.plans.q_interp import GRID, KNOTS, OFFSETS, curve_of, profile
@@ -430,12 +430,9 @@ def surface_channels(spark: SparkSession, sf: str) -> DataFrame:
     """Six neighbour surfaces re-anchored per owner, with confidence and consensus."""
     e = F.col("embedding")
     b = bank(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("pid"), *[e[2 + k].cast("double").alias(f"p{k}") for k in range(1, 6)]), "pid")
-    nb = cut_lineage(knn_join(b, b, 20, ["pid"], ("px", "py"), ("px", "py"), "pid", "owner", "owner", SURFACES))
-    d = b
-    for i, c in enumerate(SURFACES):
-        s = idw(nb, ["pid"], c, 1 / (F.col("dist") + 1e-3))
-        d = d.join(s.select("pid", F.col("idw").alias(f"u{i}"), F.col("idw_std").alias(f"s{i}"), F.col("nearest").alias(f"d{i}")), "pid")
-    out = P.surface_channels(d.withColumn("known", F.col("pid") % 3 == 0), ["owner"], "known", "py", [(f"u{i}", f"s{i}", f"d{i}") for i in range(6)])
+    nb = knn_join(b, b, 20, ["pid"], ("px", "py"), ("px", "py"), "pid", "owner", "owner", SURFACES)
+    d = b.join(idw_columns(nb, ["pid"], {c: (f"u{i}", f"s{i}") for i, c in enumerate(SURFACES)}, 1 / (F.col("dist") + 1e-3)), "pid")
+    out = P.surface_channels(d.withColumn("known", F.col("pid") % 3 == 0), ["owner"], "known", "py", [(f"u{i}", f"s{i}", "nearest") for i in range(6)])
     return shown(out, ["pid"], [*[f"u{i}_conf" for i in range(6)], "surf_median", "surf_std", "surf_best", "surf_gap"])
 
 

@@ -17,6 +17,7 @@ from bedtrace.operators import spatial as X
 from bedtrace.operators.cells import index_rows
 from bedtrace.operators.interp import interp_join
 from bedtrace.operators.sequence import gap_fill
+from bedtrace.session import BATCH_BYTES
 
 
 @pytest.mark.parametrize("leaf", [4, 32])
@@ -59,6 +60,40 @@ def test_a_dense_spot_is_cut_into_small_leaves(spark):
         assert got[got.pid == i].sort_values("rank").nb_id.tolist() == want.tolist()
 
 
+def test_knn_in_many_small_tiles(spark, monkeypatch):
+    """Several chunks of queries and packs of points per cell; a tile gives back k points per query, never its pairs."""
+    for name, n in (("TILE", 64), ("CHUNK", 8), ("PACK", 16), ("ROWS", 5)):
+        monkeypatch.setattr(X, name, n)
+    rng = np.random.default_rng(21)
+    xy = np.concatenate([rng.random((150, 2)), np.repeat([[0.5, 0.5]], 30, 0), 3 + rng.random((60, 2)) * 1e-4])
+    owner = rng.integers(0, 4, len(xy))
+    schema = "pid long, owner int, x double, y double, v double, w double"
+    b = spark.createDataFrame([(i, int(owner[i]), float(x), float(y), float(i % 7), float(i % 5)) for i, (x, y) in enumerate(xy)], schema)
+    nb = X.knn_join(b, b, 6, ["pid"], ("x", "y"), ("x", "y"), "pid", "owner", "owner", ["v", "w"], scaled=False, leaf=8)
+    assert "ArrowEvalPython" in nb._jdf.queryExecution().toString()
+    both = X.idw_columns(nb, ["pid"], {"v": ("v_mean", "v_std"), "w": ("w_mean", "w_std")}, 1 / (F.col("dist") + 1e-3)).toPandas().set_index("pid")
+    got = nb.toPandas().sort_values(["pid", "rank"]).groupby("pid").nb_id.agg(list)
+    for i in range(len(xy)):
+        d = np.sqrt(((xy - xy[i]) ** 2).sum(1))
+        d[owner == owner[i]] = np.inf
+        want = np.lexsort((np.arange(len(xy)), d))[:6]
+        assert got[i] == want.tolist()
+        wt = 1 / (d[want] + 1e-3)
+        assert np.isclose(both.v_mean[i], (wt * (want % 7)).sum() / wt.sum()) and np.isclose(both.w_mean[i], (wt * (want % 5)).sum() / wt.sum())
+
+
+def test_window_match_gives_back_some_tiles_at_a_time(spark, monkeypatch):
+    """The rows Python holds are bounded by OUT_ROWS and the batch size, whatever the number of groups; same result."""
+    rng = np.random.default_rng(8)
+    rows = [(g, i, float(rng.normal()), float(i)) for g in range(12) for i in range(60)]
+    log = spark.createDataFrame(rows, "g long, row_idx long, v double, x double")
+    evals = log.where("row_idx < 9")
+    whole = {(r.g, r.row_idx): tuple(r) for r in L.window_match(log, evals, "g", "v", "x", 3).collect()}
+    assert len(whole) == 12 * 9 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(BATCH_BYTES)
+    monkeypatch.setattr(L, "OUT_ROWS", 4)
+    assert {(r.g, r.row_idx): tuple(r) for r in L.window_match(log, evals, "g", "v", "x", 3, block=5).collect()} == whole
+
+
 def test_knn_fewer_points_than_k(spark):
     b = spark.createDataFrame([(1, 1, 0.0, 0.0), (2, 2, 1.0, 0.0), (3, 2, 9.0, 0.0)], "pid int, owner int, x double, y double")
     got = X.knn_join(b, b, 5, ["pid"], ("x", "y"), ("x", "y"), "pid", "owner", "owner").groupBy("pid").count().collect()
