@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 
 from bedtrace.operators.cells import framed, with_group_stats
 from bedtrace.operators.sequence import rolling
-from bedtrace.session import cut_lineage
+from bedtrace.session import bounded_batches, cut_lineage
 
 BLOCK = 4096
+OUT_ROWS = 1 << 15
 
 
 def _normalised(m: np.ndarray) -> np.ndarray:
@@ -56,31 +57,39 @@ def window_match(
     blocks = sizes.where(fits).select(group, F.floor((F.col("_rows") - 1 - wide) / span).cast("int").alias("_top"))
     tiles = e.join(blocks, group).withColumn("kb", F.explode(F.sequence(F.lit(0), F.col("_top")))).drop("_top").join(k, [group, "kb"])
     tiles = tiles.select(group, "eb", "kb", "e_last", "k_last", F.col("e.p").alias("ep"), F.col("e.v").alias("ev"), F.col("k.v").alias("kv"), F.col("k.w").alias("kw"), F.get("k.p", F.lit(0)).alias("k0"))
-    found = T.ArrayType(T.StructType([T.StructField(pos, T.LongType()), T.StructField("k", T.LongType()), T.StructField("match_value", T.DoubleType()), T.StructField("match_score", T.DoubleType())]))
+    found = T.StructType([tiles.schema[group], T.StructField(pos, T.LongType()), T.StructField("k", T.LongType()), T.StructField("match_value", T.DoubleType()), T.StructField("match_score", T.DoubleType())])
     offsets = np.arange(-half, half + 1)
 
-    def best_of(r) -> list[tuple]:
+    def best_of(r) -> pd.DataFrame | None:
         ep, ev, kv, kw = np.asarray(r.ep), np.asarray(r.ev, float), np.asarray(r.kv, float), np.asarray(r.kw, float)
         at = np.arange(r.eb * block, min((r.eb + 1) * block, r.e_last + 1))
         starts = np.arange(r.kb * span, min((r.kb + 1) * span, r.k_last - wide + 1), stride) - r.k0
-        if not len(starts):
-            return []
+        if not len(starts) or not len(at):
+            return None
         cn = _normalised(kv[starts[:, None] + np.arange(wide + 1)])
-        out = []
+        middle, top = np.empty(len(at), np.int64), np.empty(len(at))
         for lo in range(0, len(at), 512):
             c = at[lo : lo + 512]
             hn = _normalised(ev[np.clip(c[:, None] + offsets, 0, r.e_last) - ep[0]])  # beyond the ends the end values repeat
             score = np.round(hn @ cn.T / (wide + 1), 12)
-            j = score.argmax(1)
-            middle = starts[j] + half
-            out += zip(c.tolist(), (-(middle + r.k0)).tolist(), kw[middle].tolist(), score.max(1).tolist())
-        return out
+            middle[lo : lo + 512], top[lo : lo + 512] = starts[score.argmax(1)] + half, score.max(1)
+        return pd.DataFrame({group: [getattr(r, group)] * len(at), pos: at, "k": -(middle + r.k0), "match_value": kw[middle], "match_score": top})
 
     def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # given back as plain columns, some tiles at a time
         for f in frames:
-            yield pd.DataFrame({group: f[group], "found": [best_of(r) for r in f.itertuples()]})
-
-    best = tiles.mapInPandas(match, T.StructType([tiles.schema[group], T.StructField("found", found)])).select(group, F.explode("found").alias("f")).select(group, "f.*")
+            held, rows = [], 0
+            for r in f.itertuples():
+                if (d := best_of(r)) is not None:
+                    held, rows = [*held, d], rows + len(d)
+                if rows >= OUT_ROWS:
+                    yield pd.concat(held)
+                    held, rows = [], 0
+            if held:
+                yield pd.concat(held)
+
+    bounded_batches(tiles.sparkSession)
+    best = tiles.mapInPandas(match, found)
     top = best.groupBy(group, pos).agg(F.max(F.struct("match_score", "k", "match_value")).alias("b"))
     return top.select(group, pos, "b.match_value", "b.match_score").unionByName(short)
 
