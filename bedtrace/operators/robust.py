@@ -1,12 +1,12 @@
 """Robust polynomial fits per group and piecewise-linear segmentation.
 
-Rows never leave Spark: each pass sums powers per group (map-side combined) and only the small normal equations, one row
-per group, go through numpy.
+Groups that fit one cell are exchanged once and fitted in their task. For larger ones rows never leave Spark: each pass sums
+powers per group (map-side combined) and only the small normal equations, one row per group, go through numpy.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from bedtrace.operators.cells import with_group_stats
 from bedtrace.operators.quantiles import grouped_quantiles
-from bedtrace.session import cell_rows, cut_lineage
+from bedtrace.session import bounded_batches, cell_rows, cut_lineage
 
 BROADCAST_GROUPS = 50_000
 
@@ -83,6 +83,8 @@ def robust_polynomial(
             return d.groupBy(*group).agg(F.percentile(value, F.lit(0.5)).alias(name))
         return grouped_quantiles(d, group, {name: (value, 0.5)})
 
+    if fits_task and solves > 1:
+        return cut_lineage(_fitted_in_task(rows, group, shift, solves, width, centre_residual))
     fit = None
     for i in range(solves):
         d, w2 = rows, F.lit(1.0)
@@ -109,6 +111,33 @@ def robust_polynomial(
     return fit
 
 
+def _fitted_in_task(rows: DataFrame, group: Sequence[str], shift: int, solves: int, width: float, centre: bool) -> DataFrame:
+    """All rounds of ``robust_polynomial`` for groups that fit one cell: their values are exchanged once, not per round."""
+
+    def one(s: np.ndarray, y: np.ndarray, deg: int) -> np.ndarray:
+        powers = s[None, :] ** np.arange(2 * shift, 2 * deg + 1)[:, None]
+        design, w2, at = s[None, :] ** np.arange(shift, deg + 1)[:, None], np.ones(len(s)), np.add.outer(np.arange(deg + 1 - shift), np.arange(deg + 1 - shift))
+        for i in range(solves):
+            a, r = (powers @ w2)[at], design @ (w2 * y)
+            if not (np.isfinite(a).all() and np.isfinite(r).all()):
+                return np.full(len(r), np.nan)
+            coef = np.linalg.lstsq(a, r, rcond=None)[0]
+            if i < solves - 1:
+                res = y - coef @ design
+                sigma = 1.4826 * np.median(np.abs(res - np.median(res) if centre else res)) + 1e-6
+                w2 = 1.0 / np.square(1.0 + np.square(res / (width * sigma)))
+        return coef
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def fitted(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for s, y, deg in parts:
+            yield pd.Series([one(np.asarray(a, float), np.asarray(b, float), int(g)) for a, b, g in zip(s, y, deg)], dtype=object)
+
+    bounded_batches(rows.sparkSession)
+    d = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_s", "_y"))).alias("_v"), F.max("_deg").alias("_d"))
+    return d.select(*group, F.size("_v").cast("long").alias("n"), fitted("_v._s", "_v._y", "_d").alias("coef"))
+
+
 def robust_project(
     df: DataFrame, group: Sequence[str], s: str, y: str, degree: int, solves: int = 5, blend: float | None = 0.75,
     intercept: bool = True, out: str = "projected",
