@@ -12,7 +12,7 @@ from bedtrace.operators.cells import with_group_stats
 from bedtrace.operators.interp import interp_join
 from bedtrace.operators.metrics import best_and_second, rmse
 from bedtrace.operators.quantiles import grouped_quantiles
-from bedtrace.operators.robust import polynomial_candidates
+from bedtrace.operators.robust import polynomial, polynomial_candidates, solve_normal
 from bedtrace.session import cut_lineage
 
 # Fixed values of the three move profiles.
@@ -56,12 +56,17 @@ def prefix_cuts(df: DataFrame, group: str, known: str, fracs: Sequence[float], m
                 min_hold: int = 35, pos: str = "row_idx") -> DataFrame:
     """Known rows repeated per cut, with ``cut`` and ``in_prefix``; the rest of the known rows is the holdout of the cut."""
     k = with_group_stats(df.where(F.col(known)), [group], {"_n": F.count(F.lit(1))}).where(F.col("_n") >= min_known)
-    d = k.withColumn("cut", F.explode(F.array(*[F.lit(float(f)) for f in fracs])))
-    at = F.greatest(F.lit(min_prefix), F.least(F.bround(F.col("_n") * F.col("cut")).cast("long"), F.col("_n") - min_hold))
-    d = d.withColumn("_at", at).where((F.col("_at") > 0) & (F.col("_n") - F.col("_at") >= min_hold))
+    d = _cut_places(k, fracs, min_prefix, min_hold)
     return d.withColumn("in_prefix", F.col(pos) < F.col("_at")).drop("_n", "_at")
 
 
+def _cut_places(df: DataFrame, fracs: Sequence[float], min_prefix: int, min_hold: int) -> DataFrame:
+    """Rows repeated per ``cut``, with its place ``_at`` among the ``_n`` known rows of the group."""
+    d = df.withColumn("cut", F.explode(F.array(*[F.lit(float(f)) for f in fracs])))
+    at = F.greatest(F.lit(min_prefix), F.least(F.bround(F.col("_n") * F.col("cut")).cast("long"), F.col("_n") - min_hold))
+    return d.withColumn("_at", at).where((F.col("_at") > 0) & (F.col("_n") - F.col("_at") >= min_hold))
+
+
 def simple_candidates(cuts: DataFrame, keys: Sequence[str], x: str, y: str, pos: str = "row_idx") -> DataFrame:
     """Three extrapolations of each prefix on its holdout: last value, mean, straight line. Long rows (keys, pos, name, pred)."""
     p = F.col("in_prefix")
@@ -141,14 +146,84 @@ def enough_values(candidates: DataFrame, keys: Sequence[str], least: int = 20, s
     return candidates.join(n, [*keys, "name"], "left_semi").select(*candidates.columns)
 
 
+def pool_errors(
+    df: DataFrame, group: str, known: str, x: str, y: str, fracs: Sequence[float], estimates: Sequence[str], signals: Sequence[str],
+    tails: Sequence[int | None], degrees: Sequence[int], finite: bool = False, min_known: int = 140, min_prefix: int = 50,
+    min_hold: int = 35, min_rows: int = 30, spare: int = 12, least: int = 20, share: float = 0.05, pos: str = "row_idx",
+) -> DataFrame:
+    """Holdout error ``(group, cut, name, err)`` of a pool: last value, mean, ``shifted_candidates``, plain polynomials.
+
+    Cuts are those of ``prefix_cuts``, ``pos`` is dense; candidates go by the rule of ``enough_values``. ``finite`` leaves out
+    errors that are not finite, else only missing ones are.
+
+    Rows are repeated neither per candidate nor per configuration of a fit, and never written per cut: each pass repeats
+    the known rows per cut inside its tasks and adds them up there. What is joined to them is one row per group.
+    """
+    p, v, at, px = F.col(pos), F.col(y).cast("double"), F.col("_at"), F.col(x).cast("double")
+    key, top = [group, "cut"], max(degrees)
+    rows = with_group_stats(df.where(F.col(known)), [group], {"_n": F.count(F.lit(1))}).where(F.col("_n") >= min_known)
+    rows = cut_lineage(rows.select(group, p, px.alias(x), v.alias(y), *[F.col(c).cast("double").alias(c) for c in (*estimates, *signals)], "_n"))
+    inside = [F.lit(True) if t is None else p >= at - t for t in tails]
+    fits = [F.first("_at").alias("_at"), F.max_by(y, F.when(F.col(y).isNotNull(), p)).alias("_last"), F.avg(y).alias("_mean")]
+    fits += [F.avg(F.col(y) - F.col(c)).alias(f"_s{i}") for i, c in enumerate(estimates)]
+    for i, c in enumerate(signals):
+        fits += [F.regr_slope(y, c).alias(f"_a{i}"), F.regr_intercept(y, c).alias(f"_b{i}")]
+    for t, m in enumerate(inside):
+        tx = F.when(m, F.col(x))
+        span = F.max(tx) - F.min(tx)
+        fits += [F.min_by(x, F.when(m, p)).alias(f"_x{t}"), F.when(span < 1e-6, 1.0).otherwise(span).alias(f"_w{t}"), F.count(F.when(m, F.col(y))).alias(f"_n{t}")]
+    fit = cut_lineage(_cut_places(rows, fracs, min_prefix, min_hold).where(p < at).groupBy(*key).agg(*fits))
+
+    def per_cut(table: DataFrame) -> DataFrame:
+        """The rows of each cut beside its row of ``table``."""
+        own = table.groupBy(group).agg(F.collect_list(F.struct(*[c for c in table.columns if c != group])).alias("_f"))  # at most one entry per cut
+        return rows.drop("_n").join(own, group).withColumn("_c", F.explode("_f")).select(*[c for c in rows.columns if c != "_n"], "_c.*")
+
+    def scaled(t: int) -> Column:
+        return (F.col(x) - F.col(f"_x{t}")) / F.col(f"_w{t}")
+
+    scale = [f"_{c}{t}" for t in range(len(tails)) for c in "xw"]
+    d = per_cut(fit.select(*key, "_at", *scale)).where((p < at) & F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = d.select(*key, y, *[F.when(m, scaled(t)).alias(f"_u{t}") for t, m in enumerate(inside)])
+    sums = []
+    for t in range(len(tails)):
+        u, power = F.col(f"_u{t}"), F.when(F.col(f"_u{t}").isNotNull(), F.lit(1.0))
+        for k in range(2 * top + 1):
+            sums += [F.sum(power).alias(f"_p{t}_{k}")] + ([F.sum(power * F.col(y)).alias(f"_t{t}_{k}")] if k <= top else [])
+            power = power * u
+    sums = d.groupBy(*key).agg(*sums)
+    solved = {}
+    for t in range(len(tails)):
+        for g in degrees:
+            coef = solve_normal(F.array(*[F.col(f"_p{t}_{k}") for k in range(2 * g + 1)]), F.array(*[F.col(f"_t{t}_{k}") for k in range(g + 1)]))
+            solved[f"_c{t}_{g}"] = F.when(F.col(f"_n{t}") >= max(min_rows, g + spare), coef)
+    fit = cut_lineage(fit.join(sums, key, "left").select(*fit.columns, *[c.alias(n) for n, c in solved.items()]))
+
+    made = {"last": F.col("_last"), "mean": F.col("_mean")} | {c: F.col(c) + F.col(f"_s{i}") for i, c in enumerate(estimates)}
+    made |= {c: F.col(f"_a{i}") * F.col(c) + F.col(f"_b{i}") for i, c in enumerate(signals)}
+    made |= {f"poly_{g}_tail{'all' if tail is None else tail}": polynomial(F.col(f"_c{t}_{g}"), scaled(t), g) for t, tail in enumerate(tails) for g in degrees}
+    hold = per_cut(fit.drop(*[f"_n{t}" for t in range(len(tails))])).where(p >= at).select(*key, y, *[c.alias(f"_v{i}") for i, c in enumerate(made.values())])
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i in range(len(made)):
+        e = F.col(f"_v{i}") - F.col(y)
+        aggs += [F.count_if(is_finite(F.col(f"_v{i}"))).alias(f"_k{i}"), rmse(F.when(is_finite(e), e) if finite else e).alias(f"_e{i}")]
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_e{i}").alias("err"), F.col(f"_k{i}").alias("_k")) for i, n in enumerate(made)]))
+    d = hold.groupBy(*key).agg(*aggs).select(*key, "_rows", named.alias("_c")).select(*key, "_rows", "_c.*")
+    return d.where(F.col("err").isNotNull() & (F.col("_k") >= least) & (F.col("_k") >= F.floor(F.col("_rows") * share))).select(*key, "name", "err")
+
+
 def prefix_report(candidates: DataFrame, group: str, default: str, lead: float = 0.25) -> tuple[DataFrame, DataFrame]:
-    """Backtest report per group and per (group, cut) from long holdout predictions with ``truth``.
+    """Backtest report per group and per (group, cut) from long holdout predictions with ``truth``."""
+    e = F.col("pred") - F.col("truth")
+    return error_report(candidates.where(is_finite(e)).groupBy(group, "cut", "name").agg(rmse(e).alias("err")), group, default, lead)
+
+
+def error_report(per_cut: DataFrame, group: str, default: str, lead: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """Backtest report per group and per (group, cut) from the holdout error ``err`` of each (group, cut, name).
 
     Score of a candidate: median over cuts + 0.10 population std. Consistency: share of cuts whose best candidate beats
     the default by at least ``lead``.
     """
-    e = F.col("pred") - F.col("truth")
-    per_cut = candidates.where(is_finite(e)).groupBy(group, "cut", "name").agg(rmse(e).alias("err"))
     scores = grouped_quantiles(per_cut, [group, "name"], {"_m": (F.col("err"), 0.5)}).join(
         per_cut.groupBy(group, "name").agg(F.stddev_pop("err").alias("_s")), [group, "name"])
     scores = scores.select(group, "name", (F.col("_m") + 0.10 * F.col("_s")).alias("score"))

@@ -21,17 +21,13 @@ REPORT = ["best_score", "second_score", "default_score", "gain", "rank_margin",
 CALIBRATED = "contact_qty"
 
 
-def pool(spark: SparkSession, sf: str) -> DataFrame:
-    log = part_log(spark, sf).select("well", "x", "row_idx", "known", F.col("price").cast("double").alias("price"), F.col("qty").cast("double").alias(CALIBRATED))
-    log = log.withColumns({"month": F.floor(F.col("x") / 30), "seen": F.when(F.col("known"), F.col("price"))})
-    log = G.others_mean(log, "well", ["month"], "seen", "dense_month")
-    log = cut_lineage(G.others_line(log, "well", "x", "seen", "surface_line"))
-    cuts = cut_lineage(G.prefix_cuts(log, "well", "known", CUTS))
-    keys = ["well", "cut"]
-    parts = [G.simple_candidates(cuts, keys, "x", "price").where("name <> 'slope'"),  # that is poly_1_tailall
-             G.shifted_candidates(cuts, keys, "price", ["dense_month", "surface_line"], [CALIBRATED]),
-             G.polynomial_cut_candidates(cuts, "well", "x", "price", TAILS, DEGREES, solves=1)]
-    return cut_lineage(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+def pool(spark: SparkSession, sf: str, finite: bool = False) -> DataFrame:
+    """Holdout error of every candidate per (supplier, cut). Only known rows are learned from and judged."""
+    log = part_log(spark, sf).where("known").select("well", "x", "row_idx", "known", F.col("price").cast("double").alias("price"), F.col("qty").cast("double").alias(CALIBRATED))
+    log = cut_lineage(log).withColumn("month", F.floor(F.col("x") / 30))
+    log = G.others_mean(log, "well", ["month"], "price", "dense_month")
+    log = G.others_line(cut_lineage(log), "well", "x", "price", "surface_line")
+    return G.pool_errors(log, "well", "known", "x", "price", CUTS, ["dense_month", "surface_line"], [CALIBRATED], TAILS, DEGREES, finite)
 
 
 def poly_sql() -> str:
@@ -70,13 +66,10 @@ rep AS (SELECT *, default_score - best_score AS gain, second_score - best_score
 @query("d23_pool_errors", f"WITH {POOL_SQL} SELECT well, name, {sql_rounded('cut')} AS cut, {sql_rounded('err', 3)} AS err FROM pc")
 def pool_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Holdout error of every candidate of the pool per (supplier, cut)."""
-    c = G.enough_values(pool(spark, sf), ["well", "cut"])
-    e = F.col("pred") - F.col("truth")
-    d = c.where(e.isNotNull()).groupBy("well", "cut", "name").agg(F.sqrt(F.avg(e * e)).alias("err"))
+    d = pool(spark, sf)
     return d.select("well", "name", rounded(F.col("cut")).alias("cut"), rounded(F.col("err"), 3).alias("err"))
 
 
 @query("d23_pool_backtest", f"WITH {POOL_SQL} SELECT {sql_shown(['well', 'cuts', 'candidate_count', 'best_name'], REPORT, 3)} FROM rep")
 def pool_backtest(spark: SparkSession, sf: str) -> DataFrame:
-    c = cut_lineage(G.enough_values(pool(spark, sf), ["well", "cut"]))
-    return shown(G.prefix_report(c, "well", "last")[0], ["well", "cuts", "candidate_count", "best_name"], REPORT, 3)
+    return shown(G.error_report(cut_lineage(pool(spark, sf, finite=True)), "well", "last")[0], ["well", "cuts", "candidate_count", "best_name"], REPORT, 3)

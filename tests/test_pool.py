@@ -72,3 +72,35 @@ def test_pool_finds_the_signal_and_drops_thin_candidates(log):
     assert gone == {(2, 0.8, "signal")}  # 7 of 36 rows have one
     rep = {r["g"]: r for r in G.prefix_report(c, "g", "dense")[0].collect()}
     assert rep[0]["best_name"] == "signal" and rep[0]["best_score"] < 1e-6
+
+
+def test_pool_errors_equal_those_of_the_long_candidates(spark, log):
+    _, df = log
+    df = G.others_line(G.others_mean(df, "g", ["slot"], "v", "dense"), "g", "x", "v", "surface")
+    cuts = G.prefix_cuts(df, "g", "known", [0.6, 0.8])
+    keys = ["g", "cut"]
+    rows = G.simple_candidates(cuts, keys, "x", "v").where("name <> 'slope'").unionByName(
+        G.shifted_candidates(cuts, keys, "v", ["dense", "surface"], ["signal"])).unionByName(G.polynomial_cut_candidates(cuts, "g", "x", "v", [60, None], [1, 2], solves=1))
+    e = F.col("pred") - F.col("truth")
+    want = G.enough_values(rows, keys).where(e.isNotNull()).groupBy(*keys, "name").agg(F.sqrt(F.avg(e * e)).alias("err"))
+    got = G.pool_errors(df, "g", "known", "x", "v", [0.6, 0.8], ["dense", "surface"], ["signal"], [60, None], [1, 2])
+    a, b = (d.toPandas().set_index([*keys, "name"])["err"].sort_index() for d in (want, got))
+    assert list(a.index) == list(b.index) and np.allclose(a, b) and (2, 0.8, "signal") not in a.index
+
+
+def test_pool_writes_known_rows_not_candidates(spark, monkeypatch, tmp_path):
+    """The rows written on the way grow with the known rows, not with cuts x configurations."""
+    import bedtrace.session as S
+    from bedtrace.plans import REGISTRY
+
+    written, store = [], S.store
+
+    def counted(df, by=()):
+        path = store(df, by)
+        written.append(spark.read.parquet(path).count())
+        return path
+
+    monkeypatch.setattr(S, "store", counted)
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    REGISTRY["d23_pool_errors"].run(spark, "/root/testdata/sf0.001").collect()
+    assert sum(written) < 1.5 * n  # 0.3 n known rows, written three times
