@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from bedtrace.session import cell_rows, cut_lineage
 
 CELL = "_cell"
+ONE_CELL = "bedtrace.one_cell"  # metadata of a cell column: a count has shown that every group fits one cell
 
 
 def add_cells(df: DataFrame, group: Sequence[str], axis: str, rows: int | None = None, order: Sequence[str] = ()) -> DataFrame:
@@ -42,7 +43,7 @@ def add_cells(df: DataFrame, group: Sequence[str], axis: str, rows: int | None =
     keys = list(group)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if (sizes.agg(F.max("_n")).first()[0] or 0) <= rows:
-        return df.withColumn(CELL, F.array(F.lit(0).cast("long")))
+        return df.withColumn(CELL, F.array(F.lit(0).cast("long"))).withMetadata(CELL, {ONE_CELL: True})
     out = cut_lineage(df).withColumn(CELL, F.array(F.lit(0).cast("long")))
     for column in dict.fromkeys([axis, *order]):
         if not isinstance(df.schema[column].dataType, SORTED_AS_NUMBER):
@@ -66,6 +67,11 @@ def add_cells(df: DataFrame, group: Sequence[str], axis: str, rows: int | None =
     return out
 
 
+def one_cell(df: DataFrame) -> bool:
+    """Whether every group of a frame with cells is known to be one cell, so that nothing is carried between cells."""
+    return bool(df.schema[CELL].metadata.get(ONE_CELL))
+
+
 SORTED_AS_NUMBER = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -94,6 +100,9 @@ def index_rows(
     """
     celled = add_cells(df, group, axis, order=order)
     whole = Window.partitionBy(*group)
+    if one_cell(celled):  # one exchange, no join
+        out = df.withColumn(name, (F.row_number().over(whole.orderBy(*order)) - 1).cast("long"))
+        return out.withColumn(count, F.count(F.lit(1)).over(whole)) if count else out
     sizes = celled.groupBy(*group, CELL).agg(F.count(F.lit(1)).alias("_c"))
     starts = sizes.select(
         *group,
@@ -169,7 +178,14 @@ def neighbours(
     The frame already has ``_cell``. Values may be structs.
     """
     previous, following = dict(previous or {}), dict(following or {})
-    keys = [*group, CELL]
+    keys = list(group) if one_cell(df) else [*group, CELL]
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    # The look-ahead runs as a look-back over the reversed order: growing frames cost O(1) per row, shrinking ones do not.
+    back = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+    found = {n: F.last(e, ignorenulls=True).over(upto) for n, e in previous.items()} | {n: F.last(e, ignorenulls=True).over(back) for n, e in following.items()}
+    if one_cell(df):
+        return df.select("*", *[e.alias(f"_i_{n}") for n, e in found.items()]).select(*df.columns, *[F.col(f"_i_{n}").alias(n) for n in found])
     rank = F.struct(*order)
 
     def when_set(e: Column) -> Column:
@@ -187,15 +203,7 @@ def neighbours(
         *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in previous],
         *[F.first(f"_e_{n}", ignorenulls=True).over(beyond).alias(f"_c_{n}") for n in following],
     )
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    # The look-ahead runs as a look-back over the reversed order: growing frames cost O(1) per row, shrinking ones do not.
-    back = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.select(
-        "*",
-        *[F.last(e, ignorenulls=True).over(upto).alias(f"_i_{n}") for n, e in previous.items()],
-        *[F.last(e, ignorenulls=True).over(back).alias(f"_i_{n}") for n, e in following.items()],
-    ).join(carry, keys)
+    out = df.select("*", *[e.alias(f"_i_{n}") for n, e in found.items()]).join(carry, keys)
     return out.select(
         *df.columns, *[F.coalesce(F.col(f"_i_{n}"), F.col(f"_c_{n}")).alias(n) for n in [*previous, *following]]
     )

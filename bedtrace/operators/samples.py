@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bedtrace.functions.columns import clip, panel_stats
-from bedtrace.operators.cells import with_group_stats
+from bedtrace.operators.cells import centred, framed, with_group_stats
 from bedtrace.operators.interp import interp_columns, interp_join
-from bedtrace.operators.sequence import gradient, rolling
+from bedtrace.operators.sequence import gradient_steps, gradient_value
 from bedtrace.session import cut_lineage
 
 
@@ -32,7 +32,11 @@ def sequence_samples(
     """Long samples ``(group, cut, step, is_tail, target, channels...)`` on an even grid around each cut.
 
     Before the cut the target is known and used as position hypothesis, after it the last known value is. ``signal`` must
-    be filled; ``{signal}_gap`` is a 0/1 column. Every channel is a join or a window over ``(group, cut)``.
+    be filled; ``{signal}_gap`` is a 0/1 column.
+
+    Where the groups fit one cell, the rows of the grid are exchanged once, with the log's knots: what belongs to their cut
+    is on them, and the windows follow in the same tasks. The hypothesis of all steps past a cut is one value, so the curve
+    is read once per cut for them, beside the at most ``context + 1`` steps before it.
     """
     key = [group, "cut"]
     gap = f"{signal}_gap"
@@ -40,36 +44,48 @@ def sequence_samples(
     head = F.col(pos) < F.col("at")
     stats = c.groupBy(*key).agg(
         F.avg(F.when(head, F.col(signal))).alias("mu"), F.stddev_pop(F.when(head, F.col(signal))).alias("sd"),
-        F.max_by(target, F.when(head, F.col(pos))).alias("last_t"), F.min_by(target, F.when(head, F.col(pos))).alias("first_t"),
-        F.max(F.when(head, F.col(md))).alias("cut_md"), F.max(md).alias("end_md"))
-    stats = stats.withColumn("sd", F.col("sd") + 1e-3)
+        F.max_by(target, F.when(head, F.col(pos))).alias("last_t"), F.max(F.when(head, F.col(md))).alias("cut_md"), F.max(md).alias("end_md"))
     first = F.col("cut_md") - context * float(step)
     steps = F.floor((F.col("end_md") - first) / float(step) + 0.5).cast("long")
-    grid = stats.withColumns({"_g0": first, "_steps": steps}).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_steps"))))
-    grid = grid.withColumn("md", F.col("_g0") + F.col("step") * float(step)).withColumn("is_tail", F.col("md") > F.col("cut_md")).drop("_g0", "_steps")
-    grid = with_group_stats(grid, key, {"_tail": F.count_if("is_tail")}).where(F.col("_tail") >= min_tail).drop("_tail")
-    # Each step below reads its input more than once, so the grid is kept between them.
-    grid = cut_lineage(interp_columns(cut_lineage(grid), log, [group], "md", md, {"_sig": signal, "gap": gap, "_z": z, "_t": target}))
+    stats = stats.withColumns({"sd": F.col("sd") + 1e-3, "_g0": first, "_steps": steps})
+    place = lambda s: F.col("_g0") + s * float(step)
+    zero = F.lit(0).cast("long")
+    tail = F.size(F.filter(F.sequence(zero, F.col("_steps")), lambda s: place(s) > F.col("cut_md")))
+    stats = cut_lineage(stats.withColumn("_tail", tail).where(F.col("_tail") >= min_tail).withColumn("_s0", F.col("_steps") + 1 - F.col("_tail")))
+
+    before = stats.where(F.col("_s0") > 0).withColumn("step", F.explode(F.sequence(zero, F.col("_s0") - 1)))
     prefix = c.where(head).select(*key, F.col(md).alias("px"), F.col(target).alias("py"))
-    grid = cut_lineage(interp_join(grid, prefix, key, "md", "px", "py", "_pre"))
-    grid = grid.withColumn("sigz", (F.col("_sig") - F.col("mu")) / F.col("sd"))
-    grid = rolling(grid, key, "sigz", [21, 101], ["mean"], "sigz", pos="step")
-    grid = rolling(grid, key, "sigz", [21], ["std"], "sigz", pos="step").fillna(0.0, ["sigz_std21"])
-    grid = gradient(grid, key, "_z", "_dz", "md", pos="step")
-    grid = with_group_stats(grid, key, {"_z0": F.min_by("_z", F.when(F.col("is_tail"), F.col("step")))})
-    hyp = F.when(F.col("is_tail"), F.col("last_t")).otherwise(F.col("_pre"))
-    grid = cut_lineage(grid.withColumn("_hyp", hyp))
-    long = grid.select(*key, "step", "_hyp", "sigz", "mu", "sd", F.posexplode(F.array(*[F.lit(float(o)) for o in offsets])).alias("j", "_o"))
+    before = interp_join(before.select(*key, "step", place(F.col("step")).alias("md")), prefix, key, "md", "px", "py", "_hyp")
+    past = stats.select(*key, F.lit(-1).cast("long").alias("step"), F.lit(None).cast("double").alias("md"), F.col("last_t").cast("double").alias("_hyp"))
+    long = cut_lineage(before.select(*past.columns).unionByName(past)).withColumn("_o", F.explode(F.array(*[F.lit(float(o)) for o in offsets])))
     long = interp_join(long.withColumn("_at", F.col("_hyp") + F.col("_o")), curve, [group], "_at", cx, cy, "_ref")
-    mm = clip(F.abs(F.col("sigz") - (F.col("_ref") - F.col("mu")) / F.col("sd")), 0, 6)
-    wide = long.groupBy(*key, "step").agg(*[F.max(F.when(F.col("j") == j, mm)).alias(f"mm{j}") for j in range(len(offsets))])
-    d = grid.join(wide, [*key, "step"], "left")
-    return d.select(
+    refs = [f"_r{j}" for j in range(len(offsets))]
+    wide = cut_lineage(long.groupBy(*key, "step").agg(
+        F.max("md").alias("md"), F.max("_hyp").alias("_hyp"), *[F.max(F.when(F.col("_o") == float(o), F.col("_ref"))).alias(r) for o, r in zip(offsets, refs)]))
+
+    z0 = interp_columns(stats.select(*key, place(F.col("_s0")).alias("md")), log, [group], "md", md, {"_sig": signal, "gap": gap, "_z0": z, "_t": target})
+    of_cut = ["mu", "sd", "last_t", "cut_md", "end_md", "_z0"]
+    per_cut = cut_lineage(stats.join(z0.select(*key, "_z0"), key).join(wide.where("step < 0").select(*key, *refs), key))
+    shared = [*key, "step", "md", "is_tail", "_hyp", *refs, *of_cut]
+    rest = per_cut.withColumn("step", F.explode(F.sequence(F.col("_s0"), F.col("_steps"))))
+    rest = rest.withColumns({"md": place(F.col("step")), "is_tail": F.lit(True), "_hyp": F.lit(None).cast("double")}).select(*shared)
+    grid = wide.where("step >= 0").withColumn("is_tail", F.lit(False)).join(per_cut.select(*key, *of_cut), key).select(*shared)
+    grid = interp_columns(rest.unionByName(grid), log, [group], "md", md, {"_sig": signal, "gap": gap, "_z": z, "_t": target})
+    grid = grid.withColumn("sigz", (F.col("_sig") - F.col("mu")) / F.col("sd"))
+
+    def build(w: Window) -> dict[str, Column]:
+        s = F.col("sigz")
+        return {"sigz_mean21": F.avg(s).over(centred(w, 21)), "sigz_mean101": F.avg(s).over(centred(w, 101)),
+                "sigz_std21": F.when(F.count(s).over(centred(w, 21)) > 1, F.stddev_samp(s).over(centred(w, 21))), **gradient_steps(w, "_z", "md")}
+
+    grid = framed(grid, key, 50, 50, build, "step").fillna(0.0, ["sigz_std21"]).withColumn("_dz", gradient_value("_z", "md"))
+    return grid.select(
         *key, "step", "is_tail", clip((F.col("_t") - F.col("last_t")) / scale, -12, 12).alias("target"), "sigz",
         "sigz_mean21", "sigz_mean101", "sigz_std21", "gap", (clip(F.col("_dz"), -0.5, 0.5) * 20).alias("dz"),
         ((F.col("_z") - F.col("_z0")) / 100).alias("z_rel"), (F.greatest(F.col("md") - F.col("cut_md"), F.lit(0.0)) / 1000).alias("from_cut"),
         ((F.col("end_md") - F.col("md")) / 1000).alias("to_end"),
-        F.when(F.col("is_tail"), 0.0).otherwise((F.col("_pre") - F.col("last_t")) / scale).alias("path"), *[f"mm{j}" for j in range(len(offsets))])
+        F.when(F.col("is_tail"), 0.0).otherwise((F.col("_hyp") - F.col("last_t")) / scale).alias("path"),
+        *[clip(F.abs(F.col("sigz") - (F.col(r) - F.col("mu")) / F.col("sd")), 0, 6).alias(f"mm{j}") for j, r in enumerate(refs)])
 
 
 def row_map(log: DataFrame, group: str, known: str, md: str, target: str, pos: str = "row_idx") -> DataFrame:

@@ -116,20 +116,24 @@ def slope_per_axis(df: DataFrame, group: Sequence[str], cols: Sequence[str], axi
 
 def gradient(df: DataFrame, group: Sequence[str], y: str, out: str, x: str | None = None, pos: str = "row_idx") -> DataFrame:
     """Central gradient, one-sided at the ends; with ``x`` the uneven second-order form is used."""
+    d = framed(df, group, 1, 1, lambda w: gradient_steps(w, y, x), pos)
+    return d.withColumn(out, gradient_value(y, x)).drop("_yp", "_yn", "_hp", "_hn")
+
+
+def gradient_steps(w: Window, y: str, x: str | None = None) -> dict[str, Column]:
+    """What ``gradient_value`` needs of the rows beside a row: ``_yp``, ``_yn``, with ``x`` also ``_hp``, ``_hn``."""
+    cols = {"_yp": F.lag(y, 1).over(w), "_yn": F.lead(y, 1).over(w)}
+    if x:
+        cols.update({"_hp": F.col(x) - F.lag(x, 1).over(w), "_hn": F.lead(x, 1).over(w) - F.col(x)})
+    return cols
 
-    def build(w: Window) -> dict[str, Column]:
-        cols = {"_yp": F.lag(y, 1).over(w), "_yn": F.lead(y, 1).over(w)}
-        if x:
-            cols.update({"_hp": F.col(x) - F.lag(x, 1).over(w), "_hn": F.lead(x, 1).over(w) - F.col(x)})
-        return cols
 
-    d = framed(df, group, 1, 1, build, pos)
+def gradient_value(y: str, x: str | None = None) -> Column:
     hp, hn = (F.col("_hp"), F.col("_hn")) if x else (F.lit(1.0), F.lit(1.0))
     yp, yn, c = F.col("_yp"), F.col("_yn"), F.col(y)
     back, ahead = F.try_divide(c - yp, hp), F.try_divide(yn - c, hn)
     middle = F.try_divide(hn * back + hp * ahead, hp + hn)
-    value = F.when(yp.isNotNull() & yn.isNotNull(), middle).otherwise(F.coalesce(back, ahead))
-    return d.withColumn(out, value).drop("_yp", "_yn", "_hp", "_hn")
+    return F.when(yp.isNotNull() & yn.isNotNull(), middle).otherwise(F.coalesce(back, ahead))
 
 
 def expanding(df: DataFrame, group: Sequence[str], col: str, out: str, pos: str = "row_idx") -> DataFrame:

@@ -72,3 +72,22 @@ def test_quantiles(table):
     got = {r.g: (r.q1, r.q5) for r in grouped_quantiles(df, ["g"], {"q1": (F.col("x"), 0.1), "q5": (F.col("x"), 0.5)}).collect()}
     for g, part in pdf.groupby("g"):
         assert np.allclose(got[g], np.quantile(part.x, [0.1, 0.5]))
+
+
+def test_groups_of_one_cell_are_numbered_without_a_join(spark):
+    from bedtrace.operators.cells import index_rows
+    from bedtrace.session import CELL_ROWS_CONF
+
+    df = spark.createDataFrame([(g, float(i // 2), i, i * g) for g in range(3) for i in range(30 + g)], "g long, x double, e long, v long").repartition(5, "e")
+    old = spark.conf.get(CELL_ROWS_CONF)
+
+    def numbered(rows):
+        spark.conf.set(CELL_ROWS_CONF, rows)
+        return index_rows(df, ["g"], ["x", "e"], "x", count="n_rows")
+
+    try:
+        one, many = numbered("100"), numbered("8")
+        assert one.columns == many.columns and sorted(one.collect()) == sorted(many.collect())
+        assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(CELL_ROWS_CONF, old)

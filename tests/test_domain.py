@@ -330,3 +330,25 @@ def test_trees_predict_rows_with_missing_features(spark):
     d = spark.createDataFrame([(g, g % 2, float(i), None if i == 4 else 10.0) for g in range(40) for i in range(5)], "g long, fold int, a double, y double")
     got = oof_trees(d, ["a"], "y", "g", "fold", 2, params)[0].toPandas()
     assert len(got) == 200 and np.allclose(got.oof, 10)
+
+
+def test_sequence_samples_write_cuts_not_the_grid(spark, monkeypatch):
+    """On the way only rows per cut and the few steps before it are written, not the whole grid several times."""
+    import bedtrace.session as S
+    from bedtrace.plans import REGISTRY
+
+    written, store = [], S.store
+
+    def counted(df, by=()):
+        path = store(df, by)
+        written.append(spark.read.parquet(path).count())
+        return path
+
+    old = spark.conf.get(S.CELL_ROWS_CONF)
+    spark.conf.set(S.CELL_ROWS_CONF, "100000")
+    monkeypatch.setattr(S, "store", counted)
+    try:
+        n = REGISTRY["d27_sequence_samples"].run(spark, "/root/testdata/sf0.01").count()
+    finally:
+        spark.conf.set(S.CELL_ROWS_CONF, old)
+    assert sum(written) < 1.5 * n
