@@ -225,9 +225,9 @@ SELECT CAST(count(*) AS BIGINT) AS n_segments, {sql_rounded('avg(ln(greatest(len
  {sql_rounded('quantile_cont(abs(rate), 0.99)')} AS rate_p99_abs, {sql_rounded('1.4826 * quantile_cont(abs(dr - dm), 0.5)')} AS rate_change_mad FROM u CROSS JOIN m""")
 def segment_prior(spark: SparkSession, sf: str) -> DataFrame:
     """Every step between two events plays a segment."""
-    d = framed(event_log(spark, sf), U, 1, 0, lambda w: {
-        "len": F.col("x") - F.lag("x").over(w), "rate": (F.col("value") - F.lag("value").over(w)) / (1 + F.col("x") - F.lag("x").over(w))})
-    d = framed(d, U, 1, 0, lambda w: {"dr": F.col("rate") - F.lag("rate").over(w)}).where(F.col("len").isNotNull())
+    rate = lambda w, t: (F.lag("value", t).over(w) - F.lag("value", t + 1).over(w)) / (1 + F.lag("x", t).over(w) - F.lag("x", t + 1).over(w))
+    d = framed(event_log(spark, sf), U, 2, 0, lambda w: {"len": F.col("x") - F.lag("x").over(w), "rate": rate(w, 0), "_before": rate(w, 1)})
+    d = cut_lineage(d.where(F.col("len").isNotNull()).select("len", "rate", (F.col("rate") - F.col("_before")).alias("dr")))
     return shown(M.lognormal_prior(d, "len", "rate", "dr", 2.0), ["n_segments"], PRIOR)
 
 
