@@ -1,8 +1,8 @@
 """One wide table of features per log row, assembled in a fixed number of passes.
 
 The families exist one by one in ``sequence`` and ``interp``; asked for one after another each would number, shuffle and
-sort the log again. Here the numbered log is written once, all frames of bounded reach share one window pass, group
-statistics one aggregation, running means, gap filling and the curve one pass each.
+sort the log again. Here the numbered log is written once, the curve, running means and gap filling take one pass each while the
+rows are narrow, group statistics one aggregation, and all frames of bounded reach share one window pass at the end.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bedtrace.functions.columns import clip
-from bedtrace.operators.cells import centred, framed, with_group_stats
+from bedtrace.operators.cells import centred, fits_cell, framed
 from bedtrace.operators.interp import PREV, NEXT, bracket_join, interpolated
 from bedtrace.operators.sequence import expanding, gap_fill
 from bedtrace.session import cut_lineage
@@ -31,14 +31,20 @@ def feature_table(
     running mean, filled gaps; place past the known prefix, distance to its last row, and its mean, deviation and slope;
     the reference curve at ``x`` (end knots held) and the difference to it.
     """
-    d = cut_lineage(log)
+    log = d = cut_lineage(log)
+    # The curve comes first: its knots bring the one exchange. Where the groups fit one cell all else follows in its tasks.
+    if curve is not None:
+        d = bracket_join(d, curve, group, x, cx, cy).withColumn("curve", interpolated(F.col(x))).drop(PREV, NEXT)
+        d = d.withColumn("from_curve", F.col(value) - F.col("curve"))
+    one = fits_cell(log, pos)
+    d = gap_fill(expanding(d, group, signal, "s_running", pos, one), group, signal, "s_filled", 0.0, pos, one)
     s, v, p, k = F.col(signal), F.col(value), F.col(pos), F.col(known)
     stats = {
         "_first": F.min_by(v, p), "_last": F.max_by(v, p), "known_len": F.count_if(k), "_kx": F.max_by(F.when(k, F.col(x)), F.when(k, p)),
         "known_mean": F.avg(F.when(k, v)), "known_std": F.stddev_pop(F.when(k, v)), "known_slope": F.regr_slope(F.when(k, v), F.when(k, F.col(x))),
         "s_group_mean": F.avg(s),
     }
-    d = with_group_stats(d, group, stats)
+    d = d.join(log.groupBy(*group).agg(*[c.alias(n) for n, c in stats.items()]), list(group))
     sq = s * s
     missing = F.when(s.isNull(), 1.0).otherwise(0.0)
     reach = max((max([*windows, z_window]) - 1) // 2, *steps)
@@ -68,8 +74,4 @@ def feature_table(
         "frac": frac, "past_known": F.col(x) - F.col("_kx"),
     })
     d = d.drop("_first", "_last", "_kx", "_zn", "_zm", "_zs", *[f"_lag{t}" for t in {1, 2, *steps}], *[f"_lead{t}" for t in steps])
-    d = gap_fill(expanding(d, group, signal, "s_running", pos), group, signal, "s_filled", 0.0, pos)
-    if curve is not None:
-        d = bracket_join(d, curve, group, x, cx, cy).withColumn("curve", interpolated(F.col(x))).drop(PREV, NEXT)
-        d = d.withColumn("from_curve", v - F.col("curve"))
     return d

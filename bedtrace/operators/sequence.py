@@ -136,19 +136,20 @@ def gradient_value(y: str, x: str | None = None) -> Column:
     return F.when(yp.isNotNull() & yn.isNotNull(), middle).otherwise(F.coalesce(back, ahead))
 
 
-def expanding(df: DataFrame, group: Sequence[str], col: str, out: str, pos: str = "row_idx") -> DataFrame:
-    """Mean of all values up to and including the row."""
+def expanding(df: DataFrame, group: Sequence[str], col: str, out: str, pos: str = "row_idx", one: bool = False) -> DataFrame:
+    """Mean of all values up to and including the row. ``one`` as in ``position_cells``."""
     c = F.col(col)
-    run = running(position_cells(df, pos), group, [pos], {"_s": c, "_n": F.when(c.isNotNull(), F.lit(1.0))})
+    run = running(position_cells(df, pos, one=one), group, [pos], {"_s": c, "_n": F.when(c.isNotNull(), F.lit(1.0))})
     return run.withColumn(out, F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))).drop("_s", "_n", "_cell")
 
 
 def gap_fill(
-    df: DataFrame, group: Sequence[str], col: str, out: str, fallback: float | None = None, pos: str = "row_idx"
+    df: DataFrame, group: Sequence[str], col: str, out: str, fallback: float | None = None, pos: str = "row_idx", one: bool = False
 ) -> DataFrame:
-    """Fill nulls by linear interpolation in row position; ends repeat the nearest value, all-null groups get ``fallback``."""
+    """Fill nulls by linear interpolation in row position; ends repeat the nearest value, all-null groups get ``fallback``.
+    ``one`` as in ``position_cells``."""
     seen = F.when(F.col(col).isNotNull(), F.struct(F.col(pos).alias("x"), F.col(col).cast("double").alias("y")))
-    d = neighbours(position_cells(df, pos), group, [pos], {"_p": seen}, {"_q": seen})
+    d = neighbours(position_cells(df, pos, one=one), group, [pos], {"_p": seen}, {"_q": seen})
     p, q = F.col("_p"), F.col("_q")
     line = F.when(q.x == p.x, p.y).otherwise(p.y + (q.y - p.y) * (F.col(pos) - p.x) / (q.x - p.x))
     value = F.coalesce(line, p.y, q.y, F.lit(fallback).cast("double"))

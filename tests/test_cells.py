@@ -1,5 +1,7 @@
 """Cells stay small on skewed and tied axes, and what is built on them does not change."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -91,3 +93,28 @@ def test_groups_of_one_cell_are_numbered_without_a_join(spark):
         assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.set(CELL_ROWS_CONF, old)
+
+
+def test_feature_table_of_one_cell_groups_matches_many_cells(spark):
+    """Running means, filled gaps and the curve come out of shared tasks: no carry between cells, rows exchanged while narrow."""
+    from bedtrace.operators.features import feature_table
+    from bedtrace.session import CELL_ROWS_CONF
+
+    rows = [(u, i, float(i), float(u + i % 7), None if (u + i) % 3 == 0 else float(i % 5), i * 10 < 450, 45) for u in range(4) for i in range(45)]
+    log = spark.createDataFrame(rows, "u long, row_idx long, x double, value double, sig double, known boolean, n_rows long")
+    curve = spark.createDataFrame([(u, float(c), float(c + u)) for u in range(3) for c in range(0, 45, 5)], "u long, cx double, cy double")
+    old = spark.conf.get(CELL_ROWS_CONF)
+
+    def table(cell):
+        spark.conf.set(CELL_ROWS_CONF, cell)
+        return feature_table(log, ["u"], "x", "value", "sig", "known", curve, windows=(5, 101), steps=(1,), z_window=5, z_rows=2)
+
+    try:
+        one, many = table("1000"), table("10")
+        cols = sorted(one.columns)
+        pick = [c if c in ("u", "row_idx", "known") else f"round(cast({c} as double), 9) as {c}" for c in cols]
+        key = ["u", "row_idx"]
+        assert one.selectExpr(*pick).orderBy(*key).toPandas().equals(many.selectExpr(*pick).orderBy(*key).toPandas())
+        assert len(re.findall(r"\bJoin \w", one._jdf.queryExecution().optimizedPlan().toString())) == 1  # the group statistics
+    finally:
+        spark.conf.set(CELL_ROWS_CONF, old)
