@@ -53,11 +53,11 @@ def features_to_scores(spark: SparkSession, sf: str) -> DataFrame:
     from bedtrace.operators.models import group_folds, oof_trees
     from bedtrace.session import cut_lineage
 
-    log = event_log(spark, sf)
+    log = cut_lineage(event_log(spark, sf))
     d = feature_table(log, ["user_id"], "x", "value", "sig", "known", curve_of(spark, sf)).where(~F.col("known"))
-    d = cut_lineage(d.join(group_folds(log, "user_id", 5), "user_id"))
     # only what is known without the row's own value
     inputs = ["s_mean201", "s_missing101", "frac", "past_known", "known_mean", "known_std", "known_slope", "curve"]
+    d = d.select("user_id", "value", *inputs).join(group_folds(log, "user_id", 5), "user_id")  # other features are never computed
     t, _ = oof_trees(d, inputs, "value", "user_id", "fold", 5, {"maxIter": 8, "maxDepth": 3}, anchor="known_mean")
     e = lambda c: rmse(F.col(c) - F.col("value"))
     return shown(t.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), e("oof").alias("trees"), e("known_mean").alias("flat"), e("curve").alias("reference")), ["fold", "n"], ["trees", "flat", "reference"], 4)
